@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,7 +48,7 @@ def per_text(df: DataFrame, carry: list[str], adds: dict[str, str], measure: Cal
     kinds = [_ARROW[k] for k in adds.values()]
     schema = df.select(*carry).schema
     for name, kind in adds.items():
-        schema = schema.add(name, kind)
+        schema = schema.add(StructType.fromDDL(f"{name} {kind}")[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,15 +66,27 @@ def checkpoint_folder(spark: SparkSession) -> str:
     Where that is unset (tests on one machine) a temporary folder takes its place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return named or spark.sparkContext.getCheckpointDir()
+    if named is None and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder, where a lost executor takes nothing along."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage: df as a table in the shared folder, where a lost executor takes nothing along.
+
+    Unlike checkpoint(), this computes df once. The tables of an application
+    stay until clear_checkpoints().
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_checkpoints(spark: SparkSession) -> None:
+    """Delete the tables that checkpointed() wrote for this application; what still reads them fails afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
@@ -111,7 +125,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components as (node, component): the smallest node reachable.
 
     Alternates large-star and small-star steps, so paths shrink geometrically;
-    every step groups and joins by node and is checkpointed. Nodes without an
+    every step groups and joins by node and is written out. Nodes without an
     edge are not in the result.
     """
     pairs = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct()
@@ -119,19 +133,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = None
     while True:
         # large star: every node's larger neighbours point to its smallest neighbour
-        both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        least = least.select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
+        ways = F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))
+        both = pairs.select(F.explode(ways).alias("way")).select("way.x", "way.y")
+        least = both.groupBy("x").agg(F.min("y").alias("low")).select(F.col("x").alias("node"), F.least("x", "low").alias("least"))
+        large = checkpointed(both.where("y > x").join(least, F.col("x") == F.col("node")).select("least", "y").where("least < y").distinct())
         # small star: every node and its smaller neighbours point to the smallest of them
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v")
-        pairs = checkpointed(
-            small.select(F.col("m").alias("u"), F.col("u").alias("v"))
-            .where("u < v")
-            .union(low.select(F.col("m").alias("u"), "v"))
-            .distinct()
-        )
+        low = large.groupBy("y").agg(F.min("least").alias("low")).withColumnRenamed("y", "node")
+        hung = large.join(low, F.col("y") == F.col("node")).select("low", F.explode(F.array("least", "y")).alias("v"))
+        pairs = checkpointed(hung.where("low < v").select(F.col("low").alias("u"), "v").distinct())
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, if_small
+from .common import checkpointed, if_small, lower_az
 
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _BETWEEN), lambda w: w != "")
+    return F.filter(F.split(lower_az(F.coalesce(text, F.lit(""))), _BETWEEN), lambda w: w != "")
 
 
 def _shingles(words: Column, width: Column | int) -> Column:
@@ -20,12 +20,14 @@ def _shingles(words: Column, width: Column | int) -> Column:
     return F.transform(starts, lambda i: F.concat_ws(" ", F.slice(words, i, width)))
 
 
-def _of_widths(words: Column, widths: list[int]) -> Column:
-    return F.concat(*[_shingles(words, F.lit(w)) for w in widths])
+def _hashes(hashes: Column, width: int) -> Column:
+    """A hash of each run of `width` words, from the words' hashes."""
+    starts = F.when(F.size(hashes) >= width, F.sequence(F.lit(1), F.size(hashes) - width + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(*[F.element_at(hashes, i + k) for k in range(width)]))
 
 
 def item_sketches(benchmark: DataFrame, containment: float, k: int) -> DataFrame:
-    """One row per distinct item: item_id (its smallest), width, shingles, n, need and sketch.
+    """One row per distinct item: item (a number), item_id (its smallest), width, shingles, n, need and sketch.
 
     Items are partitioned by size, in powers of two of their number n of
     distinct shingles. A document that holds `need` of the n shingles misses
@@ -38,52 +40,56 @@ def item_sketches(benchmark: DataFrame, containment: float, k: int) -> DataFrame
     width = F.least(F.size("words"), F.lit(k))
     listed = words.select("item_id", width.alias("width"), F.array_sort(F.array_distinct(_shingles(F.col("words"), width))).alias("shingles"))
     whole = listed.groupBy("width", "shingles").agg(F.min("item_id").alias("item_id")).withColumn("n", F.size("shingles"))
-    hashes = F.array_sort(F.transform("shingles", lambda s: F.xxhash64(s)))
+    # a shingle's hash is made of its words' hashes, as in the documents
+    def hashed(w: int) -> Column:
+        return F.transform("shingles", lambda s: F.element_at(_hashes(F.transform(F.split(s, " "), lambda x: F.xxhash64(x)), w), 1))
+
+    by_width = F.coalesce(*[F.when(F.col("width") == w, hashed(w)) for w in range(1, k + 1)])
     largest = F.pow(F.lit(2), F.ceil(F.log2("n")))
     misses = largest - F.ceil(largest * F.lit(containment)) + 1
     return whole.select(
+        F.monotonically_increasing_id().alias("item"),
         "item_id",
         "width",
         "shingles",
         "n",
         F.ceil(F.round(F.col("n") * F.lit(containment), 6)).cast("int").alias("need"),
-        F.slice(hashes, 1, F.least(F.col("n"), misses.cast("int"))).alias("sketch"),
+        F.slice(F.array_sort(by_width), 1, F.least(F.col("n"), misses.cast("int"))).alias("sketch"),
     )
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = 0.8, k: int = 5) -> DataFrame:
     """One row per document that holds a benchmark item: doc_id, item_id, containment and n_items.
 
-    An item is held if `containment` of its distinct k-word shingles (lower
+    An item is held if `containment` of its distinct k-word shingles (A-Z in lower
     case, letters and digits) occur in the document. Sketch hashes meet the
-    documents' shingle hashes; documents too small for an item's size partition
-    are left out; each pair that meets is verified on the shingles themselves.
-    Equal items count once, under their smallest item_id. item_id is the best
-    item (ties: the smallest), n_items the number held.
+    documents' shingle hashes, unless the document is too small for an item of
+    that size; documents that meet any are verified: their shingles themselves
+    meet the items' and are counted. Equal items count once, under their
+    smallest item_id. item_id is the best item (ties: the smallest), n_items the
+    number held.
 
     Null texts and texts without words hold nothing; rows that share a doc_id
-    give one row with the best of them; a null doc_id is reported as null; empty
+    give one row with the best of them; null ids are reported as null; empty
     tables give an empty result; other columns are not read.
     """
     items = checkpointed(item_sketches(benchmark, containment, k))
-    widths = sorted(r.width for r in items.select("width").distinct().limit(k).toLocalIterator())
-    if not widths:
-        widths = [k]
-    words = docs.select("doc_id", _words(F.col("text")).alias("words"))
-    hashed = F.array_distinct(F.transform(_of_widths(F.col("words"), widths), lambda s: F.xxhash64(s)))
-    rows = words.select("doc_id", hashed.alias("hashes")).select("doc_id", F.size("hashes").alias("m"), F.explode("hashes").alias("hash"))
-    sketch = checkpointed(items.select("item_id", "need", F.explode("sketch").alias("hash")))
-    met = rows.join(if_small(sketch, 1_000_000), "hash").where("m >= need").select("doc_id", "item_id").distinct()
-    met = checkpointed(met.groupBy("doc_id").agg(F.collect_set("item_id").alias("items")))
-    found = met.withColumnRenamed("doc_id", "_doc")
-    texts = docs.select("doc_id", "text").join(if_small(found, 1_000_000), F.expr("doc_id <=> _doc"))
-    held = texts.select("doc_id", "items", _words(F.col("text")).alias("words"))
-    held = held.select("doc_id", "items", F.array_distinct(_of_widths(F.col("words"), widths)).alias("own"))
-    held = held.select("doc_id", "own", F.explode("items").alias("item_id"))
-    checked = held.join(if_small(items.select("item_id", "shingles", "n", "need"), 100_000), "item_id")
-    common = F.size(F.array_intersect("shingles", "own"))
-    true = checked.select("doc_id", "item_id", "need", "n", common.alias("common")).where("common >= need")
-    pairs = true.groupBy("doc_id", "item_id").agg(F.max(F.col("common") / F.col("n")).alias("share"))
+    widths = sorted(r.width for r in items.select("width").distinct().limit(k).toLocalIterator()) or [k]
+    docs = docs.select("doc_id", "text")
+    words = docs.select("doc_id", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    hashed = words.select("doc_id", F.array_distinct(F.concat(*[_hashes(F.col("words"), w) for w in widths])).alias("hashes"))
+    # explode() would infer a filter that repeats all of the above for every shingle; explode_outer() does not
+    rows = hashed.select("doc_id", F.size("hashes").alias("m"), F.explode_outer("hashes").alias("hash"))
+    sketch = checkpointed(items.select(F.explode("sketch").alias("hash"), "need").groupBy("hash").agg(F.min("need").alias("need")))
+    met = checkpointed(rows.join(if_small(sketch, 1_000_000), "hash").where("m >= need").select(F.col("doc_id").alias("_doc")).distinct())
+    texts = docs.join(if_small(met, 1_000_000), F.expr("doc_id <=> _doc"), "left_semi")
+    texts = texts.select("doc_id", F.xxhash64("text").alias("crc"), _words(F.col("text")).alias("words"))
+    held = texts.select("doc_id", "crc", F.array_distinct(F.concat(*[_shingles(F.col("words"), F.lit(w)) for w in widths])).alias("own"))
+    held = held.select("doc_id", "crc", F.explode_outer("own").alias("shingle"))
+    wanted = checkpointed(items.select("item", "item_id", "n", "need", F.explode("shingles").alias("shingle")))
+    shared = held.join(if_small(wanted, 1_000_000), "shingle").groupBy("doc_id", "crc", "item", "item_id", "n", "need")
+    true = shared.agg(F.count_distinct("shingle").alias("common")).where("common >= need")
+    pairs = true.groupBy("doc_id", "item", "item_id").agg(F.max(F.col("common") / F.col("n")).alias("share"))
     best = F.max(F.struct("share", (-F.col("item_id")).alias("least")))
     return pairs.groupBy("doc_id").agg(best.alias("best"), F.count("*").alias("n_items")).select(
         "doc_id", (-F.col("best.least")).alias("item_id"), F.round("best.share", 6).alias("containment"), "n_items"

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ FIT_DOCS, FIT_WINDOWS = 3000, 4
 #: Bytes in a window, numbers per byte, filter widths and filters of each width.
 WINDOW, EMBED, WIDTHS, FILTERS = 96, 8, (2, 3, 4, 5), 12
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.01, 11
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def windows(text: bytes) -> np.ndarray:

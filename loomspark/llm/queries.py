@@ -72,7 +72,7 @@ def queries() -> dict:
     return {f.__name__: f for f in listed}
 
 
-_ITEM_WORDS = r"regexp_extract_all(lower(coalesce({t}, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_ITEM_WORDS = r"regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _GRAMS = "list_distinct(list_transform(range(1, greatest(len(w) - {k} + 2, 1)), lambda i: array_to_string(w[i:i + {k} - 1], ' ')))"
 
 OP4_SQL = f"""

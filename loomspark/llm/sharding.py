@@ -45,7 +45,6 @@ def hilbert_index(axes: np.ndarray, bits: int = BITS) -> np.ndarray:
     return index
 
 
-@F.pandas_udf("long")
 def _curve(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series(hilbert_index(np.stack([s.to_numpy(np.int64) for s in (a, b, c, d)], axis=1)))
 
@@ -81,9 +80,10 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     bounds = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = (int(x) if x is not None else 0 for x in bounds)
     slim = _coded(_coded(slim, "source"), "lang")
+    curve = F.pandas_udf(_curve, "long")  # made here, as workers import this module without a session
     points = slim.withColumn(
         "curve",
-        _curve("_q_source", "_q_lang", F.least(F.floor(F.log2("size") * 8), F.lit((1 << BITS) - 1)).cast("int"), _spread(F.col("doc_id"), low, high)),
+        curve("_q_source", "_q_lang", F.least(F.floor(F.log2("size") * 8), F.lit((1 << BITS) - 1)).cast("int"), _spread(F.col("doc_id"), low, high)),
     ).drop("_q_source", "_q_lang", "source", "lang")
     line = ranked(points, "curve", "text_crc32", "doc_id", name="_rank")
     n = line.count()
