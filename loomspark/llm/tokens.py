@@ -134,7 +134,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
             )
 
     rows = _texts(docs).withColumn("crc", F.xxhash64("text"))
-    lines = rows.mapInArrow(split, rows.select("doc_id", "crc").schema.add("n_bytes", "long").add("pre", "string").add("n", "long").add("mark", "int"))
+    lines = rows.mapInArrow(split, rows.select("doc_id", "crc").schema.add("n_bytes", "long").add("pre", "string").add("n", "long").add("mark", "integer"))
     rare = totals.where((F.col("total") * FREQUENT <= everything) | (F.length("pre") > FREQUENT_CHARS)).select("pre", "pieces")
     summed = (
         lines.join(rare, "pre", "left")
