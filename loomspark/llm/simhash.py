@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -98,34 +98,76 @@ def fingerprint(text: bytes, k: int = 3) -> int:
     return _bits(np.array(hashed, dtype=np.uint64)) if hashed else 0
 
 
-def fingerprint_links(fingerprints: DataFrame) -> DataFrame:
-    """(a, b) pairs that connect what fingerprints at distance 2 or less connect, from (tab, fp) rows.
-
-    All rows of a key with up to CROWDED fingerprints are compared pair by
-    pair. In a more crowded key every fingerprint stands by itself and its 64
-    one-bit neighbours: two that meet at one differ in 2 bits or less, and two
-    that differ in 2 bits or less meet at one, so a link from the smallest to
-    each of the others connects the same fingerprints in linear size.
-    """
+def _keys(fingerprints: DataFrame) -> DataFrame:
+    """(key, tab, fp): the Golay keys of distinct (tab, fp) rows, the table's number inside the key."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, key = golay_keys(batch.column("fp").to_numpy().view(np.uint64))
             taken = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([taken.column("tab"), pa.array(key), taken.column("fp")], names=["tab", "key", "fp"])
+            key = key | taken.column("tab").to_numpy().astype(np.int64) << 40
+            yield pa.RecordBatch.from_arrays([pa.array(key), taken.column("tab"), taken.column("fp")], names=["key", "tab", "fp"])
+
+    return fingerprints.select("tab", "fp").distinct().mapInArrow(spread, "key long, tab int, fp long")
+
+
+def _met(fingerprints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tab, a, b) of keys with two fingerprints, and (key, n, tab, fp) of those with more.
+
+    Most keys hold one fingerprint and end in a count that is combined before
+    the shuffle; only those with three or more are looked up again.
+    """
+    keys = _keys(fingerprints)
+    ends = [F.count("*").alias("n"), F.min("tab").alias("tab"), F.min("fp").alias("a"), F.max("fp").alias("b")]
+    shared = checkpointed(keys.groupBy("key").agg(*ends).where("n > 1"))
+    many = shared.where("n > 2").select("key", "n")
+    return shared.where("n = 2").select("tab", "a", "b"), checkpointed(keys.join(if_small(many, 1_000_000), "key"))
+
 
-    keys = fingerprints.select("tab", "fp").distinct().mapInArrow(spread, "tab int, key long, fp long")
-    shared = keys.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = checkpointed(keys.join(shared, ["tab", "key"]))
+def _pairs(two: DataFrame, met: DataFrame, bits: int) -> DataFrame:
+    """(tab, a, b) at `bits` differing bits or less, from the keys with up to CROWDED fingerprints."""
     listed = met.where(F.col("n") <= CROWDED).groupBy("tab", "key").agg(F.collect_list("fp").alias("fps"))
     pairs = listed.select("tab", "fps", F.posexplode("fps").alias("i", "a")).select("tab", "a", F.explode(F.expr("slice(fps, i + 2, size(fps))")).alias("b"))
-    pairs = pairs.where("bit_count(a ^ b) <= 2").select("tab", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = two.union(pairs).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
+    return pairs.select("tab", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def fingerprint_links(fingerprints: DataFrame) -> DataFrame:
+    """(tab, a, b) pairs that connect what fingerprints at distance 2 or less connect, from (tab, fp) rows.
+
+    All rows of a key with up to CROWDED fingerprints are compared pair by
+    pair. In a more crowded key every fingerprint stands by itself and its 64
+    one-bit neighbours: two that meet at one differ in 2 bits or less, and two
+    that differ in 2 bits or less meet at one, so a link from the smallest to
+    each of the others connects the same fingerprints in linear size.
+    """
+    two, met = _met(fingerprints)
     crowd = met.where(F.col("n") > CROWDED).select("tab", "fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(x - (1 << 64) if x >> 63 else x).cast("long") for x in (1 << b for b in range(64))])
     near = crowd.select("tab", "fp", F.explode(flips).alias("flip")).select("tab", "fp", F.expr("fp ^ flip").alias("centre"))
     first = near.groupBy("tab", "centre").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = near.join(first, ["tab", "centre"]).where("fp <> a").select("tab", "a", F.col("fp").alias("b"))
-    return pairs.union(stars).distinct()
+    return _pairs(two, met, 2).union(stars).distinct()
+
+
+def candidate_links(fingerprints: DataFrame, bits: int) -> DataFrame:
+    """(tab, a, b) candidates for verification: fingerprints that share a key and differ in `bits` bits or less.
+
+    In a crowded key, as many near copies of one text make it, all are paired
+    with the fingerprint nearest to the majority of each bit, which is the text
+    that the copies were made from: linear in the copies, where pairs of copies
+    would be quadratic and less alike.
+    """
+    two, met = _met(fingerprints)
+    crowd = met.where(F.col("n") > CROWDED)
+    ones = [F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)]
+    bit = [F.when(F.col(f"b{b}") * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")) for b in range(64)]
+    middle = crowd.groupBy("key", "n").agg(*ones).select("key", reduce(lambda x, y: x.bitwiseOR(y), bit).alias("middle"))
+    off = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
+    pivots = crowd.join(middle, "key").groupBy("key").agg(F.min(F.struct(off.alias("off"), "fp")).alias("pivot")).select("key", F.col("pivot.fp").alias("a"))
+    stars = crowd.join(pivots, "key").where(F.col("fp") != F.col("a")).select("tab", "a", F.col("fp").alias("b"))
+    stars = stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
+    return _pairs(two, met, bits).union(stars.select("tab", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def link_fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
@@ -164,12 +206,13 @@ def _sketch(tables: int):
     return sketch
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, tables: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, tables: int = 8, bits: int = 8) -> DataFrame:
     """(doc_id, keeper) of every document that another one, its keeper, stands for.
 
     Texts with the same words are one class, kept by its smallest doc_id. Class
     keepers get `tables` SimHash fingerprints of their distinct words, which
-    small edits move by few bits; those that link in any table become pairs
+    small edits move by few bits; those that share a Golay key in any table and
+    differ in `bits` bits or less become pairs
     and are verified: their sets of k-word shingles must reach `similarity`
     (fewer words than k: the whole sequence is the one shingle). A group is what
     verified pairs connect; its smallest doc_id is the keeper. Null doc_ids
@@ -181,7 +224,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, tables
     rows = classes.select("keeper", F.posexplode("fps").alias("tab", "fp"))
     leaders = checkpointed(rows.groupBy("tab", "fp").agg(F.min("keeper").alias("leader")))
     same = rows.join(leaders, ["tab", "fp"]).where("leader <> keeper").select(F.col("leader").alias("a"), F.col("keeper").alias("b"))
-    links = fingerprint_links(leaders)
+    links = candidate_links(leaders, bits)
     one = leaders.select("tab", F.col("fp").alias("a"), F.col("leader").alias("la"))
     two = leaders.select("tab", F.col("fp").alias("b"), F.col("leader").alias("lb"))
     linked = links.join(one, ["tab", "a"]).join(two, ["tab", "b"]).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
@@ -9,19 +10,18 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, small_batches
 
 #: At most so many pre-tokens, the most frequent ones, are sent to every executor.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
 #: Longer pre-tokens never are, so what is sent is bounded.
 FREQUENT_CHARS = 32
-#: Chunks a worker remembers before it starts anew.
-REMEMBERED = 1 << 17
-#: Chunks end at these; whatever else is white space to the tokenizer stays inside a chunk for it to handle.
-_CHUNK = re.compile("[ \t\n\r]+")
+#: Texts with none of these are in NFC, and lower() and the pattern treat them as the tokenizer does.
+_UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0\u0130\u0149\u0180-\U0010ffff]")
 
 
 @cache
@@ -31,38 +31,43 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _word_pattern(tok) -> str | None:
+    """The pattern of a tokenizer that lower-cases, drops white space and cuts by one pattern; None for any other."""
+    made = json.loads(tok.to_str())
+    steps = (made["normalizer"] or {}).get("normalizers", [])
+    cuts = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cuts] != ["Split", "ByteLevel"]:
+        return None
+    space, cut, to_bytes = steps[1], cuts[0], cuts[1]
+    plain = space["pattern"] == {"Regex": r"\s+"} and space["content"] == " " and not to_bytes["add_prefix_space"] and not to_bytes["use_regex"]
+    dropped = cut["behavior"] == "Removed" and cut["invert"] and r"[^\s" in cut["pattern"].get("Regex", "")
+    return cut["pattern"]["Regex"] if plain and dropped else None
+
+
 @cache
 def _pieces_of(path: str) -> tuple[Callable[[str], tuple[int, Counter]], Callable[[str], int]]:
     """(whole text -> special tokens and pre-token counts, pre-token -> its number of pieces)."""
     tok = _tokenizer(path)
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
     special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-    known: dict[str, tuple[str, ...]] = {}
-
-    def pre_tokens(chunk: str) -> tuple[str, ...]:
-        if (found := known.get(chunk)) is None:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            plain = tok.normalizer.normalize_str(chunk) if tok.normalizer else chunk
-            found = tuple(p for p, _ in tok.pre_tokenizer.pre_tokenize_str(plain))
-            if len(chunk) <= 64:
-                known[chunk] = found
-        return found
+    pattern = _word_pattern(tok)
+    cut = regex.compile(pattern).findall if pattern else None
+
+    def usual(text: str, out: Counter) -> None:
+        out.update(cut(text.lower()))
+
+    def unusual(text: str, out: Counter) -> None:
+        plain = tok.normalizer.normalize_str(text) if tok.normalizer else text
+        out.update(plain[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(plain))
 
     def count(text: str) -> tuple[int, Counter]:
-        parts, n = [text], 0
-        if special is not None and special.search(text):
-            parts = special.split(text)
-            n = len(parts) - 1
+        parts = special.split(text) if special is not None else [text]
         out: Counter = Counter()
         for part in parts:
-            for chunk, times in Counter(_CHUNK.split(part)).items():
-                if chunk:
-                    for pre in pre_tokens(chunk):
-                        out[pre] += times
-        return n, out
+            (unusual if cut is None or _UNUSUAL.search(part) else usual)(part, out)
+        return len(parts) - 1, out
 
-    return count, lambda pre: len(tok.model.tokenize(pre))
+    return count, lambda pre: sum(len(tok.model.tokenize(p)) for p, _ in tok.pre_tokenizer.pre_tokenize_str(pre))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
