@@ -121,10 +121,10 @@ def agg_child_counts(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(opened, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0).cast("long")).alias("n_open"))
 
 
-@query("SELECT user_id, event_type, round(avg(value), 4) AS confidence, count(*) AS evidence, arg_min(value, event_id) AS pattern_value FROM events GROUP BY ALL")
+@query("SELECT user_id, event_type, sum(CAST(round(value * 100) AS BIGINT)) / count(*) AS confidence, count(*) AS evidence, arg_min(value, event_id) AS pattern_value FROM events GROUP BY ALL")
 def agg_running_mean(spark, d):
-    """The pattern's value is the first one seen and never changes."""
-    return _events(spark, d).groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 4).alias("confidence"), F.count("*").alias("evidence"), F.min_by("value", "event_id").alias("pattern_value"))
+    """The mean in hundredths, as whole numbers sum exactly; the pattern's value is the first one seen and never changes."""
+    return _events(spark, d).groupBy("user_id", "event_type").agg(F.avg(F.round(F.col("value") * 100).cast("long")).alias("confidence"), F.count("*").alias("evidence"), F.min_by("value", "event_id").alias("pattern_value"))
 
 
 @query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT user_id, sum(n) AS t FROM c GROUP BY user_id) SELECT c.user_id, CAST(any_value(t) AS BIGINT) AS n, round(greatest(0.0, -sum(c.n / t * ln(c.n / t))), 6) AS entropy FROM c JOIN t ON c.user_id = t.user_id GROUP BY c.user_id")
