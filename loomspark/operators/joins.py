@@ -75,8 +75,12 @@ def phrases_in(texts: DataFrame, ident: list[str], text: Column, phrases: DataFr
     return exploded.join(phrases, phrase)
 
 
-def token_overlap(left: DataFrame, right: DataFrame, lid: str, rid: str, tokens: str, least: int, stop_share: int | None = None) -> DataFrame:
-    """(lid, rid, shared, n_left, n_right) of pairs that share `least` distinct tokens or more, through an equi-join on the token."""
+def token_overlap(left: DataFrame, right: DataFrame, lid: str, rid: str, tokens: str, least: int) -> DataFrame:
+    """(lid, rid, shared, n_left, n_right) of pairs that share `least` distinct tokens or more, through an equi-join on the token.
+
+    A token that many rows of both sides hold makes as many pairs, so give it
+    tokens that name something: long words, stop words left out.
+    """
     a = left.select(lid, F.array_distinct(tokens).alias("_t")).select(lid, F.size("_t").alias("n_left"), F.explode_outer("_t").alias("_token"))
     b = right.select(rid, F.array_distinct(tokens).alias("_t")).select(rid, F.size("_t").alias("n_right"), F.explode_outer("_t").alias("_token"))
     pairs = a.join(b, "_token").groupBy(lid, rid, "n_left", "n_right").agg(F.count("*").alias("shared"))
