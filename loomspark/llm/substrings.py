@@ -21,6 +21,8 @@ SAMPLED = 1 / 16
 CROWDED, CROWDED_SHARE = 8, 1 / (1 << 18)
 #: Windows of crowded buckets that a task gathers before it sends them on.
 GATHERED = 200_000
+#: Bytes of super-k-mers that a task gathers before it bundles them, and bundles per shuffle partition, for an even spread.
+BUNDLED, SPREAD = 1 << 24, 4
 
 
 class Cutter:
@@ -96,20 +98,37 @@ def _spans_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                         run = 0
                 if run:
                     rows.append(r), starts.append(at + size[r].as_py() - run), sizes.append(run)
-        taken = batch.take(pa.array(rows, pa.int64()))
+        taken = batch.select(["doc_id", "crc"]).take(pa.array(rows, pa.int64()))
         yield pa.RecordBatch.from_arrays(
             [taken.column("doc_id"), taken.column("crc"), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())], names=["doc_id", "crc", "start", "size"]
         )
 
 
 _TRAVEL = "bucket long, doc_id long, crc long, start int, size int, packed binary"
+_COLUMNS = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("packed", pa.binary())])
+
+
+def _bundle(rows: list[tuple]) -> bytes:
+    """Rows as one compressed Arrow stream; super-k-mers overlap, so together they shrink far more than row by row."""
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _COLUMNS)], schema=_COLUMNS)
+    with pa.ipc.new_stream(sink, _COLUMNS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unbundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for bundle in batch.column("bundle"):
+            yield from pa.ipc.open_stream(bundle.as_buffer())
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, crc, starts, ends): word spans whose windows also start in a document with a smaller doc_id.
 
     crc is the text's xxhash64. Super-k-mers go to the bucket of their
-    minimiser, where sorting by doc_id shows which windows came before. Windows
+    minimiser, in compressed bundles, and sorting by doc_id shows there which
+    windows came before. Windows
     of crowded buckets travel one by one to a bucket of their own, after each
     task has settled those it holds itself, so a passage that many documents
     share is gathered before the shuffle.
@@ -129,14 +148,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     least = max(CROWDED, int((counts.agg(F.sum("count")).first()[0] or 0) * CROWDED_SHARE))
     crowded = docs.sparkSession.sparkContext.broadcast({r.bucket for r in counts.where(F.col("count") >= least).toLocalIterator()})
 
+    parts = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, hot = Cutter(), crowded.value
         held: dict[bytes, list] = {}  # window -> [doc_id, crc, starts]
 
-        def out(lines: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*lines)) if lines else [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["bucket", "doc_id", "crc", "start", "size", "packed"])
+        bundles: dict[int, list[tuple]] = {}
+
+        def out() -> pa.RecordBatch:
+            made = [(k, _bundle(rows)) for k, rows in bundles.items()]
+            bundles.clear()
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary())], names=["part", "bundle"])
+
+        def deal(lines: list[tuple]) -> int:
+            for line in lines:
+                bundles.setdefault(line[0] % parts, []).append(line)
+            return sum(100 + len(line[5] or b"") for line in lines)
 
         def flush() -> list[tuple]:
             lines = [
@@ -145,6 +173,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             held.clear()
             return lines
 
+        gathered = 0
         for batch in batches:
             lines: list[tuple] = []
             for doc, crc, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "crc", "text"))):
@@ -179,12 +208,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                         n += 1
                     lines.append((c ^ s, d, c, s, n, None))
                     k += n
+                if gathered + len(lines) * 100 > BUNDLED:
+                    gathered += deal(lines)
+                    lines = []
+                    if gathered > BUNDLED:
+                        yield out()
+                        gathered = 0
             if len(held) > GATHERED:
                 lines += flush()
-            yield out(lines)
-        yield out(flush())
-
-    travelled = rows.mapInArrow(send, _TRAVEL).repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+            gathered += deal(lines)
+            if gathered > BUNDLED:
+                yield out()
+                gathered = 0
+        deal(flush())
+        yield out()
+
+    sent = rows.mapInArrow(send, "part int, bundle binary").repartition("part")
+    travelled = sent.mapInArrow(_unbundle, _TRAVEL).sortWithinPartitions("bucket", "doc_id")
     spans = travelled.mapInArrow(_spans_in_buckets, "doc_id long, crc long, start int, size int")
     listed = spans.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
