@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, small_batches
 
 #: At most so many pre-tokens, the most frequent ones, are sent to every executor.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 19
 #: Longer pre-tokens never are, so what is sent is bounded.
 FREQUENT_CHARS = 32
 #: Texts with none of these are in NFC, and lower() and the pattern treat them as the tokenizer does.
@@ -132,7 +132,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
                 data = text.encode("utf-8", "surrogatepass")
                 size += [len(data)] * (len(at) - len(size) + 1)
                 at.append(row), pre.append(f" {zlib.crc32(data)}"), n.append(tokens), mark.append(1)
-            rows = batch.take(pa.array(at, pa.int64()))
+            rows = batch.select(["doc_id", "crc"]).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), rows.column("crc"), pa.array(size, pa.int64()), pa.array(pre, pa.string()), pa.array(n, pa.int64()), pa.array(mark, pa.int32())],
                 names=["doc_id", "crc", "n_bytes", "pre", "n", "mark"],
