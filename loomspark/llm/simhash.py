@@ -1,13 +1,15 @@
-"""SimHash near-duplicates with Golay-code fuzzy hashing."""
+"""SimHash near-duplicates with Golay-code fuzzy hashing, and exact ones by shared shingles."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -17,6 +19,10 @@ from .common import checkpointed, components, if_small, per_text
 
 #: Keys shared by more fingerprints are linked by their one-bit neighbours instead of pair by pair.
 CROWDED = 16
+#: Documents sampled for shingles that many texts share, how many of them must have one, and how many are kept; they only order shingles.
+SAMPLE, COMMON, MOST_COMMON = 20_000, 16, 1 << 16
+#: Shingles of a family of texts that one task compares with another such block.
+FAMILY_BLOCK = 1 << 20
 # The generator polynomial of the perfect binary Golay code of length 23, and the segments of a fingerprint.
 _GENERATOR = 0b110001110101
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -188,10 +194,10 @@ def link_fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     return slim.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def _sketch(tables: int):
+def _sketch(tables: int, prefix: Callable[[list[bytes]], list[tuple]]):
     odd = np.random.default_rng(7).integers(1, 1 << 63, tables, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
-    def sketch(text: bytes) -> tuple[str, list[int]]:
+    def sketch(text: bytes) -> tuple:
         words = text.lower().split()
         base = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], dtype=np.uint64)
         fps = []
@@ -201,48 +207,161 @@ def _sketch(tables: int):
             h *= np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
             fps.append(_bits(h) if len(h) else 0)
-        return hashlib.sha256(b" ".join(words)).hexdigest(), fps
+        return hashlib.sha256(b" ".join(words)).hexdigest(), fps, *prefix(words)
 
     return sketch
 
 
+def _shingle_set(words: list[bytes], k: int) -> np.ndarray:
+    """Hashes of the distinct k-word shingles, in rising order."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(words, k)], dtype=np.uint64).view(np.int64))
+
+
+def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
+    """Shingles that many texts of a sample share, in rising order.
+
+    They only choose the order in which prefixes take shingles; every order
+    gives the same pairs, so a sample serves.
+    """
+    some = docs.sample(min(1.0, SAMPLE / max(1, docs.count())), seed=1)
+    held = per_text(some, ["doc_id"], {"set": "array<long>"}, lambda text: (_shingle_set(text.lower().split(), k).tolist(),))
+    counts = held.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    return np.array(sorted(r.token for r in counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).collect()), dtype=np.int64)
+
+
+def _prefix(common: np.ndarray, similarity: float, k: int):
+    """Size of a text's shingle set and its prefix: the shingles of which one is shared by every text that reaches the similarity.
+
+    Such texts share at least similarity * size of a set, so in any order that
+    all texts use, the first size - that + 1 shingles of both meet.
+    """
+
+    def prefix(words: list[bytes]) -> tuple[int, list[int]]:
+        own = _shingle_set(words, k)
+        late = np.isin(own, common)
+        own = np.concatenate([own[~late], own[late]])
+        return len(own), own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1].tolist() if len(own) else []
+
+    return prefix
+
+
+def _meetings(firsts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) nodes that may reach the similarity, and (node, family) of those that meet in crowded shingles, from (node, size, prefix).
+
+    At the first shingle that two texts share, no more can be shared than is
+    left of either; pairs for which that is too little go. A shingle shared by
+    more than CROWDED prefixes puts them into one family instead, as pairs of
+    many copies would be quadratic.
+    """
+    each = firsts.select("node", "size", F.posexplode("prefix").alias("at", "token"))
+    entry = F.struct("node", "size", "at")
+    shared = checkpointed(each.groupBy("token").agg(F.count("*").alias("n"), F.min(entry).alias("x"), F.max(entry).alias("y")).where("n > 1"))
+    many = shared.where("n > 2").select("token", "n", F.col("x.node").alias("least"))
+    met = checkpointed(each.join(if_small(many, 1_000_000), "token"))
+    listed = met.where(F.col("n") <= CROWDED).groupBy("token").agg(F.collect_list(entry).alias("all"))
+    pairs = listed.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("y"))
+    pairs = shared.where("n = 2").select("x", "y").union(pairs)
+    left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    pairs = pairs.where(left * (1 + similarity) + 1e-6 >= similarity * (F.col("x.size") + F.col("y.size")))
+    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    stars = met.where(F.col("n") > CROWDED).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return pairs, components(stars).withColumnRenamed("component", "family")
+
+
+def links_inside(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what all pairs of sets at the similarity connect: a search that compares each set with those not yet reached."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if n else np.zeros(0, np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    holders = np.repeat(np.arange(n), sizes)[np.argsort(ids, kind="stable")]
+    at = np.concatenate([[0], np.cumsum(np.bincount(ids))]) if len(ids) else np.zeros(1, np.int64)
+    far, found = np.ones(n, bool), []
+    for root in range(n):
+        if not far[root]:
+            continue
+        far[root] = False
+        queue = [root]
+        while queue and far.any():
+            x = queue.pop()
+            own = ids[starts[x] : starts[x + 1]]
+            counts = at[own + 1] - at[own]
+            places = np.repeat(at[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            both = np.bincount(holders[places], minlength=n)
+            near = np.flatnonzero(far & (both > 0) & (both >= similarity * (sizes[x] + sizes - both)))
+            far[near] = False
+            found += [(x, int(y)) for y in near]
+            queue += near.tolist()
+    return found
+
+
+def _family_links(families: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) links that connect what the pairs of each family connect.
+
+    A family is dealt into blocks of about FAMILY_BLOCK shingles, and every two
+    blocks are searched in one task.
+    """
+    sized = checkpointed(families.join(sets, "node").select("family", "node", F.size("set").alias("size")))
+    blocks = sized.groupBy("family").agg(F.ceil(F.sum("size") / FAMILY_BLOCK).cast("int").alias("blocks"))
+    dealt = sized.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.expr("sequence(0, greatest(blocks, 1) - 1)")))
+    cells = cells.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(sets, "node")
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        nodes = group["node"].to_numpy()
+        links = links_inside([np.asarray(s, dtype=np.int64) for s in group["set"]], similarity)
+        return pd.DataFrame([(nodes[x], nodes[y]) for x, y in links], columns=["a", "b"]).astype("int64")
+
+    return cells.groupBy("family", "i", "j").applyInPandas(search, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, tables: int = 8, bits: int = 8) -> DataFrame:
     """(doc_id, keeper) of every document that another one, its keeper, stands for.
 
-    Texts with the same words are one class, kept by its smallest doc_id. Class
-    keepers get `tables` SimHash fingerprints of their distinct words, which
-    small edits move by few bits; those that share a Golay key in any table and
-    differ in `bits` bits or less become pairs
-    and are verified: their sets of k-word shingles must reach `similarity`
-    (fewer words than k: the whole sequence is the one shingle). A group is what
-    verified pairs connect; its smallest doc_id is the keeper. Null doc_ids
-    take no part; null texts are empty texts.
+    Texts with the same words are one class. Two ways give pairs of classes:
+    `tables` SimHash fingerprints of the distinct words that share a Golay key
+    and differ in `bits` bits or less, and prefixes of the sets of k-word
+    shingles, in which all texts that reach `similarity` meet (fewer words than
+    k: the whole sequence is the one shingle). All pairs are verified on these
+    sets. A group is what pairs at the similarity connect, none of them missed;
+    its smallest doc_id is the keeper. Null doc_ids take no part; null texts
+    are empty texts.
     """
-    adds = {"digest": "string", "fps": "array<long>"}
-    slim = checkpointed(per_text(docs.where("doc_id IS NOT NULL"), ["doc_id"], adds, _sketch(tables)))
-    classes = checkpointed(slim.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.min("fps").alias("fps")))
-    rows = classes.select("keeper", F.posexplode("fps").alias("tab", "fp"))
-    leaders = checkpointed(rows.groupBy("tab", "fp").agg(F.min("keeper").alias("leader")))
-    same = rows.join(leaders, ["tab", "fp"]).where("leader <> keeper").select(F.col("leader").alias("a"), F.col("keeper").alias("b"))
+    docs = docs.where("doc_id IS NOT NULL")
+    adds = {"digest": "string", "fps": "array<long>", "size": "int", "prefix": "array<long>"}
+    sketch = _sketch(tables, _prefix(common_shingles(docs, k), similarity, k))
+    slim = checkpointed(per_text(docs, ["doc_id"], adds, sketch).withColumn("node", F.monotonically_increasing_id()))
+    classes = checkpointed(slim.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.min("node").alias("node")))
+    firsts = slim.join(if_small(classes.select("node"), 2_000_000), "node", "left_semi")
+    rows = firsts.select("node", F.posexplode("fps").alias("tab", "fp"))
+    leaders = checkpointed(rows.groupBy("tab", "fp").agg(F.min("node").alias("leader")))
+    same = rows.join(leaders, ["tab", "fp"]).where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     links = candidate_links(leaders, bits)
     one = leaders.select("tab", F.col("fp").alias("a"), F.col("leader").alias("la"))
     two = leaders.select("tab", F.col("fp").alias("b"), F.col("leader").alias("lb"))
     linked = links.join(one, ["tab", "a"]).join(two, ["tab", "b"]).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
-    pairs = checkpointed(same.union(linked).where("a < b").distinct())
-    wanted = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    meeting, families = _meetings(firsts, similarity)
+    families = checkpointed(families)
+    pairs = checkpointed(same.union(linked).union(meeting).where("a < b").distinct())
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(families.select("node")).distinct()
+    wanted = checkpointed(wanted.join(classes, "node").select("node", "digest", F.col("keeper").alias("doc_id")))
 
-    def shingle_set(text: bytes) -> tuple[list[int]]:
-        return (list({int(np.uint64(xxhash.xxh64_intdigest(s, 42)).view(np.int64)) for s in shingles(text.lower().split(), k)}),)
+    def shingle_set(text: bytes) -> tuple[str, list[int]]:
+        words = text.lower().split()
+        return hashlib.sha256(b" ".join(words)).hexdigest(), _shingle_set(words, k).tolist()
 
-    texts = docs.select("doc_id", "text").join(if_small(wanted, 1_000_000), "doc_id", "left_semi")
-    sets = checkpointed(per_text(texts, ["doc_id"], {"set": "array<long>"}, shingle_set).dropDuplicates(["doc_id"]))
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b"
+    texts = docs.select("doc_id", "text").join(if_small(wanted.select("doc_id").distinct(), 1_000_000), "doc_id", "left_semi")
+    sets = per_text(texts, ["doc_id"], {"digest": "string", "set": "array<long>"}, shingle_set).drop("doc_id")
+    sets = checkpointed(sets.join(if_small(wanted.select("digest", "node"), 1_000_000), "digest").select("node", "set").dropDuplicates(["node"]))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b"
     )
     common = F.size(F.array_intersect("sa", "sb"))
     true = both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    groups = components(true)
-    kept = classes.join(groups, classes.keeper == groups.node, "left").select("digest", F.coalesce("component", "keeper").alias("keeper"))
+    groups = components(true.union(_family_links(families, sets, similarity)))
+    whole = checkpointed(classes.join(groups, "node", "left").select("digest", "keeper", F.coalesce("component", "node").alias("component")))
+    least = whole.groupBy("component").agg(F.min("keeper").alias("keeper"))
+    kept = whole.select("digest", "component").join(least, "component").select("digest", "keeper")
     return slim.select("doc_id", "digest").join(kept, "digest").where("doc_id <> keeper").select("doc_id", "keeper")
 
 

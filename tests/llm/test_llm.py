@@ -169,6 +169,29 @@ def test_near_duplicates(spark, awkward, empty):
     assert simhash.deduplicated(empty).collect() == []
 
 
+def _keepers(spark, texts):
+    """(found, right) keepers, by near_duplicates and by all pairs."""
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {i: set(zip(*(t.lower().split()[j:] for j in range(5)))) for i, t in texts.items()}
+    groups = brute.components(texts, lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    return {r.doc_id: r.keeper for r in simhash.near_duplicates(docs).collect()}, {i: g for i, g in groups.items() if i != g}
+
+
+def test_near_duplicates_with_blocks(spark):
+    rng, texts = np.random.default_rng(11), {}
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in rng.permutation(300)]
+        for n, share in enumerate((0.1, 0.15, 0.24)):
+            block = [f"n{rng.integers(1 << 40)}" for _ in range(int(300 * share))]
+            cut = int(rng.integers(300 - len(block)))
+            texts[100 * g + 10 * n] = " ".join(base)
+            texts[100 * g + 10 * n + 1] = " ".join(base + block)
+            texts[100 * g + 10 * n + 2] = " ".join(base[:cut] + block[: len(block) // 3] + base[cut + len(block) // 3 :])
+            base = [f"{w}x" for w in base]
+    found, right = _keepers(spark, texts)
+    assert found == right and len(right) == 240
+
+
 def test_decontamination(spark, both, empty, folder):
     bench = spark.read.parquet(f"{folder}/benchmark.parquet")
     own = spark.createDataFrame([(1, "Shared0 shared1, shared2 SHARED3 shared4 shared5"), (2, "a  b"), (3, None), (4, "..."), (5, "A b!"), (6, " ".join(f"w{i}x{i}" for i in range(20)))], "item_id long, text string")
