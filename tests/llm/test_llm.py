@@ -191,6 +191,15 @@ def test_near_duplicates_with_blocks(spark):
     found, right = _keepers(spark, texts)
     assert found == right and len(right) == 240
 
+def test_near_duplicates_of_one_vocabulary(spark):
+    rng, words = np.random.default_rng(12), np.array([f"v{i}" for i in range(200)])
+    texts = {0: " ".join(words)}
+    for g in range(1, 30):
+        order = rng.permutation(words).tolist()
+        texts |= {10 * g: " ".join(order), 10 * g + 1: " ".join(order[100:] + order[:100])}
+    found, right = _keepers(spark, texts)
+    assert found == right and len(right) == 29
+
 
 def test_decontamination(spark, both, empty, folder):
     bench = spark.read.parquet(f"{folder}/benchmark.parquet")
