@@ -200,6 +200,27 @@ def test_near_duplicates_of_one_vocabulary(spark):
     found, right = _keepers(spark, texts)
     assert found == right and len(right) == 29
 
+def test_near_duplicates_in_crowded_keys(spark, monkeypatch):
+    rng, base = np.random.default_rng(13), [f"c{i}" for i in range(300)]
+    texts = {i: _edited(base, rng, 1) for i in range(200)}
+    for g in range(30):  # the same words in another order, so in the same keys, but unlike the others
+        other = rng.permutation(base).tolist()
+        texts |= {1000 + 10 * g + i: _edited(other, rng, 1) for i in range(2)}
+    found, right = _keepers(spark, texts)
+    assert found == right
+    monkeypatch.setattr(simhash, "FAMILY_BLOCK", 5_000)
+    assert _keepers(spark, texts)[0] == right
+
+
+def test_links_inside_connect_all_pairs():
+    rng = np.random.default_rng(14)
+    for _ in range(30):
+        sets = [np.unique(rng.integers(0, 12, rng.integers(1, 12))) for _ in range(25)]
+        alike = lambda a, b: 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))
+        links = set(simhash.links_inside(sets, 0.8))
+        assert brute.components(range(25), lambda a, b: (a, b) in links or (b, a) in links) == brute.components(range(25), alike)
+        assert all(alike(a, b) for a, b in links)
+
 
 def test_decontamination(spark, both, empty, folder):
     bench = spark.read.parquet(f"{folder}/benchmark.parquet")
