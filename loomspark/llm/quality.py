@@ -10,8 +10,9 @@ from .common import per_text
 _SPACE, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 #: The shortest repeat, in words, that counts against a text.
 MIN_REPEAT = 10
-#: The largest share of words inside such repeats, and the longest single repeat as a share of the text.
-MAX_COVERED, MAX_LONGEST = 0.5, 0.4
+#: The largest share of words inside such repeats (Rae et al. 2021, "Gopher", allow 0.10 inside repeated 10-grams), and the
+#: longest single repeat as a share of the text: under half of that share, as a passage and its copy cover twice its length.
+MAX_COVERED, MAX_LONGEST = 0.1, 0.04
 
 
 def longest_repeats(ids: np.ndarray) -> np.ndarray:

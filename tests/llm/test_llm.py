@@ -315,6 +315,25 @@ def test_quality(both, empty):
     assert quality.quality(empty).collect() == []
 
 
+def test_quality_limits_bind_below_the_base():
+    fresh, least = (f"q{i}" for i in range(10**6)), quality.MIN_REPEAT
+
+    def text(n, *repeats):
+        """n words, with passages of the given lengths and times in them."""
+        parts = [p for length, times in repeats for p in [[next(fresh) for _ in range(length)]] * times]
+        rest = n - sum(map(len, parts))
+        return " ".join(w for i in range(rest) for w in [next(fresh), *(parts.pop() if parts and i % 7 == 6 else ())]).encode()
+
+    def verdict(t):
+        n, _, _, _, _, top, share, failed, kept = quality.measure(t)
+        return share > quality.MAX_COVERED, top >= least and top > quality.MAX_LONGEST * n, failed, kept
+
+    assert verdict(text(1000, *[(10, 2)] * 6)) == (True, False, False, False)
+    assert verdict(text(1000, (45, 2))) == (False, True, False, False)
+    assert verdict(text(1000, (30, 2))) == (False, False, False, True)
+    assert not verdict(text(200, (48, 2)))[-1] and not verdict(text(200, (12, 8)))[-1]
+
+
 def test_suffix_array_repeats():
     rng = np.random.default_rng(6)
     for _ in range(40):
