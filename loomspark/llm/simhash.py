@@ -12,10 +12,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, if_small, per_text
+from .common import checkpointed, components, if_small, lower_az, per_text
 
 #: Keys shared by more fingerprints are linked by their one-bit neighbours instead of pair by pair.
 CROWDED = 16
@@ -316,18 +316,18 @@ def _family_links(families: DataFrame, sets: DataFrame, similarity: float) -> Da
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, tables: int = 8, bits: int = 8) -> DataFrame:
-    """(doc_id, keeper) of every document that another one, its keeper, stands for.
+    """(doc_id, digest, keeper) of every document that another one, its keeper, stands for.
 
-    Texts with the same words are one class. Two ways give pairs of classes:
+    Texts with the same words are one class, named by their digest, as rows may
+    share a doc_id or have none. Two ways give pairs of classes:
     `tables` SimHash fingerprints of the distinct words that share a Golay key
     and differ in `bits` bits or less, and prefixes of the sets of k-word
     shingles, in which all texts that reach `similarity` meet (fewer words than
     k: the whole sequence is the one shingle). All pairs are verified on these
     sets. A group is what pairs at the similarity connect, none of them missed;
-    its smallest doc_id is the keeper. Null doc_ids take no part; null texts
-    are empty texts.
+    its smallest doc_id is the keeper, or null if it has none (of equal ones,
+    the one with the smallest digest). Null texts are empty texts.
     """
-    docs = docs.where("doc_id IS NOT NULL")
     adds = {"digest": "string", "fps": "array<long>", "size": "int", "prefix": "array<long>"}
     sketch = _sketch(tables, _prefix(common_shingles(docs, k), similarity, k))
     slim = checkpointed(per_text(docs, ["doc_id"], adds, sketch).withColumn("node", F.monotonically_increasing_id()))
@@ -350,7 +350,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, tables
         words = text.lower().split()
         return hashlib.sha256(b" ".join(words)).hexdigest(), _shingle_set(words, k).tolist()
 
-    texts = docs.select("doc_id", "text").join(if_small(wanted.select("doc_id").distinct(), 1_000_000), "doc_id", "left_semi")
+    ids = wanted.select(F.col("doc_id").alias("id")).distinct()
+    texts = docs.select("doc_id", "text").join(if_small(ids, 1_000_000), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = per_text(texts, ["doc_id"], {"digest": "string", "set": "array<long>"}, shingle_set).drop("doc_id")
     sets = checkpointed(sets.join(if_small(wanted.select("digest", "node"), 1_000_000), "digest").select("node", "set").dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(
@@ -360,20 +361,32 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, tables
     true = both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
     groups = components(true.union(_family_links(families, sets, similarity)))
     whole = checkpointed(classes.join(groups, "node", "left").select("digest", "keeper", F.coalesce("component", "node").alias("component")))
-    least = whole.groupBy("component").agg(F.min("keeper").alias("keeper"))
-    kept = whole.select("digest", "component").join(least, "component").select("digest", "keeper")
-    return slim.select("doc_id", "digest").join(kept, "digest").where("doc_id <> keeper").select("doc_id", "keeper")
+    first = F.min(F.struct(F.col("keeper").isNull(), F.col("keeper").alias("id"), "digest")).alias("first")
+    least = whole.groupBy("component").agg(first).select("component", F.col("first.id").alias("keeper"), F.col("first.digest").alias("its"))
+    kept = whole.select("digest", "component").join(least, "component").select("digest", "keeper", "its")
+    gone = slim.select("doc_id", "digest").join(kept, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keeper")) | (F.col("digest") != F.col("its")))
+    return gone.select("doc_id", "digest", "keeper")
+
+
+def _digest(text: Column) -> Column:
+    """The digest of a text's words, as near_duplicates gives it."""
+    words = F.regexp_replace(lower_az(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " ")
+    return F.sha2(F.encode(F.trim(words), "utf-8"), 256)
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group of near-duplicates, all columns unchanged.
 
-    Documents with a null doc_id stay. Of rows that share a doc_id one stays.
+    Rows that share a doc_id, or have none, are told apart by their words; of
+    those with equal words one stays.
     """
-    gone = checkpointed(near_duplicates(docs, **options).select("doc_id").distinct())
-    left = docs.join(if_small(gone, 2_000_000), "doc_id", "left_anti").select(*docs.columns)
-    twice = checkpointed(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    gone = checkpointed(near_duplicates(docs, **options).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_gone")).distinct())
+    twice = docs.groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1 OR _twice IS NULL").select("_twice")
+    twice = checkpointed(twice)
+    left = docs.join(if_small(gone, 2_000_000), F.col("doc_id") == F.col("_id"), "left_anti")
     if twice.isEmpty():
         return left
-    repeats = left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).union(repeats)
+    shared = F.col("doc_id").eqNullSafe(F.col("_twice"))
+    repeats = docs.join(twice, shared, "left_semi").withColumn("_digest", _digest(F.col("text")))
+    repeats = repeats.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_gone")), "left_anti")
+    return left.join(twice, shared, "left_anti").union(repeats.dropDuplicates(["doc_id", "_digest"]).drop("_digest"))

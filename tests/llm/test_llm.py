@@ -212,6 +212,14 @@ def test_near_duplicates_in_crowded_keys(spark, monkeypatch):
     assert _keepers(spark, texts)[0] == right
 
 
+def test_deduplicated_by_words_where_ids_repeat_or_lack(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, one), (2, "  " + one.upper() + "\n"), (2, two), (2, two), (3, "\t" + two), (None, three), (None, three + " "), (None, one), (None, None), (None, ""), (5, three + " ü"), (4, "Ü x")]
+    left = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = Counter((r.doc_id, " ".join((r.text or "").lower().split())) for r in left.collect())
+    assert found == Counter([(1, one), (2, two), (5, three + " ü"), (None, ""), (4, "ü x")])
+
+
 def test_links_inside_connect_all_pairs():
     rng = np.random.default_rng(14)
     for _ in range(30):
