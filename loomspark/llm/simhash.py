@@ -22,7 +22,7 @@ CROWDED = 16
 #: Documents sampled for shingles that many texts share, how many of them must have one, and how many are kept; they only order shingles.
 SAMPLE, COMMON, MOST_COMMON = 20_000, 16, 1 << 16
 #: Shingles of a family of texts that one task compares with another such block.
-FAMILY_BLOCK = 1 << 20
+FAMILY_BLOCK = 1 << 21
 # The generator polynomial of the perfect binary Golay code of length 23, and the segments of a fingerprint.
 _GENERATOR = 0b110001110101
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -250,21 +250,29 @@ def _meetings(firsts: DataFrame, similarity: float) -> tuple[DataFrame, DataFram
 
     At the first shingle that two texts share, no more can be shared than is
     left of either; pairs for which that is too little go. A shingle shared by
-    more than CROWDED prefixes puts them into one family instead, as pairs of
+    more than CROWDED prefixes is split by bands of size, each text in its own
+    and the next, so that all sizes that can reach the similarity meet. A band
+    that is still crowded puts its texts into one family instead, as pairs of
     many copies would be quadratic.
     """
     each = firsts.select("node", "size", F.posexplode("prefix").alias("at", "token"))
     entry = F.struct("node", "size", "at")
     shared = checkpointed(each.groupBy("token").agg(F.count("*").alias("n"), F.min(entry).alias("x"), F.max(entry).alias("y")).where("n > 1"))
-    many = shared.where("n > 2").select("token", "n", F.col("x.node").alias("least"))
+    many = shared.where("n > 2").select("token", "n")
     met = checkpointed(each.join(if_small(many, 1_000_000), "token"))
-    listed = met.where(F.col("n") <= CROWDED).groupBy("token").agg(F.collect_list(entry).alias("all"))
+    band = F.floor(F.log("size") / max(1e-4, -math.log(similarity) * (1 + 1e-6))).cast("int")  # a little wider, as logarithms are rounded
+    banded = checkpointed(met.where(F.col("n") > CROWDED).withColumn("band", F.explode(F.array(band, band + 1))).drop("n"))
+    filled = banded.groupBy("token", "band").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+    crowd = checkpointed(banded.join(filled, ["token", "band"]))
+    few = met.withColumn("band", F.lit(-1)).select("token", "band", "n", "node", "size", "at")
+    few = few.union(crowd.select(*few.columns)).where(F.col("n") <= CROWDED)
+    listed = few.groupBy("token", "band").agg(F.collect_list(entry).alias("all"))
     pairs = listed.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("y"))
     pairs = shared.where("n = 2").select("x", "y").union(pairs)
     left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
     pairs = pairs.where(left * (1 + similarity) + 1e-6 >= similarity * (F.col("x.size") + F.col("y.size")))
     pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    stars = met.where(F.col("n") > CROWDED).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    stars = crowd.where(F.col("n") > CROWDED).select(F.col("least").alias("a"), F.col("node").alias("b"))
     return pairs, components(stars).withColumnRenamed("component", "family")
 
 
