@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,31 +33,46 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, as one text may hold megabytes."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def fresh(columns: Iterable[str], name: str) -> str:
+    """`name`, lengthened until no column has it; Spark's names ignore case."""
+    taken = {x.lower() for x in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def per_text(df: DataFrame, carry: list[str], adds: dict[str, str], measure: Callable[[bytes], tuple], text: str = "text") -> DataFrame:
-    """df's columns in `carry` and what measure() gives for every text, as UTF-8 bytes; null counts as empty.
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches, which Spark bounds in bytes, in pieces of few rows, as what is made of a text may be larger than it."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def per_batch(
+    df: DataFrame, carry: list[str], adds: dict[str, str], measure: Callable[[list[bytes]], list[tuple]], text: str = "text"
+) -> DataFrame:
+    """df's columns in `carry` and what measure() gives for a list of texts, as UTF-8 bytes; null counts as empty.
 
-    Runs in Arrow batches, so carried values pass unchanged, nulls included.
+    Carried values pass unchanged, nulls included.
     """
-    small_batches(df.sparkSession)
     kinds = [_ARROW[k] for k in adds.values()]
-    schema = df.select(*carry).schema
+    schema = df.select(*[df[c] for c in carry]).schema
     for name, kind in adds.items():
         schema = schema.add(StructType.fromDDL(f"{name} {kind}")[0])
+    own = fresh(carry, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [measure(t or b"") for t in batch.column("_text").to_pylist()]
-            columns = list(zip(*rows)) if rows else [()] * len(kinds)
-            made = [pa.array(list(c), k) for c, k in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + made, names=[*carry, *adds])
+        for batch in slices(batches):
+            made = measure([t or b"" for t in batch.column(own).to_pylist()])
+            columns = [pa.array(list(c), k) for c, k in zip(zip(*made), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + columns, names=[*carry, *adds])
 
-    return df.select(*[df[c] for c in carry], F.encode(df[text], "utf-8").alias("_text")).mapInArrow(run, schema)
+    return df.select(*[df[c] for c in carry], F.encode(df[text], "utf-8").alias(own)).mapInArrow(run, schema)
+
+
+def per_text(df: DataFrame, carry: list[str], adds: dict[str, str], measure: Callable[[bytes], tuple], text: str = "text") -> DataFrame:
+    """per_batch() with a measure of one text."""
+    return per_batch(df, carry, adds, lambda texts: [measure(t) for t in texts], text)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:

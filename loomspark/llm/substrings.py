@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, if_small, small_batches
+from .common import checkpointed, if_small, slices
 
 #: Words in a window, and in the part of it that names its bucket.
 WINDOW, PART = 13, 3
@@ -133,14 +133,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     task has settled those it holds itself, so a passage that many documents
     share is gathered before the shuffle.
     """
-    small_batches(docs.sparkSession)
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("crc"), F.encode("text", "utf-8").alias("text")
     )
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter()
-        for batch in batches:
+        for batch in slices(batches):
             found = [cutter.cut(t.split())[0] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64())], names=["bucket"])
 
@@ -174,7 +173,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             return lines
 
         gathered = 0
-        for batch in batches:
+        for batch in slices(batches):
             lines: list[tuple] = []
             for doc, crc, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "crc", "text"))):
                 words = text.split()
@@ -267,7 +266,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, removed, sha, kept = [], [], [], []
             for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends"))):
                 words = text.split()

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches
+from .common import checkpointed, slices
 
 #: At most so many pre-tokens, the most frequent ones, are sent to every executor.
 FREQUENT = 1 << 19
@@ -71,7 +71,6 @@ def _pieces_of(path: str) -> tuple[Callable[[str], tuple[int, Counter]], Callabl
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -80,7 +79,7 @@ def pre_token_totals(docs: DataFrame, path: str) -> DataFrame:
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, _ = _pieces_of(path)
-        for batch in batches:
+        for batch in slices(batches):
             whole: Counter = Counter()
             for text in batch.column("text").to_pylist():
                 whole.update(count(text)[1])
@@ -116,7 +115,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
         """Per row one line with what is known, under a name that no pre-token has, and one for each other pre-token."""
         count, _ = _pieces_of(path)
         known = frequent.value
-        for batch in batches:
+        for batch in slices(batches):
             at: list[int] = []
             pre: list[str] = []
             n: list[int] = []
