@@ -2,84 +2,122 @@
 
 from __future__ import annotations
 
-from itertools import pairwise
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, if_small, n_words, ranked
+from .common import checkpointed, fresh, if_small, n_words, ranked
+
+#: Words that are left to the dynamic programme: this many, or so many times the longest document, whichever is more.
+DP_WORDS, DP_LONGEST = 1 << 22, 16
 
-#: Words that are left to the dynamic programme; a larger remainder goes to whole documents first.
-DP_WORDS = 1 << 14
-#: Distinct lengths that the dynamic programme may combine.
-DP_LENGTHS = 256
+
+def reachable(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
+    """How many of `free` documents of each length to take so that the sum is the largest one up to budget: a bounded knapsack.
+
+    Reachable sums are the bits of one integer; every length's documents come in
+    lots of 1, 2, 4, ... For each sum the first lot that reaches it is noted, so
+    the way back only meets earlier lots. It ends when the budget is reached.
+    """
+    taken = np.zeros(len(lengths), np.int64)
+    if budget <= 0:
+        return taken
+    lots: list[tuple[int, int, int]] = []  # (place, documents, words)
+    by = np.full(budget + 1, -1, np.int32)
+    mask, sums = (1 << (budget + 1)) - 1, 1
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        size, left, lot = int(lengths[i]), int(free[i]), 1
+        left = min(left, budget // size) if size else 0
+        while left > 0 and not sums >> budget & 1:
+            lot = min(lot, left)
+            new = (sums << lot * size) & mask & ~sums
+            if new:
+                data = np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8)
+                at = np.flatnonzero(data)
+                bits = np.unpackbits(data[at, None], axis=1, bitorder="little")
+                row, bit = np.nonzero(bits)
+                by[at[row] * 8 + bit] = len(lots)
+                lots.append((i, lot, lot * size))
+                sums |= new
+            left -= lot
+            lot *= 2
+    at = sums.bit_length() - 1
+    while at:
+        i, n, words = lots[by[at]]
+        taken[i] += n
+        at -= words
+    return taken
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their lengths add up to budget, or just under.
 
     An equal share of every length comes first, then single documents from the
-    longest down, and a bounded knapsack (reachable sums as the bits of one
-    integer) fits the words that are left.
+    longest down, until what is left is about `DP_WORDS` or `DP_LONGEST` times
+    the longest document; the bounded knapsack over all lengths fits that. A
+    smaller budget is left to the knapsack altogether, so its sum is the best.
     """
-    lengths, counts = lengths.astype(object), counts.astype(object)
-    total = int((lengths * counts).sum())
-    taken = np.zeros(len(lengths), dtype=object)
+    total = sum(n * c for n, c in zip(lengths.tolist(), counts.tolist()))
+    taken = np.zeros(len(lengths), np.int64)
     if budget <= 0 or total == 0:
-        return taken.astype(np.int64)
+        return taken
     budget = min(int(budget), total)
-    taken[:] = [int(c) * budget // total for c in counts]
-    left = budget - int((lengths * taken).sum())
-    longest_first = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    for cap in (1, None):
-        for i in longest_first:
-            if left > DP_WORDS and 0 < lengths[i]:
-                n = min(counts[i] - taken[i], max(0, left - DP_WORDS) // lengths[i])
-                n = n if cap is None else min(n, cap)
-                taken[i] += n
-                left -= n * lengths[i]
-    # bounded knapsack: each length's free documents in lots of 1, 2, 4, ...
-    lots = []
-    usable = [i for i in reversed(longest_first) if 0 < lengths[i] <= left and counts[i] > taken[i]]
-    for i in usable[:: max(1, len(usable) // DP_LENGTHS)]:
-        free, lot = min(counts[i] - taken[i], left // lengths[i]), 1
-        while free > 0:
-            lot = min(lot, free)
-            lots.append((i, lot))
-            free -= lot
-            lot *= 2
-    mask, reach = (1 << (left + 1)) - 1, [1]
-    for i, lot in lots:
-        reach.append((reach[-1] | reach[-1] << int(lot * lengths[i])) & mask)
-    at = reach[-1].bit_length() - 1
-    for (i, lot), (earlier, _) in zip(reversed(lots), reversed(list(pairwise(reach)))):
-        if not earlier >> at & 1:
-            taken[i] += lot
-            at -= int(lot * lengths[i])
-    return taken.astype(np.int64)
+    window = max(DP_WORDS, DP_LONGEST * int(lengths.max()))
+    left = budget
+    if left > window:
+        share = left - window
+        taken = np.array([c * share // total for c in counts.tolist()], dtype=np.int64)
+        left -= sum(n * c for n, c in zip(lengths.tolist(), taken.tolist()))
+        for i in np.argsort(-lengths, kind="stable").tolist():
+            if taken[i] < counts[i] and 0 < lengths[i] <= left - window:
+                taken[i] += 1
+                left -= int(lengths[i])
+    return taken + reachable(lengths, counts - taken, left)
 
 
 def source_targets(by_source: DataFrame, weights: tuple[float, ...], budget: float, most: float) -> DataFrame:
     """(source, source_size) with target: shares by weight, none above most times its source's size.
 
-    Works on one row per source; only that table meets in a window.
+    Sources are ranked by a range sort. A source stops at its most when its
+    share, `level` times its weight, would reach it; each round sums what has
+    stopped and raises the level for the others, until no more stop. Only those
+    sums go to the driver, so any number of sources will do.
     """
-    name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(name) - 1) % len(weights) + 1)
-    every, sooner = Window.partitionBy(), Window.orderBy("_full", "source").rowsBetween(Window.unboundedPreceding, -1)
-    capped = by_source.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * most).withColumn("_full", F.col("_cap") / F.col("_w"))
-    filled = capped.select(
-        "*",
-        (F.sum("source_size").over(every) * budget).alias("_all"),
-        F.sum("_w").over(every).alias("_ws"),
-        F.coalesce(F.sum("_cap").over(sooner), F.lit(0.0)).alias("_cap0"),
-        F.coalesce(F.sum("_w").over(sooner), F.lit(0.0)).alias("_w0"),
-    ).withColumn("_stops", (F.col("_all") - F.col("_cap0")) * F.col("_w") >= F.col("_cap") * (F.col("_ws") - F.col("_w0")))
-    rest = F.col("_all") - F.sum(F.when(F.col("_stops"), F.col("_cap")).otherwise(0.0)).over(every)
-    share = rest * F.col("_w") / F.sum(F.when(F.col("_stops"), 0.0).otherwise(F.col("_w"))).over(every)
-    return filled.select("source", "source_size", F.when(F.col("_stops"), F.col("_cap")).otherwise(share).alias("target"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_place") % len(weights)).cast("int") + 1)
+    placed = checkpointed(ranked(by_source, F.col("source").asc_nulls_last(), name="_place").withColumn("_w", weight).drop("_place"))
+    size = F.col("source_size")
+    every = placed.agg(F.sum(size), F.sum("_w")).first()
+    whole, level, before = budget * float(every[0] or 0), 0.0, -1
+    shares = float(every[1] or 0)
+    while shares > 0:
+        level = whole / shares
+        stops = size * most <= F.col("_w") * F.lit(level)
+        n, full, rest = placed.agg(F.count_if(stops), F.sum(F.when(stops, size)), F.sum(F.when(~stops, F.col("_w")))).first()
+        if n == before:
+            break
+        before, whole, shares = n, budget * float(every[0]) - most * float(full or 0), float(rest or 0)
+    # where all have stopped, none is below its most
+    target = F.least(size * most, F.col("_w") * F.lit(level)) if shares > 0 else size * most
+    return placed.select("source", "source_size", target.cast("double").alias("target"))
+
+
+def plan_of(slim: DataFrame, weights: tuple[float, ...], budget: float, most: int) -> DataFrame:
+    """(source, size, source_size, target, whole, extra) of every length of every source: `whole` of all its documents and `extra` of them once more."""
+    lengths = slim.groupBy("source", "size").agg(F.count("*").alias("n"))
+    targets = source_targets(lengths.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, budget, most)
+
+    def fit(one: pd.DataFrame) -> pd.DataFrame:
+        size, target = int(one.source_size.iloc[0]), float(one.target.iloc[0])
+        whole = min(most, int(target // size)) if size else 0
+        extra = np.zeros(len(one), np.int64)
+        if size and whole < most:
+            extra = fit_counts(one["size"].to_numpy(), one["n"].to_numpy(), int(target + 1e-6) - whole * size)
+        return pd.DataFrame({"source": one.source, "size": one["size"], "source_size": size, "target": target, "whole": whole, "extra": extra})
+
+    # a group is one source's lengths: it grows with the longest text, not with the documents
+    histogram = lengths.join(targets, lengths.source.eqNullSafe(targets.source)).drop(targets.source)
+    return checkpointed(histogram.groupBy("source").applyInPandas(fit, "source string, size long, source_size long, target double, whole long, extra long"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, most: int = 2, seed: int = 42) -> DataFrame:
@@ -90,55 +128,58 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     and the excess is shared again. A source's target is whole passes over its
     documents and a remainder, for which documents are counted by exact length,
     a bounded knapsack says how many of each length to take, and the first of
-    each length in the order of a seeded hash of doc_id are taken.
+    each length in the order of a seeded hash of doc_id and text are taken.
 
-    Null or wordless texts have size 0; an empty table gives an empty result.
-    Rows equal in doc_id, source and size share one decision. Columns of docs
-    named like the ones added are replaced.
+    Null or wordless texts have size 0; an empty table gives an empty result. A
+    null doc_id is a value like any other. Rows equal in doc_id, source and text
+    are documents of their own: where only some of them are wanted, as many of
+    the equal rows are taken. Columns of docs named like the ones added are
+    replaced.
     """
     added = ("size", "source_size", "target", "copies")
-    docs = docs.drop(*added).withColumn("size", n_words(F.col("text")))
-    slim = checkpointed(docs.select("doc_id", "source", "size"))
-    lengths = slim.groupBy("source", "size").agg(F.count("*").alias("n"))
-    targets = source_targets(lengths.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, budget, most)
-
-    def fit(one: pd.DataFrame) -> pd.DataFrame:
-        size, target = int(one.source_size.iloc[0]), float(one.target.iloc[0])
-        whole = min(most, int(target // size)) if size else 0
-        extra = fit_counts(one["size"].to_numpy(), one["n"].to_numpy(), round(target) - whole * size) if size else np.zeros(len(one), np.int64)
-        extra = np.minimum(extra, one["n"].to_numpy()) if whole < most else np.zeros(len(one), np.int64)
-        return pd.DataFrame({"source": one.source, "size": one["size"], "n": one["n"], "source_size": size, "target": target, "whole": whole, "extra": extra})
-
-    # a group is one source's lengths: it grows with the longest text, not with the documents
-    histogram = lengths.join(targets, lengths.source.eqNullSafe(targets.source)).drop(targets.source)
-    plan = checkpointed(
-        histogram.groupBy("source").applyInPandas(fit, "source string, size long, n long, source_size long, target double, whole long, extra long")
-    )
-    # the document that closes each length's choice: the extra-th in hash order
-    draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    line = ranked(slim.withColumn("_draw", draw), F.col("source"), F.col("size"), F.col("_draw"), F.col("doc_id"), name="_rank")
-    first = line.groupBy("source", "size").agg(F.min("_rank").alias("_first"))
-    cut = (
-        plan.where("extra > 0")
-        .alias("p")
-        .join(first.alias("f"), F.expr("p.source <=> f.source AND p.size = f.size"))
-        .select("p.source", "p.size", (F.col("_first") + F.col("extra") - 1).alias("_rank"))
+    docs = docs.drop(*added)
+    draw, source, size, last = (fresh(docs.columns, n) for n in ("_draw", "_source", "_size", "_last"))
+    docs = docs.withColumn("size", n_words(F.col("text"))).withColumn(draw, F.xxhash64(F.lit(seed), "doc_id", "text"))
+    slim = checkpointed(docs.select("source", "size", F.col(draw).alias("draw")))
+    plan = plan_of(slim, weights, budget, most)
+    # the draw that closes each length's choice: that of the extra-th document in its order
+    line = ranked(slim, "source", "size", "draw", name="rank")
+    first = line.groupBy("source", "size").agg(F.min("rank").alias("first"))
+    wanted = plan.where("extra > 0").select(F.col("source").alias("s"), F.col("size").alias("z"), "extra")
+    cut = first.join(wanted, F.expr("source <=> s AND size = z")).select((F.col("first") + F.col("extra") - 1).alias("rank"))
+    closing = line.join(if_small(checkpointed(cut), 200_000), "rank").select(
+        F.col("source").alias("s"), F.col("size").alias("z"), F.col("draw").alias("last"), F.col("rank").alias("closes")
     )
-    last = line.select("_rank", "_draw", F.col("doc_id").alias("_last_id")).join(cut, "_rank").drop("_rank")
-    last = last.withColumnRenamed("_draw", "_last_draw")
-    plan = plan.alias("p").join(last.alias("l"), F.expr("p.source <=> l.source AND p.size = l.size"), "left")
-    plan = checkpointed(plan.select("p.source", "p.size", "source_size", "target", "whole", "extra", "_last_draw", "_last_id"))
-    plan = plan.withColumnsRenamed({"source": "_source", "size": "_size"})
-    mixed = docs.withColumn("_draw", draw).join(if_small(plan, 200_000), F.expr("source <=> _source AND size = _size"))
-    chosen = (F.col("_draw") < F.col("_last_draw")) | (
-        (F.col("_draw") == F.col("_last_draw")) & (F.coalesce("doc_id", F.lit(-(1 << 63))) <= F.coalesce("_last_id", F.lit(-(1 << 63))))
+    # of several documents with that draw only those up to the rank are taken
+    tied = line.join(if_small(checkpointed(closing), 200_000), F.expr("source <=> s AND size = z AND draw = last"))
+    tied = tied.groupBy("s", "z", "last", "closes").agg(F.count("*").alias("n"), F.min("rank").alias("least"))
+    tied = tied.select(F.col("s").alias("source"), F.col("z").alias("size"), F.col("last").alias("draw"), "n", (F.col("closes") - F.col("least") + 1).alias("some"))
+    plan = plan.alias("p").join(tied.alias("t"), F.expr("p.source <=> t.source AND p.size = t.size"), "left")
+    plan = checkpointed(
+        plan.select(F.col("p.source").alias(source), F.col("p.size").alias(size), "source_size", "target", "whole", "extra", F.col("draw").alias(last), "n", "some")
     )
-    copies = F.col("whole") + F.when((F.col("extra") > 0) & chosen, 1).otherwise(0)
-    return mixed.withColumn("copies", copies.cast("int")).select(*docs.columns, *added[1:])
+    names = {c: fresh(docs.columns, f"_{c}") for c in ("whole", "extra", "n", "some")}
+    plan = plan.withColumnsRenamed(names)
+    whole, extra, n, some = (F.col(names[c]) for c in names)
+    mixed = docs.join(if_small(plan, 200_000), F.col("source").eqNullSafe(F.col(source)) & (F.col("size") == F.col(size)))
+    chosen = (extra > 0) & ((F.col(draw) < F.col(last)) | ((F.col(draw) == F.col(last)) & (n == some)))
+    kept = [c for c in docs.columns if c != draw]
+    sure = (whole + F.when(chosen, 1).otherwise(0)).cast("int")
+    if plan.where(n > some).isEmpty():
+        return mixed.withColumn("copies", sure).select(*kept, *added[1:])
+    # equal documents of which only some are wanted are told apart by their rank
+    split = (F.col(draw) == F.col(last)) & (n > some) & (extra > 0)
+    plain = mixed.where(~F.coalesce(split, F.lit(False))).withColumn("copies", sure).select(*kept, *added[1:])
+    place, row = fresh(mixed.columns, "_place"), fresh(mixed.columns, "_row")
+    equal = ranked(mixed.where(split).withColumn(row, F.monotonically_increasing_id()), source, size, draw, row, name=place)
+    least = equal.groupBy(F.col(source).alias("s"), F.col(size).alias("z")).agg(F.min(place).alias("l"))
+    equal = equal.join(F.broadcast(least) if least.count() <= 200_000 else least, F.col(source).eqNullSafe(F.col("s")) & (F.col(size) == F.col("z")))
+    copies = (whole + F.when(F.col(place) - F.col("l") < some, 1).otherwise(0)).cast("int")
+    return plain.unionByName(equal.withColumn("copies", copies).select(*kept, *added[1:]))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of docs, unchanged, as often as it is taken."""
-    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
+    rows = docs.select("doc_id", "source", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     taken = mix(rows, **options).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

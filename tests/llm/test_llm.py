@@ -85,8 +85,7 @@ def test_knapsack_fits():
             reach = {r + n * j for r in reach for j in range(c + 1)}
         taken = mixing.fit_counts(lengths, counts, budget)
         assert (taken >= 0).all() and (taken <= counts).all()
-        # an equal share is taken first, so the sum may fall short of the best one, by less than the longest length
-        assert budget - lengths.max() <= (taken * lengths).sum() <= budget
+        assert (taken * lengths).sum() == max(r for r in reach if r <= budget)
 
 
 def test_tokens(both, empty):
