@@ -49,13 +49,22 @@ def _curve(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series(hilbert_index(np.stack([s.to_numpy(np.int64) for s in (a, b, c, d)], axis=1)))
 
 
-def _coded(df: DataFrame, name: str) -> DataFrame:
-    """df with _q_<name>: the value's place among all distinct values, in 0 to 2**BITS - 1; null comes first."""
-    values = df.select(F.col(name).alias("_value")).distinct()
-    placed = ranked(values, F.col("_value").asc_nulls_first(), name="_place")
+def _code(df: DataFrame, name: str) -> Column:
+    """A value's place among all distinct values of the column, in 0 to 2**BITS - 1; null comes first.
+
+    The distinct values are ranked by a range sort, and only the first value of
+    each place, 2**BITS at most, goes to the driver and into the expression.
+    """
+    placed = ranked(df.select(F.col(name).alias("value")).distinct(), F.col("value").asc_nulls_first(), name="place")
     n = max(1, placed.count())
-    codes = placed.select("_value", F.floor(F.col("_place") * (1 << BITS) / F.lit(n)).cast("int").alias(f"_q_{name}"))
-    return df.join(codes, F.expr(f"{name} <=> _value")).drop("_value")
+    place = lambda at: F.floor(at * (1 << BITS) / F.lit(n))
+    firsts = placed.where((F.col("place") == 0) | (place(F.col("place")) != place(F.col("place") - 1)))
+    rows = sorted((int(r.code), r.value) for r in firsts.select(place(F.col("place")).cast("int").alias("code"), "value").collect() if r.value is not None)
+    if not rows:
+        return F.lit(0)
+    starts, codes = F.array(*[F.lit(v) for _, v in rows]), F.array(F.lit(0), *[F.lit(c) for c, _ in rows])
+    held = F.size(F.filter(starts, lambda start: start <= F.col(name)))
+    return F.when(F.col(name).isNull(), 0).otherwise(F.element_at(codes, held + 1))
 
 
 def _spread(value: Column, low: int, high: int) -> Column:
@@ -64,28 +73,34 @@ def _spread(value: Column, low: int, high: int) -> Column:
     return F.floor((F.coalesce(value, F.lit(low)) - F.lit(low)) / F.lit(max(1, high - low)) * top).cast("int")
 
 
-def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, curve, shard and slot.
+def shard(docs: DataFrame, shards: int = 24, whole: bool = False) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, curve, shard and slot; with `whole` all columns of docs too.
 
     Source, language, text size (on a log scale) and doc_id (arrival) are
     quantised and mapped to a Hilbert index; documents are sorted by it and the
     sorted run is cut into `shards` pieces whose counts differ by one at most,
     so a filter on any of the dimensions needs few shards. Ties on the curve
-    follow the text's checksum, then doc_id. Null text counts as empty, a null
-    in a dimension as its smallest value; an empty table gives an empty result;
-    columns other than doc_id, text, source and lang are not read.
+    follow the text's checksum, then doc_id; repeated rows get slots of their
+    own. Null text counts as empty, a null in a dimension (doc_id too) as its
+    smallest value; an empty table gives an empty result; other columns are not
+    read without `whole`, and replaced where they are named like added ones.
     """
+    added = ("size", "text_crc32", "curve", "shard", "slot")
     data = F.coalesce(F.encode("text", "utf-8"), F.encode(F.lit(""), "utf-8"))
-    slim = docs.select("doc_id", "source", "lang", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
     bounds = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = (int(x) if x is not None else 0 for x in bounds)
-    slim = _coded(_coded(slim, "source"), "lang")
+    slim = docs.select(
+        "doc_id",
+        _code(docs, "source").alias("source"),
+        _code(docs, "lang").alias("lang"),
+        (F.octet_length(data) + 8).cast("long").alias("size"),
+        F.crc32(data).alias("text_crc32"),
+        *([F.struct(*[docs[c] for c in docs.columns if c not in added]).alias("row")] if whole else []),
+    )
     curve = F.pandas_udf(_curve, "long")  # made here, as workers import this module without a session
-    points = slim.withColumn(
-        "curve",
-        curve("_q_source", "_q_lang", F.least(F.floor(F.log2("size") * 8), F.lit((1 << BITS) - 1)).cast("int"), _spread(F.col("doc_id"), low, high)),
-    ).drop("_q_source", "_q_lang", "source", "lang")
-    line = ranked(points, "curve", "text_crc32", "doc_id", name="_rank")
+    points = slim.withColumn("curve", curve("source", "lang", F.least(F.floor(F.log2("size") * 8), F.lit((1 << BITS) - 1)).cast("int"), _spread(F.col("doc_id"), low, high)))
+    line = ranked(points.drop("source", "lang"), "curve", "text_crc32", "doc_id", name="at")
     n = line.count()
-    placed = line.withColumn("shard", F.expr(f"CAST((_rank * {shards}) DIV {max(1, n)} AS INT)"))
-    return placed.withColumn("slot", F.expr(f"_rank - ((CAST(shard AS BIGINT) * {n} + {shards - 1}) DIV {shards})")).drop("_rank")
+    placed = line.withColumn("shard", F.expr(f"CAST((at * {shards}) DIV {max(1, n)} AS INT)"))
+    placed = placed.withColumn("slot", F.expr(f"at - ((CAST(shard AS BIGINT) * {n} + {shards - 1}) DIV {shards})"))
+    return placed.select(*(["row.*"] if whole else ["doc_id"]), *added)
