@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, if_small, lower_az
+from .common import checkpointed, fresh, if_small, lower_az
 
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -98,5 +98,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = 0.8
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that hold a benchmark item, all columns unchanged."""
-    gone = checkpointed(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_doc")))
-    return docs.join(if_small(gone, 1_000_000), F.expr("doc_id <=> _doc"), "left_anti")
+    own = fresh(docs.columns, "_doc")
+    gone = checkpointed(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(own)))
+    return docs.join(if_small(gone, 1_000_000), F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import per_text
+from .common import fresh, per_text
 
 _SPACE, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 #: The shortest repeat, in words, that counts against a text.
@@ -103,4 +104,5 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def good(docs: DataFrame) -> DataFrame:
     """The rows of docs that quality() keeps, all columns unchanged."""
-    return per_text(docs, docs.columns, {"_kept": "boolean"}, lambda text: measure(text)[-1:]).where("_kept").drop("_kept")
+    kept = fresh(docs.columns, "_kept")
+    return per_text(docs, docs.columns, {kept: "boolean"}, lambda text: measure(text)[-1:]).where(F.col(kept)).drop(kept)
