@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 #: A word: a run of characters that are not ASCII white space.
@@ -16,7 +17,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A word of letters and digits; everything from U+0080 on counts as a letter.
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +55,9 @@ def per_batch(
 
     Carried values pass unchanged, nulls included.
     """
-    kinds = [_ARROW[k] for k in adds.values()]
-    schema = df.select(*[df[c] for c in carry]).schema
-    for name, kind in adds.items():
-        schema = schema.add(StructType.fromDDL(f"{name} {kind}")[0])
+    added = StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in adds.items()))
+    kinds = [to_arrow_type(f.dataType) for f in added]
+    schema = StructType([*df.select(*[df[c] for c in carry]).schema, *added])
     own = fresh(carry, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,12 +77,21 @@ def per_text(df: DataFrame, carry: list[str], adds: dict[str, str], measure: Cal
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Where that is unset (tests on one machine) a temporary folder takes its place.
+    Where that is unset a temporary folder takes its place, on one machine only:
+    elsewhere the executors would each write to a disk of their own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def application_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -93,14 +101,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     stay until clear_checkpoints().
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_checkpoints(spark: SparkSession) -> None:
     """Delete the tables that checkpointed() wrote for this application; what still reads them fails afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -111,21 +119,14 @@ def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame
     partitions' counts (one row each, so the broadcast is bounded by the number
     of partitions) give the offsets. The checkpoint fixes the sort's boundaries.
     """
-    placed = checkpointed(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(part.alias("_part"))
-        .agg(F.count("*").alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
-    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_before") + inside)
-        .drop("_part", "_at", "_before")
-    )
+    at, number = fresh(df.columns, "_at"), fresh(df.columns, "_part")
+    placed = checkpointed(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()))
+    part = F.shiftright(at, 33)
+    before = Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    offset = fresh(df.columns, "_before")
+    offsets = placed.groupBy(part.alias(number)).agg(F.count("*").alias("n")).select(number, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(offset))
+    inside = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn(number, part).join(F.broadcast(offsets), number).withColumn(name, F.col(offset) + inside).drop(number, at, offset)
 
 
 def if_small(df: DataFrame, max_rows: int) -> DataFrame:

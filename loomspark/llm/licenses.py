@@ -10,60 +10,45 @@ from functools import cache
 from pyspark.sql import DataFrame
 
 from .common import ALNUM, per_text
+from .licence_texts import TEMPLATES
 
 _WORD = re.compile(ALNUM.encode())
 # The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# Wording of public licences and of the notices that name them.
-TEMPLATES = {
-    "mit": (
-        "released under the mit license",
-        "licensed under the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-        "the software is provided as is without warranty of any kind express or implied",
-    ),
-    "apache-2.0": (
-        "licensed under the apache license version 2 0",
-        "you may not use this file except in compliance with the license you may obtain a copy of the license at",
-    ),
-    "gpl": (
-        "licensed under the gnu general public license version 3",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
-    ),
-    "cc-by-nc": ("licensed under cc by nc 4 0", "creative commons attribution noncommercial 4 0 international"),
-    "cc-by": ("licensed under cc by 4 0", "creative commons attribution 4 0 international license"),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
-    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0",),
-    "reserved": ("copyright all rights reserved",),
-}
-#: Shortest match in words that counts, and the share of a template that must be covered for its label.
-MIN_MATCH, MIN_COVER = 3, 0.8
+#: Shortest match in words that counts, the share of a template that must be covered for its label, and templates that must be whole.
+MIN_MATCH, MIN_COVER, SHORT = 3, 0.8, 10
 
 
 class SuffixAutomaton:
-    """All substrings of several word sequences; each state knows where they end in every sequence."""
+    """All substrings of several word sequences; each state knows all places where they, and their suffixes, end in every sequence."""
 
     def __init__(self, sequences: list[list[str]]):
         self.next: list[dict[str, int]] = [{}]
         self.link, self.length = [-1], [0]
-        ends: list[dict[int, int]] = [{}]
+        ends: list[set[tuple[int, int]]] = [set()]
         for number, words in enumerate(sequences):
             last = 0
             for place, word in enumerate(words):
                 last = self._extend(last, word, ends)
-                ends[last].setdefault(number, place)
+                ends[last].add((number, place))
         # an occurrence of a state's strings is one of its suffixes' too
-        for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            for number, place in ends[state].items():
-                if self.link[state] > 0:
-                    ends[self.link[state]].setdefault(number, place)
-        self.ends = ends
+        by_length = sorted(range(1, len(self.next)), key=lambda s: -self.length[s])
+        for state in by_length:
+            if self.link[state] > 0:
+                ends[self.link[state]] |= ends[state]
+        # what ends where one of its strings does: (sequence, place, the word after it, how much of it at most)
+        self.ends: list[list[tuple[int, int, str | None, int]]] = [[]]
+        self.ends += [[] for _ in by_length]
+        for state in reversed(by_length):
+            above = [e for e in self.ends[self.link[state]] if (e[0], e[1]) not in ends[state]]
+            words = lambda number, place: sequences[number][place + 1] if place + 1 < len(sequences[number]) else None
+            self.ends[state] = sorted((number, place, words(number, place), self.length[state]) for number, place in ends[state]) + above
 
     def _state(self, length: int, ends: list) -> int:
         self.next.append({})
         self.link.append(0)
         self.length.append(length)
-        ends.append({})
+        ends.append(set())
         return len(self.next) - 1
 
     def _split(self, p: int, word: str, q: int, ends: list) -> int:
@@ -87,57 +72,68 @@ class SuffixAutomaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, word, q, ends)
         return new
 
-    def matches(self, words: list[str], least: int) -> Iterator[tuple[int, int, int]]:
-        """(end in words, length, state) of the matches that cannot go on, from the matching statistics."""
+    def statistics(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(end in words, length, state) of the longest match that ends after each word: the matching statistics."""
         step, link, longest = self.next, self.link, self.length
         state = size = 0
         for place, word in enumerate(words):
-            onward = step[state].get(word)
-            if onward is not None:
-                state, size = onward, size + 1
-                continue
-            if size >= least:
-                yield place, size, state
             while state and word not in step[state]:
                 state = link[state]
                 size = longest[state]
             onward = step[state].get(word)
             state, size = (onward, size + 1) if onward is not None else (0, 0)
-        if size >= least:
-            yield len(words), size, state
+            yield place + 1, size, state
+
+    def matches(self, words: list[str], least: int) -> Iterator[tuple[int, int, int, int]]:
+        """(sequence, end in words, end in the sequence, length) of all runs of `least` words or more that can't go on in their sequence."""
+        for end, size, state in self.statistics(words):
+            if size >= least:
+                after = words[end] if end < len(words) else ""
+                for number, place, onward, most in self.ends[state]:
+                    if onward != after and most >= least:
+                        yield number, end, place + 1, min(size, most)
+
+
+def _words(text: bytes) -> list[str]:
+    return [w.decode("utf-8", "replace") for w in _WORD.findall(text.lower())]
 
 
 @cache
 def _templates() -> tuple[SuffixAutomaton, list[str], list[int]]:
-    listed = [(label, text.split()) for label, texts in TEMPLATES.items() for text in texts]
+    """Every paragraph of the licence texts is a template."""
+    listed = [(label, _words(line.encode())) for label, texts in TEMPLATES.items() for line in texts.strip().split("\n")]
     return SuffixAutomaton([w for _, w in listed]), [label for label, _ in listed], [len(w) for _, w in listed]
 
 
-def chain(found: list[tuple[int, int, int]], width: int) -> int:
-    """Most template words that matches (text end, template end, length) cover in the same order in both.
+def chain(found: list[tuple[int, int, int]], width: int) -> tuple[int, int, int]:
+    """(template words, text start, text end) of the best chain of matches (text end, template end, length), in the same order in both.
 
-    A chain may not stretch over more than twice the template's width of text.
+    A chain may stretch over an eighth more text than the template is long, so
+    short templates have to stand as they are. Ties go to the first chain.
     """
+    reach = width + width // 8
     best: list[tuple[int, int, int, int]] = []  # text start of the chain, text end, template end, words
-    top = 0
+    top = (0, 0, 0)
     for end, place, size in found:
+        # a match that is longer than its part of the template can hold no more than the template
         words, begin = size, end - size
-        for first, e, p, w in reversed(best):
-            if end - first > 2 * width:
+        for first, e, p, w in best:
+            if end - first > reach:
                 continue
             gain = min(size, place - p, end - e)
-            if gain > 0 and w + gain > words:
+            if gain > 0 and (w + gain, first) > (words, begin):
                 words, begin = w + gain, first
         best.append((begin, end, place, words))
-        if len(best) > 4 * width:  # those that begin too early can't grow any more
-            best = [b for b in best if end - b[0] <= 2 * width]
-        top = max(top, words)
+        if len(best) > 64:  # those that begin too early can't grow any more
+            best = [b for b in best if end - b[0] <= reach]
+        if words > top[0]:
+            top = (words, begin, end)
     return top
 
 
 def scan(text: bytes) -> tuple:
-    words = b" ".join(_WORD.findall(text.lower())).decode("utf-8", "replace").split(" ")
-    words = words if words != [""] else []
+    """The measures of license_scan() for one text."""
+    words = _words(text)
     line = " ".join(words)
     starts: list[int] = []
     base: set[str] = set()
@@ -150,27 +146,35 @@ def scan(text: bytes) -> tuple:
                 base.add(label)
     automaton, labels, widths = _templates()
     by_template: dict[int, list] = defaultdict(list)
-    for end, size, state in automaton.matches(words, MIN_MATCH):
-        for number, place in automaton.ends[state].items():
-            by_template[number].append((end, place + 1, size))
-    score, more = 0.0, set(base)
+    for number, end, place, size in automaton.matches(words, MIN_MATCH):
+        by_template[number].append((end, place, size))
+    score, spans = 0.0, []
     for number, found in by_template.items():
-        share = min(1.0, chain(found, widths[number]) / widths[number])
+        covered, begin, end = chain(found, widths[number])
+        share = covered / widths[number]
         score = max(score, share)
-        if share >= MIN_COVER:
-            more.add(labels[number])
-    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(more)), score if not base else 1.0
+        if share >= (1 if widths[number] < SHORT else MIN_COVER):
+            spans.append({"label": labels[number], "first_word": begin, "last_word": end - 1, "share": share})
+    spans.sort(key=lambda s: (s["first_word"], s["label"], s["last_word"]))
+    more = base | {s["label"] for s in spans}
+    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(more)), score if not base else 1.0, spans
+
+
+SPANS = "array<struct<label: string, first_word: long, last_word: long, share: double>>"
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every text.
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and spans of every text.
 
     Base labels stand for exact phrases. The method streams a text through the
-    automaton, keeps the longest matches, chains them per template in text and
-    template order, and adds a template's label when the chain covers MIN_COVER
-    of its words; score is the best cover (1 with a base phrase). Null text is
-    empty: no words, no labels, score 0. Each row gives one row; other columns
-    are not read.
+    automaton, keeps the matches of MIN_MATCH words or more that can't go on,
+    chains them per template in text and template order, and adds a template's
+    label when the chain covers MIN_COVER of its words (all of a template under
+    SHORT words); spans has the best chain
+    of each such template. score is the best cover (1 with a base phrase). Null
+    text is empty: no words, no labels, score 0. Rows with a null doc_id and
+    repeated rows each give one row; an empty table gives none; other columns
+    are not read, whatever their names.
     """
     adds = {"n_words": "long", "n_base": "long", "first_word": "long", "last_word": "long", "base_labels": "string", "labels": "string", "score": "double"}
-    return per_text(docs, ["doc_id"], adds, scan)
+    return per_text(docs, ["doc_id"], adds | {"spans": SPANS}, scan)

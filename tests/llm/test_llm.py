@@ -428,6 +428,44 @@ def test_language(spark, awkward, empty, folder):
     assert language.predict_language(empty).collect() == []
 
 
+def test_language_sample_is_bounded_and_balanced(spark):
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 400 == 0, "rare").when(F.col("id") % 3 == 0, "b").otherwise("a").alias("lang"), F.concat(F.repeat(F.lit("some text "), 300), F.col("id").cast("string")).alias("text"))
+    rows = language.sample(docs.union(docs.limit(0)).repartition(7)).collect()
+    found = Counter(r.lang for r in rows)
+    assert found["a"] == found["b"] == language.FIT_DOCS // 3 and found["rare"] == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(0, 40_000, 400))
+    assert max(len(r.part) for r in rows) <= language.WINDOW * language.FIT_WINDOWS
+
+
+def test_network_forward_and_gradients():
+    rng = np.random.default_rng(9)
+    net = language.ByteConvNet(3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, y = rng.integers(0, 256, (5, language.WINDOW)).astype(np.uint8), rng.integers(0, 3, 5)
+
+    def plain(row):
+        """One window, filter by filter and place by place."""
+        e, pooled = net.p["embed"][row], []
+        for w in language.WIDTHS:
+            at = [e[i : i + w].ravel() @ net.p[f"w{w}"] + net.p[f"b{w}"] for i in range(len(row) - w + 1)]
+            pooled += [max(0.0, max(v[f] for v in at)) for f in range(language.FILTERS)]
+        z = np.array(pooled) @ net.p["out"] + net.p["bias"]
+        return z - np.log(np.exp(z - z.max()).sum()) - z.max()
+
+    assert np.allclose(net.log_softmax(x), [plain(r) for r in x], atol=1e-6)
+    grads, step = net._gradients(x, y), 1e-5
+    loss = lambda: -net.log_softmax(x)[np.arange(5), y].mean()
+    for name, g in grads.items():
+        for place in rng.choice(g.size, min(3, g.size), replace=False):
+            flat = net.p[name].reshape(-1)
+            kept = flat[place]
+            flat[place] = kept + step
+            up = loss()
+            flat[place] = kept - step
+            down = loss()
+            flat[place] = kept
+            assert g.reshape(-1)[place] == pytest.approx((up - down) / (2 * step), abs=2e-5)
+
+
 def test_licenses(both, empty):
     for docs, texts in both:
         got = by_id(licenses.license_scan(docs))
@@ -435,9 +473,73 @@ def test_licenses(both, empty):
             r = got[i]
             assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute.licences(t)
             assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+            assert all(s.label in r.labels.split(",") and 0 <= s.first_word <= s.last_word < r.n_words for s in r.spans)
     assert licenses.license_scan(empty).collect() == []
-    _, _, _, _, base, labels, score = licenses.scan(b"Intro. Released, under THE mit (license)! x")
-    assert (base, labels, score) == ("", "mit", 1.0)
+
+
+LICENCES = {
+    "Intro. Released, under THE mit (license)! x": "mit",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+    "// SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+    "SPDX-License-Identifier: LGPL-3.0-or-later": "lgpl",
+    "SPDX-License-Identifier: GPL-2.0-only": "gpl",
+    "the Mozilla Public License 2.0 applies": "mpl-2.0",
+    "BSD 3-Clause License": "bsd",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "under the GNU Lesser General Public License": "gpl,lgpl",
+    "under the GNU Affero General Public License": "agpl,gpl",
+    "Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+    "Creative Commons Attribution-ShareAlike 4.0": "cc-by-sa",
+    "released under the bsd thing": "",
+    "licensed under the Apache License, version 1.1": "",
+    "the river and the house": "",
+}
+
+
+def test_licences_by_label():
+    assert {t: licenses.scan(t.encode())[5] for t in LICENCES} == LICENCES
+
+
+def test_licence_labels_and_score_against_brute_force():
+    rng = np.random.default_rng(21)
+    _, labels, widths = licenses._templates()
+    wording = [licenses._words(line.encode()) for text in licenses.TEMPLATES.values() for line in text.strip().split("\n")]
+    def chained(found, width):
+        """Most template words that matches cover in order, by trying every match as the one before."""
+        most = []
+        for end, place, size in found:
+            words, begin = size, end - size
+            for (e, p, _), (w, first) in zip(found, most):
+                gain = min(size, place - p, end - e)
+                if gain > 0 and end - first <= width + width // 8 and (w + gain, first) > (words, begin):
+                    words, begin = w + gain, first
+            most.append((words, begin))
+        return max(w for w, _ in most)
+
+    for _ in range(40):
+        words = []
+        for _ in range(3):
+            own = list(wording[rng.integers(len(wording))])
+            for place in rng.integers(0, len(own), rng.integers(0, 3)):
+                own[place] = "other"
+            words += ["filler"] * int(rng.integers(0, 4)) + own
+        by_template = defaultdict(list)
+        for number, template in enumerate(wording):  # every pair of equal runs that can go on neither way
+            for i in range(len(words)):
+                for j in range(len(template)):
+                    if words[i] == template[j] and (i == 0 or j == 0 or words[i - 1] != template[j - 1]):
+                        n = 1
+                        while i + n < len(words) and j + n < len(template) and words[i + n] == template[j + n]:
+                            n += 1
+                        if n >= licenses.MIN_MATCH:
+                            by_template[number].append((i + n, j + n, n))
+            by_template[number].sort()
+        covered = {number: chained(found, widths[number]) / widths[number] for number, found in by_template.items() if found}
+        whole = {labels[n] for n, c in covered.items() if c >= (1 if widths[n] < licenses.SHORT else licenses.MIN_COVER)}
+        base = set(filter(None, brute.licences(" ".join(words))[-1].split(",")))
+        got = licenses.scan(" ".join(words).encode())
+        assert set(filter(None, got[5].split(","))) == base | whole
+        assert got[6] == pytest.approx(1.0 if base else max(covered.values(), default=0.0))
 
 
 def test_automaton_matches():
@@ -447,8 +549,19 @@ def test_automaton_matches():
         text = [str(x) for x in rng.integers(0, 3, 30)]
         held = {tuple(p[a:b]) for p in patterns for a in range(len(p)) for b in range(a + 1, len(p) + 1)}
         longest = [max((n for n in range(i + 2) if n == 0 or tuple(text[i + 1 - n : i + 1]) in held), default=0) for i in range(len(text))]
-        want = [(i + 1, longest[i]) for i in range(len(text)) if longest[i] >= 2 and (i + 1 == len(text) or longest[i + 1] != longest[i] + 1)]
-        assert [(e, n) for e, n, _ in SuffixAutomaton(patterns).matches(text, 2)] == want
+        automaton = SuffixAutomaton(patterns)
+        assert [(e, n) for e, n, _ in automaton.statistics(text)] == [(i + 1, n) for i, n in enumerate(longest)]
+        want = set()
+        for k, p in enumerate(patterns):
+            for i in range(len(text)):
+                for j in range(len(p)):
+                    n = 0
+                    while n <= min(i, j) and text[i - n] == p[j - n]:
+                        n += 1
+                    if n >= 2 and (i + 1 == len(text) or j + 1 == len(p) or text[i + 1] != p[j + 1]):
+                        want.add((k, i + 1, j + 1, n))
+        found = list(automaton.matches(text, 2))
+        assert len(found) == len(set(found)) and set(found) == want
 
 
 def test_components(spark):
