@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# First hour of each part of the day, latest first.
-PARTS_OF_DAY = ((22, "night"), (18, "evening"), (14, "afternoon"), (12, "midday"), (9, "morning"), (6, "early morning"), (0, "night"))
+# Parts of the day and the hour at which each ends.
+PARTS_OF_DAY = ((5, "the small hours"), (8, "early morning"), (12, "morning"), (14, "midday"), (18, "afternoon"), (22, "evening"), (24, "night"))
+# What the days of a week are called, Monday first.
+DAY_WORDS = ("the start of the work week", "midweek", "midweek", "midweek", "the end of the work week", "the weekend", "the weekend")
 # Seasons of the northern half by month.
 SEASONS = {"winter": (12, 1, 2), "spring": (3, 4, 5), "summer": (6, 7, 8), "autumn": (9, 10, 11)}
 OPPOSITE = {"winter": "summer", "summer": "winter", "spring": "autumn", "autumn": "spring"}
@@ -22,18 +24,27 @@ def epoch(ts: Column) -> Column:
 
 
 def parse_time(text: Column) -> Column:
-    """Epoch seconds of ISO or mail-style times, or null."""
-    iso = F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss"))
-    plain = F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss"))
-    mail = F.try_to_timestamp(F.regexp_replace(text, r"^[A-Za-z]{3}, | (GMT|\+0000)$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return epoch(F.coalesce(iso, plain, mail))
+    """Epoch seconds of ISO or mail-style times, or null. Fractions and zone offsets count; without a zone it is UTC."""
+    text = F.trim(text)
+    plain = F.regexp_replace(F.regexp_replace(text, "T", " "), r"(Z|[+-]\d{2}:?\d{2})$", "")
+    iso = F.when(F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}")), F.try_to_timestamp(plain))
+    mail = F.try_to_timestamp(F.regexp_replace(text, r"^[A-Za-z]{3}, | ?(GMT|UTC|Z|[+-]\d{4})$", ""), F.lit("d MMM yyyy HH:mm:ss"))
+    zone = F.regexp_extract(text, r"([+-])(\d{2}):?(\d{2})$", 0)
+    sign = F.when(zone.startswith("-"), -1).otherwise(1)
+    part = lambda i: F.coalesce(F.regexp_extract(zone, r"(\d{2}):?(\d{2})$", i).try_cast("int"), F.lit(0))
+    ahead = F.when(F.rlike(text, F.lit(r":\d{2}(\.\d+)? ?[+-]\d{2}:?\d{2}$")), sign * (part(1) * 3600 + part(2) * 60)).otherwise(0)
+    return epoch(F.coalesce(iso, mail)) - ahead
 
 
 def part_of_day(hour: Column) -> Column:
-    out = F.lit(PARTS_OF_DAY[-1][1])
-    for first, name in reversed(PARTS_OF_DAY[:-1]):
-        out = F.when(hour >= first, name).otherwise(out)
-    return out
+    ends, names = zip(*PARTS_OF_DAY)
+    passed = F.size(F.filter(F.array(*map(F.lit, ends)), lambda end: end <= hour))
+    return F.element_at(F.array(*map(F.lit, names)), passed + 1)
+
+
+def day_descriptor(day: Column) -> Column:
+    """What a weekday (Monday 0) is called."""
+    return F.element_at(F.array(*map(F.lit, DAY_WORDS)), day + 1)
 
 
 def season(month: Column, south: bool = False) -> Column:
@@ -92,3 +103,9 @@ def spoken_time(ts: Column) -> Column:
         .when(part == 2, F.concat(F.lit("half past "), word))
         .otherwise(F.concat(F.lit("quarter to "), after))
     )
+
+
+def spoken_range(start: Column, end: Column) -> Column:
+    """Two times in words: 'from two o'clock to half past three'; one of them where they sound alike."""
+    a, b = spoken_time(start), spoken_time(end)
+    return F.when(a == b, a).otherwise(F.concat(F.lit("from "), a, F.lit(" to "), b))

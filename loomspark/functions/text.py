@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from html.entities import name2codepoint
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Small stop-word list of the keyword operators (a parameter everywhere it is used).
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "were", "will", "with")
-# Entity references that plain-text extraction decodes; the ampersand comes last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&amp;", "&"))
 # Patterns of personal data in the order in which they are masked.
 PII_PATTERNS = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"),
-    ("phone", r"\+?\d(?:[ ().-]{0,2}\d){8,14}", "[phone]"),
+    ("email", r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b", "[email]"),
+    ("phone", r"(?<![\w.])\+?\d(?:[\s().-]*\d){8,}(?!\w)", "[phone]"),
     ("number", r"\d{7,}", "[number]"),
 )
+#: What has to occur for a pattern to be looked for; a cheap test beside the pattern.
+_HINTS = {"email": "@", "phone": "[0-9]", "number": "[0-9]{7}"}
 # Elements whose end starts a new line when blocks are kept.
 BLOCK_TAGS = "p|div|br|li|tr|h1|h2|h3|h4|h5|h6|section|article"
 # Control tokens of chat templates, and the labels that open a forged turn.
@@ -27,9 +32,22 @@ def norm(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
 
 
-def padded(text: Column) -> Column:
-    """norm() between spaces, for matches at white-space boundaries."""
-    return F.concat(F.lit(" "), norm(text), F.lit(" "))
+def fold_case(text: Column) -> Column:
+    """The normal form of labels: NFKC, case folded, runs of white space as one space, trimmed.
+
+    What Spark has no function for, compatibility forms and sharp s, is done
+    where a text holds more than ASCII.
+    """
+    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.when(F.rlike(plain, F.lit(r"^\p{ASCII}*$")), F.lower(plain)).otherwise(_folded()(plain))
+
+
+def _folded():
+    @F.pandas_udf("string")
+    def folded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
+
+    return folded
 
 
 def tokens(text: Column, least: int = 1) -> Column:
@@ -58,23 +76,38 @@ def contains_terms(hay: Column, terms: list[str], mode: str = "any") -> Column:
     return ~held if mode == "none" else held
 
 
-def _decoded(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+def unescape(text: Column) -> Column:
+    """Character references decoded once: the named ones of HTML 4, decimal and hexadecimal ones; others stay.
+
+    Only the distinct references that occur are replaced, those of the ampersand last.
+    """
+    names = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (f"&{name};", chr(code))])
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"), F.lit(0)))
+    ampersand = F.array(*map(F.lit, ("&amp;", "&#38;", "&#x26;", "&#X26;")))
+
+    def char(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+        code = F.when(ref.startswith("&#x") | ref.startswith("&#X"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        point = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(63))), 8, "0")), "UTF-32")
+        return F.coalesce(F.try_element_at(names, ref), F.when(valid, point), ref)
+
+    refs = F.concat(F.array_except(found, ampersand), F.array_intersect(found, ampersand))
+    decoded = F.aggregate(refs, text, lambda out, ref: F.replace(out, ref, char(ref)))
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def strip_html(html: Column) -> Column:
     """Text of a page on one line: scripts, styles, comments and tags become spaces, entities are decoded."""
     bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", " ")
-    return F.trim(F.regexp_replace(_decoded(F.regexp_replace(bare, r"(?s)<[^>]*>", " ")), r"\s+", " "))
+    return F.trim(F.regexp_replace(unescape(F.regexp_replace(bare, r"(?s)<[^>]*>", " ")), r"\s+", " "))
 
 
 def strip_html_blocks(html: Column) -> Column:
     """Text of a page with a line feed where a block ends; three or more become two."""
     bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
     lines = F.regexp_replace(bare, rf"(?i)</?({BLOCK_TAGS})(\s[^>]*)?/?>", "\n")
-    flat = F.regexp_replace(_decoded(F.regexp_replace(lines, r"(?s)<[^>]*>", "")), r"[ \t]+", " ")
+    flat = F.regexp_replace(unescape(F.regexp_replace(lines, r"(?s)<[^>]*>", "")), r"[ \t]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(flat, r" ?\n ?", "\n"), r"\n{3,}", "\n\n"))
 
 
@@ -88,19 +121,22 @@ def sanitize(text: Column, cap: int = 4000) -> Column:
 def mask_personal(text: Column, names: tuple[str, ...] = ()) -> Column:
     """Email, phone, number and then known names (three characters or more) behind placeholders."""
     out = F.coalesce(text, F.lit(""))
-    for _, pattern, mark in PII_PATTERNS:
-        out = F.regexp_replace(out, pattern, mark)
-    for name in sorted((n for n in names if len(n) >= 3), key=lambda n: (-len(n), n)):
-        out = F.regexp_replace(out, rf"(?i)\b{name}\b", "[name]")
+    for kind, pattern, mark in PII_PATTERNS:
+        out = F.when(F.rlike(out, F.lit(_HINTS[kind])), F.regexp_replace(out, pattern, mark)).otherwise(out)
+    for name in (n.strip() for n in names if len(n.strip()) >= 3):
+        out = F.regexp_replace(out, rf"(?i)\b{re.escape(name)}\b", "[name]")
     return out
 
 
-def personal_kinds(text: Column) -> Column:
+def personal_kinds(text: Column, names: tuple[str, ...] = ()) -> Column:
     """Sorted kinds of personal data that masking finds, each looked for in what the earlier ones left."""
     left, kinds = F.coalesce(text, F.lit("")), []
     for kind, pattern, mark in PII_PATTERNS:
         kinds.append(F.when(F.rlike(left, F.lit(pattern)), kind))
         left = F.regexp_replace(left, pattern, mark)
+    own = mask_personal(text, names)
+    if names:
+        kinds.append(F.when(own != mask_personal(text), "name"))
     return F.sort_array(F.array_compact(F.array(*kinds)))
 
 
@@ -129,3 +165,64 @@ def slice_around(text: Column, query: Column, cap: int = 400) -> Column:
     places = F.filter(F.transform(longest, lambda w: F.position(w, low)), lambda p: p > 0)
     begin = F.greatest(F.lit(1), F.coalesce(F.try_element_at(places, F.lit(1)), F.lit(1)) - cap // 3)
     return F.substring(F.coalesce(text, F.lit("")), begin, F.lit(cap))
+
+
+def second_person(text: Column, names: tuple[str, ...]) -> Column:
+    """A person's names as "you" and their possessives as "your", with a capital where a sentence starts.
+
+    A name that is being told stays: "called Sam", "my name is Sam".
+    """
+    said = "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n)))
+    begin, told = r"(^|[.?!:;\n])([ \t]*)", r"(?<!\bname is )(?<!\bcalled )(?<!\bnamed )"
+    out = F.coalesce(text, F.lit(""))
+    for ending, word in (("['\u2019]s", "your"), ("", "you")):
+        out = F.regexp_replace(out, rf"(?i){begin}\b(?:{said}){ending}\b", rf"$1$2{word.capitalize()}")
+        out = F.regexp_replace(out, rf"(?i){told}\b(?:{said}){ending}\b", word)
+    return out
+
+
+# The forms of personal pronouns by set.
+PRONOUNS = {"she": ("she", "her", "her"), "he": ("he", "him", "his"), "they": ("they", "them", "their")}
+
+
+def with_pronouns(text: Column, which: str) -> Column:
+    """{subj}, {obj} and {poss} as the pronouns of a set; a capital in the mark makes one in the pronoun."""
+    out = text
+    for mark, word in zip(("subj", "obj", "poss"), PRONOUNS[which]):
+        for m, w in ((mark, word), (mark.capitalize(), word.capitalize())):
+            out = F.replace(out, F.lit("{" + m + "}"), F.lit(w))
+    return out
+
+
+def mark_origin(comment: Column, uid: Column, service: str = "kept in sync") -> Column:
+    """A comment and below it the line that names the entry which its own mirrors."""
+    line = F.concat(F.lit(f"— {service} [mirror:"), uid, F.lit("] —"))
+    own = F.trim(F.coalesce(comment, F.lit("")))
+    return F.when(own == "", line).otherwise(F.concat(own, F.lit("\n\n"), line))
+
+
+def origin_uid(notes: Column) -> Column:
+    """The entry that notes name as their origin, or null."""
+    return F.nullif(F.regexp_extract(F.coalesce(notes, F.lit("")), r"(?i)\[mirror:([^\]]+)\]", 1), F.lit(""))
+
+
+def origin_comment(notes: Column) -> Column:
+    """Notes without the line of their origin."""
+    return F.trim(F.regexp_replace(F.coalesce(notes, F.lit("")), r"(?i)\n*—[^\n\[]*\[mirror:[^\]]+\][ \t]*—\s*$", ""))
+
+
+_FACT = r"(?im)^[ \t]*FACT:[ \t]*([^:\n]+):[ \t]*(.+?)[ \t]*$"
+
+
+def facts(text: Column, most: int = 24) -> Column:
+    """(label, value) of lines 'FACT: label: value', the last value of each label, the last `most` of them; empty values are left out."""
+    lines = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_FACT), F.lit(0))
+    part = lambda line, i: F.trim(F.regexp_extract(line, _FACT, i))
+    pairs = F.transform(lines, lambda line: F.struct(part(line, 1).alias("label"), F.regexp_replace(part(line, 2), r'^"+|"+$', "").alias("value")))
+    known = F.filter(pairs, lambda p: (p["label"] != "") & ~F.lower(p["value"]).isin("", "-", "—", "none", "(none)", "n/a"))
+    last = F.filter(known, lambda p, i: ~F.exists(F.slice(known, i + 2, F.size(known)), lambda q: q["label"] == p["label"]))
+    return F.slice(last, F.greatest(F.lit(1), F.size(last) - most + 1), F.lit(most))
+
+
+def without_facts(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _FACT, ""), r"\n{3,}", "\n\n"))

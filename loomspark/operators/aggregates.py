@@ -28,14 +28,28 @@ def ledger(df: DataFrame, keys: list[str], ok: Column, elapsed: Column, ts: str)
     )
 
 
-def merge_duplicates(df: DataFrame, keys: list[str], content: Column, ident: str, count: Column) -> DataFrame:
-    """One surviving row (the smallest id) per key and normal-form content, with the merged counts and ids."""
-    return df.withColumn("content_key", F.sha1(content)).groupBy(*keys, "content_key").agg(
-        F.min(ident).alias("survivor"),
-        F.sum(F.greatest(F.coalesce(count, F.lit(0)), F.lit(1))).cast("long").alias("observed"),
+def merge_sweep(df: DataFrame, keys: list[str], content: Column, ident: str, count: Column, support: str, dry: bool = False) -> DataFrame:
+    """df's rows with status, observed, newest and support: of rows with equal keys and content the smallest id survives.
+
+    The survivor has the merged count (each row counts once at least), the
+    newest id and all sources; the others are merged. A dry sweep gives one row
+    per group of several rows instead: keys, survivor and members. Groups are
+    summed before the shuffle, and only ids and hashes travel.
+    """
+    keyed = df.select(*keys, F.sha1(content).alias("_c"), F.col(ident).alias("_id"), count.alias("_n"), F.col(support).alias("_s"))
+    groups = keyed.groupBy(*keys, "_c").agg(
+        F.min("_id").alias("survivor"),
+        F.sum(F.greatest(F.coalesce("_n", F.lit(0)), F.lit(1))).cast("long").alias("observed"),
         F.count("*").alias("members"),
-        F.max(ident).alias("newest"),
+        F.max("_id").alias("newest"),
+        F.array_join(F.array_sort(F.collect_set("_s")), "|").alias("support"),
     )
+    if dry:
+        return groups.where("members > 1").select(*keys, "survivor", "members")
+    own = keyed.select(*keys, "_c", F.col("_id").alias(ident)).join(groups, [*keys, "_c"])
+    first = F.col(ident) == F.col("survivor")
+    merged = [F.when(first, F.col(c)).alias(c) for c in ("observed", "newest")] + [F.when(first, F.nullif("support", F.lit(""))).alias("support")]
+    return own.select(*keys, ident, F.when(first, "active").otherwise("merged").alias("status"), *merged)
 
 
 def entropy(df: DataFrame, keys: list[str], item: str) -> DataFrame:

@@ -9,9 +9,14 @@ from .windows import top_per_group
 
 
 def ingest(new: DataFrame, archive: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows of `new` to append: the first of each key that the archive does not hold."""
-    first = new.groupBy(key).agg(F.min(order).alias(order)).join(archive.select(key), key, "left_anti")
-    return new.join(first, [key, order], "left_semi")
+    """Rows of `new` to append: the first of each key that the archive does not hold; rows without a key are none.
+
+    What goes is anti-joined: keys that the archive holds, then later rows of a key.
+    """
+    unknown = new.where(F.col(key).isNotNull()).join(archive.select(key), key, "left_anti")
+    several = unknown.groupBy(key).agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    gone = unknown.select(key, order).join(several, key).where(F.col(order) != F.col("_first")).select(key, order)
+    return unknown.join(gone, [key, order], "left_anti")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, changes: list[str]) -> DataFrame:
@@ -62,3 +67,28 @@ def not_queued(new: DataFrame, queue: DataFrame, key: str, open_rows: Column) ->
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     """Snapshot replace: only the partitions that df has are overwritten."""
     df.write.partitionBy(by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def normalize_entries(rows: DataFrame, raw: str) -> DataFrame:
+    """Calendar entries from JSON with the field names and shapes of several services: uid, title, start, end, location, calendar and notes.
+
+    A date may be a string or an object that holds one; an entry without an id
+    is named by its title and start.
+    """
+    of = lambda path: F.get_json_object(F.col(raw), path)
+
+    def field(*names: str) -> Column:
+        said = []
+        for n in names:
+            whole = of(f"$.{n}")
+            inner = F.coalesce(*[of(f"$.{n}.{k}") for k in ("dateTime", "date", "value", "start", "text")], F.lit(""))
+            said.append(F.nullif(F.when(F.startswith(whole, F.lit("{")), inner).otherwise(whole), F.lit("")))
+        return F.trim(F.coalesce(*said, F.lit("")))
+
+    out = rows.withColumns(
+        {
+            "title": field("title", "summary"), "start": field("start", "when"), "end": field("end"), "location": field("location"),
+            "calendar": field("calendar", "cal"), "notes": field("notes", "description"), "uid": field("id", "uid"),
+        }
+    )
+    return out.withColumn("uid", F.when(F.col("uid") != "", F.col("uid")).otherwise(F.concat_ws("@", "title", "start")))

@@ -16,13 +16,15 @@ def filter_terms(docs: DataFrame, terms: list[str], column: str = "text", mode:
 def dedupe(docs: DataFrame, key: Column, order: str) -> DataFrame:
     """The first row of each normal-form key; rows with a blank key all stay.
 
-    Rows are chosen by an aggregate over (key hash, order), so only ids travel;
-    blank keys get a key of their own and don't meet in one task.
+    Keys with several rows are found by an aggregate over (key hash, order) that
+    is combined before the shuffle; the rows that go, few as a rule, are
+    anti-joined by id, so only ids travel. Blank keys meet nowhere.
     """
-    keyed = docs.withColumn("_key", norm(key))
-    own = F.when(F.col("_key") == "", F.concat(F.lit("blank "), F.col(order).cast("string"))).otherwise(F.sha2("_key", 256))
-    first = keyed.select(own.alias("_k"), F.col(order).alias("_first")).groupBy("_k").agg(F.min("_first").alias("_first"))
-    return docs.join(first.select("_first"), docs[order] == F.col("_first"), "left_semi")
+    k = norm(key)
+    keyed = docs.select(F.col(order).alias("_id"), F.when(k != "", F.unhex(F.md5(k))).alias("_k")).where("_k IS NOT NULL")
+    several = keyed.groupBy("_k").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    gone = keyed.join(several, "_k").where("_id <> _first").select("_id")
+    return docs.join(gone, docs[order] == F.col("_id"), "left_anti")
 
 
 def rank_terms(docs: DataFrame, query: str, title: Column, text: Column, recency: Column | None = None, weight: float = 0.0) -> DataFrame:
@@ -105,7 +107,7 @@ def digest(docs: DataFrame, keys: list[str], order: Column, title: Column, text:
 
 
 def outline(docs: DataFrame, ident: str, text: str, most: int = 30, width: int = 100) -> DataFrame:
-    """Per document its distinct non-blank lines (cut, capped), their number and a signature of them."""
+    """Per document its distinct non-blank lines (cut, capped), their number and a signature of them and the first three whole ones."""
     lines = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda s: F.trim(F.substring(s, 1, width))), lambda s: s != ""))
     seen = docs.select(ident, lines.alias("_lines"))
     return seen.select(

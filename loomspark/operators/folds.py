@@ -1,8 +1,7 @@
 """Order-dependent folds: activation, fluency, outcomes, greedy clusters, keyphrases.
 
-Clamps and floors defeat closed forms, so each key's ordered rows are folded:
-as an aggregate() over a sorted array where a row is a few numbers, in
-applyInPandas where the fold branches over several items.
+Where a fold has a combinable form it is an aggregate; where it branches over
+several items, each key's ordered rows are folded in applyInPandas.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,23 +22,19 @@ from ..functions.text import STOP_WORDS
 TAU, BOOST, FLOOR, MOST = 900.0, 0.5, 0.02, 1024
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], fields: list[str], start, step, finish=None) -> DataFrame:
-    """aggregate() over each key's rows in order; step(state, row) gives the next state."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, *[f for f in fields if f not in order])))
-    grouped = df.groupBy(*keys).agg(rows.alias("_rows"))
-    state = F.aggregate("_rows", start, step, finish) if finish else F.aggregate("_rows", start, step)
-    return grouped.select(*keys, F.size("_rows").cast("long").alias("n"), state.alias("state"))
+def fluency(df: DataFrame, keys: list[str], order: str, signal: str) -> DataFrame:
+    """Level per key: each use adds 0.05 up to 1.0, 'expert' lifts it to 0.9 at least, 'advanced' to 0.7.
 
-
-def fluency(df: DataFrame, keys: list[str], order: list[str], signal: str) -> DataFrame:
-    """Level per key: each use adds 0.05 up to 1.0, 'expert' lifts it to 0.9 at least, 'advanced' to 0.7."""
-
-    def step(s, r):
-        up = F.least(F.lit(1.0), s + 0.05)
-        return F.when(r[signal] == "expert", F.greatest(up, F.lit(0.9))).when(r[signal] == "advanced", F.greatest(up, F.lit(0.7))).otherwise(up)
-
-    out = fold(df, keys, order, [signal], F.lit(0.0), step)
-    return out.select(*keys, "n", F.round("state", 6).alias("fluency"))
+    The clamp commutes with what follows, so the level is the most of 0.05 for
+    every use and of each lift with 0.05 for every use after its first: sums
+    that are combined before the shuffle, without any key's rows in one place.
+    """
+    lifts = {"expert": 0.9, "advanced": 0.7}
+    firsts = df.groupBy(*keys).agg(*[F.min(F.when(F.col(signal) == name, F.col(order))).alias(f"_{name}") for name in lifts])
+    after = [F.count_if(F.col(order) > F.col(f"_{name}")).alias(f"_n_{name}") for name in lifts]
+    counts = df.join(firsts, keys).groupBy(*keys, *[f"_{name}" for name in lifts]).agg(F.count("*").alias("n"), *after)
+    levels = [F.when(F.col(f"_{name}").isNotNull(), level + 0.05 * F.col(f"_n_{name}")) for name, level in lifts.items()]
+    return counts.select(*keys, "n", F.round(F.least(F.lit(1.0), F.greatest(0.05 * F.col("n"), *levels)), 6).alias("fluency"))
 
 
 def activate(now: float, items: list[str], state: dict[str, float], last: float | None) -> dict[str, float]:
@@ -67,22 +63,24 @@ def activation(df: DataFrame, key: str, ts: str, tie: str, item: str) -> DataFra
     return df.select(key, ts, tie, item).groupBy(key).applyInPandas(run, f"{key} {kind}, item string, activation double")
 
 
-def outcomes(df: DataFrame, keys: list[str], order: list[str], outcome: str) -> DataFrame:
-    """State of queued items after their outcomes: engaged or dropped ends them, two deflections retire them."""
+def outcomes(df: DataFrame, keys: list[str], order: str, outcome: str) -> DataFrame:
+    """State of queued items after their outcomes: engaged or dropped ends them, two deflections retire them, whichever comes first.
 
-    def step(s, r):
-        deflected = s["deflected"] + F.when(r[outcome] == "deflected", 1).otherwise(0)
-        after = (
-            F.when(s["status"].isin("engaged", "dropped", "retired"), s["status"])
-            .when(r[outcome] == "engaged", "engaged")
-            .when(r[outcome] == "dropped", "dropped")
-            .when(deflected >= 2, "retired")
-            .otherwise("open")
-        )
-        return F.struct(after.alias("status"), deflected.alias("deflected"))
-
-    out = fold(df, keys, order, [outcome], F.struct(F.lit("open").alias("status"), F.lit(0).alias("deflected")), step)
-    return out.select(*keys, "n", F.col("state.status").alias("status"), F.col("state.deflected").alias("deflected"))
+    The first end and the second deflection decide, which are minima that are
+    combined before the shuffle.
+    """
+    kind, at = F.col(outcome), F.col(order)
+    firsts = df.groupBy(*keys).agg(F.min(F.when(kind == "deflected", at)).alias("_first"))
+    ends = kind.isin("engaged", "dropped")
+    sums = df.join(firsts, keys).groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.min(F.when(ends, at)).alias("_end"),
+        F.min_by(F.when(ends, kind), F.when(ends, at)).alias("_as"),
+        F.min(F.when((kind == "deflected") & (at > F.col("_first")), at)).alias("_retires"),
+        F.count_if(kind == "deflected").alias("deflected"),
+    )
+    retired = F.col("_retires").isNotNull() & (F.col("_end").isNull() | (F.col("_retires") < F.col("_end")))
+    return sums.select(*keys, "n", F.when(retired, "retired").otherwise(F.coalesce("_as", F.lit("open"))).alias("status"), F.col("deflected").cast("int").alias("deflected"))
 
 
 def greedy_clusters(pairs: DataFrame, components: DataFrame, most: int = 8) -> DataFrame:
@@ -126,28 +124,26 @@ def drop_near_duplicates(pairs: DataFrame, components: DataFrame, nodes: DataFra
     return both.groupBy("component").applyInPandas(run, "vec_id long")
 
 
-_PHRASE_BREAK = re.compile(r"[^\w\s'-]+|\n")
+# What counts as a word or a mark in a text.
+_TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9'\-]*|[^\sA-Za-z0-9]")
 
 
-def keyphrases(text: str, most: int = 12, stop_words: frozenset[str] = frozenset(STOP_WORDS)) -> list[tuple[str, float]]:
-    """Phrases between stop words and punctuation, up to four words, scored by the sum of degree / frequency of their words."""
-    phrases = []
-    for part in _PHRASE_BREAK.split(text.lower()):
-        run: list[str] = []
-        for word in [*part.split(), ""]:
-            if word and word not in stop_words:
-                run.append(word)
-            else:
-                if 0 < len(run) <= 4:
-                    phrases.append(tuple(run))
-                run = []
-    freq, degree = Counter(), Counter()
+def keyphrases(text: str, most: int = 12, stop_words: frozenset[str] = frozenset(STOP_WORDS), least: int = 3, width: int = 4) -> list[tuple[str, float]]:
+    """The best (phrase, score): runs of content words, cut every `width`, by the sum of their words' degree over frequency.
+
+    Stop words, words under `least` letters, numbers and marks end a run. A
+    word's degree is the length of all phrases that it stands in.
+    """
+    words = (t.lower().strip("'-") for t in _TOKEN.findall(text))
+    content = [w if len(w) >= least and w not in stop_words and any(map(str.isalpha, w)) else "" for w in words]
+    runs = [list(run) for full, run in groupby(content, bool) if full]
+    phrases = [run[i : i + width] for run in runs for i in range(0, len(run), width)]
+    frequency = Counter(w for p in phrases for w in p)
+    degree = Counter()
     for p in phrases:
-        for w in p:
-            freq[w] += 1
-            degree[w] += len(p)
-    scored = {" ".join(p): round(sum(degree[w] / freq[w] for w in p), 6) for p in phrases}
-    return sorted(scored.items(), key=lambda kv: (-kv[1], kv[0]))[:most]
+        degree.update({w: n * len(p) for w, n in Counter(p).items()})
+    scores = {" ".join(p): round(sum(degree[w] / frequency[w] for w in p), 6) for p in phrases}
+    return sorted(scores.items(), key=lambda kv: (-kv[1], kv[0]))[:most]
 
 
 def with_keyphrases(docs: DataFrame, ident: str, text: str, most: int = 12) -> DataFrame:

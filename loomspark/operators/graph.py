@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm
+from .joins import phrases_in
 
 
 def resolve_nodes(mentions: DataFrame) -> DataFrame:
@@ -45,6 +46,23 @@ def ground(quotes: DataFrame, turns: DataFrame, on: str, least: int = 6) -> Data
     return q.join(t, held, "left").groupBy(*quotes.columns).agg(F.min("_turn").alias("grounded_turn"))
 
 
+def context(texts: DataFrame, ident: str, text: str, nodes: DataFrame, edges: DataFrame, most_nodes: int = 6, most_facts: int = 12) -> DataFrame:
+    """(ident, place, fact): facts of the entities that a text mentions, whole labels at white-space boundaries.
+
+    nodes (label, mentions), edges (src, rel, dst, weight). The most mentioned
+    entities come first, then the weightiest of their facts; a fact that both of
+    its ends bring in counts once.
+    """
+    met = phrases_in(texts, [ident], F.col(text), nodes, "label")
+    rank = F.row_number().over(Window.partitionBy(ident).orderBy(F.desc("mentions"), F.asc("label")))
+    hits = met.select(ident, "label", rank.alias("rn")).where(F.col("rn") <= most_nodes)
+    fact = F.concat_ws(" ", "src", "rel", "dst")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("label"), fact.alias("fact"), "weight")
+    facts = hits.join(ends, "label").groupBy(ident, "fact").agg(F.min("rn").alias("rn"), F.max("weight").alias("weight"))
+    place = F.row_number().over(Window.partitionBy(ident).orderBy(F.asc("rn"), F.desc("weight"), F.asc("fact")))
+    return facts.select(ident, place.alias("place"), "fact").where(F.col("place") <= most_facts)
+
+
 def cooccurrence(items: DataFrame, group: list[str], item: str, least: int, most: int = 12) -> DataFrame:
     """(a, b, n): how many groups hold both items, from each group's first `most` distinct items (the feature's cap)."""
     sets = items.groupBy(*group).agg(F.slice(F.array_sort(F.collect_set(item)), 1, most).alias("_s"))

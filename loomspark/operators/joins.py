@@ -60,28 +60,85 @@ def to_read_again(items: DataFrame, registry: DataFrame, key: str, fresh_after:
     return joined.where(~F.coalesce(unchanged, F.lit(False))).drop("_key", "_fp", "_at")
 
 
-def phrases_in(texts: DataFrame, ident: list[str], text: Column, phrases: DataFrame, phrase: str, longest: int = 4) -> DataFrame:
+def phrases_in(texts: DataFrame, ident: list[str], text: Column, phrases: DataFrame, phrase: str, longest: int | None = None) -> DataFrame:
     """Texts joined to the phrases they hold at white-space boundaries: word n-grams meet phrases in an equi-join.
 
     Scales with the number of n-grams, where `contains` would compare every pair.
-    Phrases are in normal form and at most `longest` words long.
+    Only n-grams as long as some phrase are made: the lengths that occur are
+    looked up (or 1 to `longest`). Phrases are in normal form.
     """
     split = texts.select(*ident, F.split(norm(text), " ").alias("_w"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(
-        F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))
-    ).otherwise(F.array().cast("array<string>"))))
-    listed = split.select(*ident, F.array_distinct(grams).alias("_g"))
+    if longest is None:
+        found = phrases.select(F.size(F.split(phrase, " ")).alias("n")).distinct()
+        lengths = sorted(r.n for r in found.collect())  # one number for each length of a phrase
+    else:
+        lengths = range(1, longest + 1)
+    none = F.array().cast("array<string>")
+
+    def of(n: int) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.array_join(F.slice("_w", i, n), " "))
+        return F.when(F.size("_w") >= n, made).otherwise(none)
+
+    grams = [of(n) for n in lengths]
+    listed = split.select(*ident, F.array_distinct(F.concat(*grams) if grams else none).alias("_g"))
     exploded = listed.select(*ident, F.explode_outer("_g").alias(phrase))
     return exploded.join(phrases, phrase)
 
 
-def token_overlap(left: DataFrame, right: DataFrame, lid: str, rid: str, tokens: str, least: int) -> DataFrame:
-    """(lid, rid, shared, n_left, n_right) of pairs that share `least` distinct tokens or more, through an equi-join on the token.
+def token_overlap(left: DataFrame, right: DataFrame, lid: str, rid: str, tokens: Column, least: int, share: float = 0.0) -> DataFrame:
+    """(lid, rid, shared, n_left, n_right) of pairs that share `least` distinct tokens or more, and `share` of the smaller set's.
 
-    A token that many rows of both sides hold makes as many pairs, so give it
-    tokens that name something: long words, stop words left out.
+    Tokens are ordered by how many rows hold them, the rarest first. A pair that
+    shares c tokens of a set of n shares one of its first n - c + 1, so only
+    those prefixes meet in an equi-join, and the commonest tokens make no pairs:
+    the smaller set's prefix meets the larger set, or both prefixes without a
+    share. Candidates are verified on the sets.
     """
-    a = left.select(lid, F.array_distinct(tokens).alias("_t")).select(lid, F.size("_t").alias("n_left"), F.explode_outer("_t").alias("_token"))
-    b = right.select(rid, F.array_distinct(tokens).alias("_t")).select(rid, F.size("_t").alias("n_right"), F.explode_outer("_t").alias("_token"))
-    pairs = a.join(b, "_token").groupBy(lid, rid, "n_left", "n_right").agg(F.count("*").alias("shared"))
-    return pairs.where(F.col("shared") >= least)
+    sides = [df.select(F.col(i).alias("_id"), F.array_distinct(tokens).alias("_t")).where(F.size("_t") >= least) for df, i in ((left, lid), (right, rid))]
+    each = [s.select("_id", F.size("_t").alias("_n"), F.explode("_t").alias("_token")) for s in sides]
+    held = each[0].select("_token").union(each[1].select("_token")).groupBy("_token").agg(F.count("*").alias("_df"))
+    need = F.greatest(F.lit(least), F.ceil(F.round(F.col("_n") * share, 6)).cast("int"))
+
+    def rows(e: DataFrame) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct("_df", "_token"))).alias("_all")
+        sets = e.join(held, "_token").groupBy("_id", "_n").agg(ordered)
+        # explode_outer infers no filter that would sort again
+        out = sets.select("_id", "_n", need.alias("_need"), F.posexplode_outer("_all").alias("_at", "_x"))
+        return out.select("_id", "_n", F.col("_x._token").alias("_token"), (F.col("_at") <= F.col("_n") - F.col("_need")).alias("_first"))
+
+    a, b = (rows(e).alias(name) for e, name in zip(each, "ab"))
+    smaller = F.when(F.col("a._n") <= F.col("b._n"), F.col("a._first")).otherwise(F.col("b._first"))
+    meets = smaller if share else F.col("a._first") & F.col("b._first")
+    met = a.join(b, (F.col("a._token") == F.col("b._token")) & meets).select(F.col("a._id").alias(lid), F.col("b._id").alias(rid)).distinct()
+    whole = [s.select(F.col("_id").alias(i), F.col("_t").alias(t)) for s, i, t in zip(sides, (lid, rid), ("_ta", "_tb"))]
+    both = met.join(whole[0], lid).join(whole[1], rid)
+    shared = both.select(lid, rid, F.size(F.array_intersect("_ta", "_tb")).cast("long").alias("shared"), F.size("_ta").alias("n_left"), F.size("_tb").alias("n_right"))
+    enough = (F.col("shared") >= least) & (F.col("shared") >= F.lit(share) * F.least("n_left", "n_right"))
+    return shared.where(enough)
+
+
+def shortlist(items: DataFrame, turns: DataFrame, said: DataFrame, tokens: Column, least: int = 2, most: int = 1, gap_s: float = 900, per_day: int = 6) -> DataFrame:
+    """Of each turn the items that have a way in: (turn_id, key, shared, ts), best first, `most` of them.
+
+    items (key, text, ts) that were said before (said: key, at) are left out; an
+    item shares `least` words with the turn (turn_id, text, at). A turn gets none
+    within gap_s of the last thing said, or after per_day of them in a day.
+    """
+    fresh = items.join(said.select("key").where("key IS NOT NULL").distinct(), "key", "left_anti")
+    day = F.floor(F.col("_at") / 86400.0)
+    timed = turns.select("turn_id", F.col("at").alias("_at")).withColumn("_day", F.explode(F.array(day, day - 1)))
+    before = said.select(F.col("at").alias("_s"), F.floor(F.col("at") / 86400.0).alias("_day"))
+    latest = timed.join(before, "_day", "left").withColumn("_s", F.when((F.col("_s") <= F.col("_at")) & (F.col("_s") > F.col("_at") - 86400.0), F.col("_s")))
+    quiet = latest.groupBy("turn_id", "_at").agg(F.max("_s").alias("_last"), F.count("_s").alias("_today"))
+    ready = quiet.where((F.col("_last").isNull() | (F.col("_at") - F.col("_last") >= gap_s)) & (F.col("_today") < per_day))
+    open_turns = turns.join(ready.select("turn_id"), "turn_id", "left_semi")
+    pairs = token_overlap(fresh, open_turns, "key", "turn_id", tokens, least).join(fresh.select("key", "ts"), "key")
+    return top_per_group(pairs.select("turn_id", "key", "shared", "ts"), ["turn_id"], [F.desc("shared"), F.desc("ts"), F.asc("key")], most)
+
+
+def not_alike(new: DataFrame, queue: DataFrame, ident: str, tokens: Column, share: float = 0.8) -> DataFrame:
+    """New items that no queued one of their channel resembles: `share` of the smaller set of words in both."""
+    both = [df.select(F.struct(F.lit(side).alias("side"), F.col(ident).alias("id")).alias("key"), "channel", tokens.alias("_w")) for df, side in ((new, 0), (queue, 1))]
+    in_channel = F.transform("_w", lambda w: F.concat_ws("\u0001", "channel", w))
+    pairs = token_overlap(both[0].withColumnRenamed("key", "a"), both[1].withColumnRenamed("key", "b"), "a", "b", in_channel, 1, share)
+    return new.join(pairs.select(F.col("a.id").alias(ident)).distinct(), ident, "left_anti")

@@ -10,25 +10,36 @@ from ..functions.vectors import dot
 from .windows import top_per_group
 
 
+#: Bytes of query vectors that are broadcast in one row; more go in blocks, each joined by its number.
+QUERY_BYTES = 1 << 24
+
+
 def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, floor: float = 0.0) -> DataFrame:
     """(query_id, vec_id, sim): the k most similar unit vectors of each query.
 
-    A stated set of queries against all rows: the queries are gathered into one
-    array row (they must be few, thousands at most), each vector is scored
-    against all of them in one pass, and the group limit keeps k per task
-    before anything is shuffled.
+    A stated set of queries against all rows. Queries are counted first and
+    gathered into blocks of bounded size; each vector is scored against a block
+    in one pass, and the group limit keeps k per task before anything is
+    shuffled.
     """
-    asked = queries.agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))).alias("_qs"))
-    scored = vectors.join(F.broadcast(asked)).select("vec_id", "embedding", F.explode("_qs").alias("_q"))
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    n, width = asked.agg(F.count("*"), F.max(F.size("q"))).first()
+    blocks = max(1, -(-n * (8 * (width or 1) + 32) // QUERY_BYTES))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    gathered = asked.groupBy(number.alias("_block")).agg(F.collect_list(F.struct("query_id", "q")).alias("_qs"))
+    if blocks == 1:
+        met = vectors.join(F.broadcast(gathered.drop("_block")))
+    else:  # vectors are dealt to all blocks, so a task holds one block at a time
+        met = vectors.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(gathered, "_block")
+    scored = met.select("vec_id", "embedding", F.explode("_qs").alias("_q"))
     sim = scored.select(F.col("_q.query_id").alias("query_id"), "vec_id", F.round(dot(F.col("embedding"), F.col("_q.q")), 6).alias("sim"))
     return top_per_group(sim.where((F.col("sim") > floor) & (F.col("query_id") != F.col("vec_id"))), ["query_id"], [F.desc("sim"), F.asc("vec_id")], k)
 
 
-def _planes(n: int, dim: int, seed: int) -> list[list[float]]:
-    import random
-
-    rng = random.Random(seed)
-    return [[rng.gauss(0, 1) for _ in range(dim)] for _ in range(n)]
+def similarity_to(vectors: DataFrame, query: DataFrame) -> DataFrame:
+    """(vec_id, sim) of all vectors to the one row of `query`: a projection beside one broadcast row, without rank or shuffle."""
+    one = query.select(F.col("embedding").alias("_q")).limit(1)
+    return vectors.join(F.broadcast(one)).select("vec_id", F.round(dot(F.col("embedding"), F.col("_q")), 6).alias("sim"))
 
 
 def similar_pairs(vectors: DataFrame, least: float, blocks: int = 16) -> DataFrame:
@@ -55,27 +66,72 @@ WEIGHTS = {"priority": 0.5, "trigger": 2.0, "semantic": 1.5, "recency": 0.3, "ta
 HALF_LIFE, LEAST_SCORE, TOP = 14 * 86400.0, 0.5, 5
 
 
-def recall(memories: DataFrame, now: Column, weights: dict[str, float] = WEIGHTS, k: int = TOP, least: float = LEAST_SCORE) -> DataFrame:
+def recall(memories: DataFrame, now: Column, weights: dict[str, float] = WEIGHTS, k: int = TOP, least: float = LEAST_SCORE, floor: float = 0.0, rescale: bool = False) -> DataFrame:
     """Top k of rows with id, priority, triggered, sim, recency, age_from, tag_overlap, activation, expiry and cooldown.
 
-    Expired rows are dropped, cooling ones too unless their priority is 8 or
-    more. The score weighs priority, trigger hits, similarity, recency with a
-    half-life, shared tags and activation; ties go to the smallest id.
+    Only rows that a trigger hits or whose similarity is above the floor are
+    candidates; the other parts of the score rank them. Expired rows are
+    dropped, cooling ones too unless their priority is 8 or more. The score
+    weighs priority, trigger hits, similarity (with `rescale` from the floor to
+    1), recency with a half-life, shared tags and activation; ties go to the
+    smallest id.
     """
-    live = memories.where((F.col("expiry").isNull() | (F.col("expiry") > now)) & (F.col("cooldown").isNull() | (F.col("cooldown") <= now) | (F.col("priority") >= 8)))
-    decay = F.col("recency") * half_life(F.greatest(F.lit(0.0), now - F.col("age_from")), HALF_LIFE)
+    hit, near = F.coalesce(F.col("triggered"), F.lit(0)) > 0, F.coalesce(F.col("sim") > floor, F.lit(False))
+    live = (F.col("expiry").isNull() | (F.col("expiry") >= now)) & (F.col("cooldown").isNull() | (F.col("cooldown") <= now) | (F.col("priority") >= 8))
+    decay = F.coalesce("recency", F.lit(0.0)) * half_life(now - F.col("age_from"), HALF_LIFE)
+    sim = F.when(near, F.col("sim")).otherwise(0.0)
+    if rescale:
+        sim = F.when(near, (F.col("sim") - floor) / max(1e-6, 1 - floor)).otherwise(0.0)
     parts = {
-        "priority": F.col("priority").cast("double"), "trigger": F.col("triggered").cast("double"), "semantic": F.coalesce("sim", F.lit(0.0)),
+        "priority": F.col("priority").cast("double"), "trigger": F.when(hit, 1.0).otherwise(0.0), "semantic": sim,
         "recency": decay, "tag": F.col("tag_overlap").cast("double"), "activation": F.col("activation").cast("double"),
     }
     score = sum((weights[name] * part for name, part in parts.items()), F.lit(0.0))
-    scored = live.withColumn("score", F.round(score, 6)).where(F.col("score") >= least)
+    scored = memories.where((hit | near) & live).withColumn("score", F.round(score, 6)).where(F.col("score") >= least)
     return scored.orderBy(F.desc("score"), F.asc("id")).limit(k)
 
 
 def two_hop(vectors: DataFrame, chosen: DataFrame, k: int, least: float) -> DataFrame:
-    """The k nearest others of each chosen vector, merged by their best similarity, 2k at most."""
-    near = cosine_search(vectors, chosen, k + 1, least).join(chosen.select("vec_id"), "vec_id", "left_anti")
-    near = top_per_group(near, ["query_id"], [F.desc("sim"), F.asc("vec_id")], k)
-    best = near.groupBy("vec_id").agg(F.max("sim").alias("sim"))
+    """The k nearest others of each chosen vector, none of them chosen, merged by their best similarity, 2k at most.
+
+    `vectors` are those that may be returned: give it live rows only.
+    """
+    others = vectors.join(chosen.select("vec_id"), "vec_id", "left_anti")
+    best = cosine_search(others, chosen, k, least - 5e-7).groupBy("vec_id").agg(F.max("sim").alias("sim"))
     return best.orderBy(F.desc("sim"), F.asc("vec_id")).limit(2 * k)
+
+
+# Weights of an item's salience, half-life of fresh items and grace after a window in seconds, penalty by sensitivity.
+SALIENCE = {"timeliness": 1.0, "relational": 0.8, "novelty": 0.5, "sensitivity": 1.5, "fatigue": 0.9}
+FRESH_HALF_LIFE, GRACE = 432_000.0, 604_800.0
+SENSITIVITY = {"none": 0.0, "personal": 0.35, "grief_adjacent": 10.0}
+
+
+def salience(now: Column, last_channel: Column | None = None, shared: Column | None = None, weights: dict[str, float] = SALIENCE, channel_weight: Column | float = 1.0) -> Column:
+    """How much an item (channel, fit, sensitivity, created, window_start, window_end, raised_count, deflections) has for it now.
+
+    Its moment (inside its window, before it, fading after it, or fresh without
+    one) and fit count for it; being of the channel that spoke last, sharing
+    topics with recent talk (`shared`, 0 to 1), sensitivity and having been
+    raised or deflected count against it. channel_weight scales what counts for
+    it.
+    """
+    start, end = F.col("window_start"), F.col("window_end")
+    fading = F.greatest(F.lit(0.0), 0.6 * (1 - (now - end) / GRACE))
+    fresh = half_life(F.greatest(F.lit(0.0), now - F.col("created")), FRESH_HALF_LIFE)
+    timely = F.when(start.isNotNull() & (now < start), 0.15).when(end.isNotNull() & (now > end), fading).when(start.isNotNull() | end.isNotNull(), 1.0).otherwise(fresh)
+    again = (F.when(F.col("channel") == last_channel, 0.5).otherwise(0.0) if last_channel is not None else F.lit(0.0)) + (shared if shared is not None else F.lit(0.0))
+    sensitive = F.element_at(F.create_map(*[F.lit(x) for pair in SENSITIVITY.items() for x in pair]), F.coalesce("sensitivity", F.lit("none")))
+    tired = 0.6 * F.col("raised_count") + 0.8 * F.col("deflections")
+    gains = weights["timeliness"] * timely + weights["relational"] * F.col("fit")
+    return F.round(channel_weight * gains - weights["novelty"] * again - weights["sensitivity"] * sensitive - weights["fatigue"] * tired, 6)
+
+
+def pick(items: DataFrame, now: Column, unproven: str = "news") -> DataFrame:
+    """The one item with the most salience above 0 that may be raised; of equals the oldest.
+
+    Left out are what one only responds to, items before their window, and
+    uncorroborated ones of the `unproven` channel.
+    """
+    may = (F.col("sensitivity") != "grief_adjacent") & ((F.col("channel") != unproven) | F.col("corroborated")) & (F.col("window_start").isNull() | (now >= F.col("window_start")))
+    return items.where(may & (F.col("salience") > 0)).orderBy(F.desc("salience"), F.asc("created"), F.asc("id")).limit(1)

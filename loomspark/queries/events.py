@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..functions.text import tokens
+from ..functions.text import norm, tokens
 from ..functions.vectors import overlap
 from ..operators import aggregates, archive, folds, series, windows
 from ..sources.tables import table
@@ -102,10 +102,15 @@ def agg_traffic(spark, d):
     )
 
 
-@query("SELECT lang, sha1(lower(trim(substr(text, 1, 4)))) AS content_key, min(doc_id) AS survivor, CAST(sum(greatest(coalesce(n_chars % 3, 0), 1)) AS BIGINT) AS observed, count(*) AS members, max(doc_id) AS newest FROM documents GROUP BY ALL")
+@query(
+    r"""WITH k AS (SELECT doc_id, coalesce(lang, '') AS lang, sha1(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))) AS content_key, n_chars % 3 AS seen, source FROM documents),
+    g AS (SELECT lang, content_key, min(doc_id) AS survivor, CAST(sum(greatest(coalesce(seen, 0), 1)) AS BIGINT) AS observed, max(doc_id) AS newest, string_agg(DISTINCT source, '|' ORDER BY source) AS support FROM k GROUP BY ALL)
+    SELECT doc_id, CASE WHEN doc_id = survivor THEN 'active' ELSE 'merged' END AS status, CASE WHEN doc_id = survivor THEN observed END AS observed, CASE WHEN doc_id = survivor THEN newest END AS newest, CASE WHEN doc_id = survivor THEN support END AS support FROM k JOIN g USING (lang, content_key)"""
+)
 def merge_sweep(spark, d):
-    docs = table(spark, d, "documents")
-    return aggregates.merge_duplicates(docs, ["lang"], F.lower(F.trim(F.substring("text", 1, 4))), "doc_id", F.col("n_chars") % 3)
+    """Documents as cards of a language: equal folded texts become one, which takes their counts and sources."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text", "source", (F.col("n_chars") % 3).alias("seen"))
+    return aggregates.merge_sweep(docs, ["lang"], norm(F.col("text")), "doc_id", F.col("seen"), "source").select("doc_id", "status", "observed", "newest", "support")
 
 
 @query("SELECT count(*) AS n, max(event_id) AS last_id, max(ts) AS last_ts, count(*) FILTER (WHERE value IS NULL) AS n_null, count(*) FILTER (WHERE event_id > 500) AS backlog FROM events")
@@ -225,19 +230,39 @@ def repeat_reply(spark, d):
 
 
 _RHYTHM = """WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events),
-g AS (SELECT user_id, day, date_diff('day', lag(day) OVER (PARTITION BY user_id ORDER BY day), day) AS gap FROM d),
-m AS (SELECT user_id, count(*) AS n, date_diff('day', min(day), max(day)) AS span, quantile_cont(gap, 0.5) AS med FROM g GROUP BY user_id),
-f AS (SELECT g.user_id, count(*) FILTER (WHERE abs(gap - round(gap / med) * med) <= greatest(1.0, med * 0.25) AND round(gap / med) >= 1) / count(*) AS near FROM g JOIN m ON g.user_id = m.user_id WHERE gap IS NOT NULL AND med >= 2 GROUP BY g.user_id),
-w AS (SELECT user_id, max(c) AS c FROM (SELECT user_id, isodow(day) AS v, count(*) AS c FROM d GROUP BY ALL) GROUP BY user_id),
-q AS (SELECT user_id, max(c) AS c FROM (SELECT user_id, day(day) AS v, count(*) AS c FROM d GROUP BY ALL) GROUP BY user_id),
-a AS (SELECT m.user_id, n, span, med, w.c / n AS wd, q.c / n AS dom, near FROM m JOIN w ON m.user_id = w.user_id JOIN q ON m.user_id = q.user_id LEFT JOIN f ON m.user_id = f.user_id WHERE n >= 4),
-k AS (SELECT *, CASE WHEN wd >= 0.7 AND span >= 21 AND med BETWEEN 5 AND 9 THEN 'weekly' WHEN wd >= 0.7 AND span >= 21 AND med BETWEEN 12 AND 16 THEN 'biweekly' WHEN dom >= 0.7 AND span >= 60 THEN 'monthly' WHEN near >= 0.6 THEN 'interval' END AS kind FROM a),
-r AS (SELECT user_id, n, kind, CAST(CASE kind WHEN 'weekly' THEN 7 WHEN 'biweekly' THEN 14 WHEN 'monthly' THEN 30 ELSE med END AS DOUBLE) AS period, CASE kind WHEN 'interval' THEN near WHEN 'monthly' THEN dom ELSE wd END AS s FROM k WHERE kind IS NOT NULL)"""
+g AS (SELECT user_id, day, date_diff('day', lag(day) OVER (PARTITION BY user_id ORDER BY day), day) AS gap, isodow(day) - 1 AS wd, day(day) AS dom,
+  (isodow(day) - 1) * 10 + CASE WHEN month(day + 7) <> month(day) THEN 9 ELSE CAST(ceil(day(day) / 7.0) AS INT) END AS nth FROM d),
+m AS (SELECT user_id, count(*) AS n, date_diff('day', min(day), max(day)) AS span, median(gap) AS med FROM g GROUP BY user_id HAVING count(*) >= 4),
+w AS (SELECT user_id, wd, count(*) AS c FROM g GROUP BY user_id, wd QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(day)) = 1),
+wg AS (SELECT user_id, date_diff('day', lag(day) OVER (PARTITION BY user_id ORDER BY day), day) AS gap FROM g JOIN w USING (user_id, wd)),
+wm AS (SELECT user_id, coalesce(median(gap), 7) AS wd_med FROM wg GROUP BY user_id),
+q AS (SELECT user_id, max(c) AS c FROM (SELECT user_id, dom, count(*) AS c FROM g GROUP BY ALL) GROUP BY user_id),
+h AS (SELECT user_id, max(c) AS c FROM (SELECT user_id, nth, count(*) AS c FROM g GROUP BY ALL) GROUP BY user_id),
+f AS (SELECT g.user_id, count(*) FILTER (WHERE abs(gap - greatest(1, round_even(gap / med, 0)) * med) <= greatest(1.0, 0.25 * med)) / count(*) AS near FROM g JOIN m ON g.user_id = m.user_id WHERE gap IS NOT NULL GROUP BY g.user_id),
+a AS (SELECT m.user_id, n, span, med, wd_med, w.c / n AS wd, q.c / n AS dom, h.c / n AS nth, near FROM m JOIN w USING (user_id) JOIN wm USING (user_id) JOIN q ON m.user_id = q.user_id JOIN h ON m.user_id = h.user_id JOIN f ON m.user_id = f.user_id),
+k AS (SELECT *, CASE WHEN wd >= 0.7 AND span >= 21 AND wd_med BETWEEN 5 AND 9 THEN 'weekly' WHEN wd >= 0.7 AND span >= 21 AND wd_med BETWEEN 12 AND 16 THEN 'biweekly' WHEN dom >= 0.7 AND span >= 60 THEN 'monthly-dom'
+  WHEN nth >= 0.7 AND span >= 60 THEN 'monthly-nth' WHEN near >= 0.6 AND med >= 2 THEN 'interval' END AS kind FROM a),
+r AS (SELECT user_id, n, kind, CAST(CASE kind WHEN 'weekly' THEN 7 WHEN 'biweekly' THEN 14 WHEN 'interval' THEN med ELSE 30 END AS DOUBLE) AS period, CASE kind WHEN 'interval' THEN near WHEN 'monthly-dom' THEN dom WHEN 'monthly-nth' THEN nth ELSE wd END AS s FROM k WHERE kind IS NOT NULL)"""
+
+
+@query(_RHYTHM + " SELECT user_id, n, kind, period, round(s, 6) AS share, round(least(1.0, s * least(1.0, n / 8)), 3) AS confidence FROM r")
+def detect_rhythm(spark, d):
+    return series.detect_rhythm(_events(spark, d), "user_id", "ts")
 
 
-@query(_RHYTHM + " SELECT user_id, n, kind, period, round(s, 6) AS share, round(s * least(1.0, n / 8), 6) AS confidence FROM r")
-def detect_rhythm(spark, d):
-    return series.detect_rhythm(_events(spark, d), "user_id", "ts", "event_id")
+@query(
+    _RHYTHM
+    + """, c AS (SELECT user_id, kind, period, round(least(1.0, s * least(1.0, n / 8)), 3) AS confidence FROM r), o AS (SELECT user_id, 'weekly' AS kind, 7.0 AS period, 0.5 AS confidence, CASE WHEN user_id % 4 = 0 THEN 'dismissed' ELSE 'active' END AS status FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 2 = 0)
+    SELECT coalesce(o.user_id, c.user_id) AS user_id, CASE WHEN o.status = 'dismissed' OR c.user_id IS NULL THEN o.kind ELSE c.kind END AS kind, CAST(CASE WHEN o.status = 'dismissed' OR c.user_id IS NULL THEN o.period ELSE c.period END AS DOUBLE) AS period,
+    CAST(CASE WHEN o.status = 'dismissed' OR c.user_id IS NULL THEN o.confidence ELSE c.confidence END AS DOUBLE) AS confidence, CASE WHEN o.status = 'dismissed' THEN 'dismissed' ELSE 'active' END AS status FROM o FULL JOIN (SELECT * FROM c WHERE confidence >= 0.4) c ON o.user_id = c.user_id"""
+)
+def rhythm_store(spark, d):
+    """Every other user has a weekly rhythm stored, every fourth has dismissed it."""
+    e = _events(spark, d)
+    stored = e.select("user_id").distinct().where("user_id % 2 = 0").select(
+        "user_id", F.lit("weekly").alias("kind"), F.lit(7.0).alias("period"), F.lit(0.5).alias("confidence"), F.when(F.col("user_id") % 4 == 0, "dismissed").otherwise("active").alias("status")
+    )
+    return series.store_rhythms(stored, series.detect_rhythm(e, "user_id", "ts"), "user_id")
 
 
 @query(
@@ -248,19 +273,19 @@ def rhythm_due(spark, d):
     e = _events(spark, d)
     last = e.groupBy("user_id").agg(F.max(F.to_date("ts")).alias("last"))
     today = e.agg(F.max(F.to_date("ts")).alias("today"))  # one row
-    due = series.detect_rhythm(e, "user_id", "ts", "event_id").join(last, "user_id").crossJoin(F.broadcast(today))
+    due = series.detect_rhythm(e, "user_id", "ts").join(last, "user_id").crossJoin(F.broadcast(today))
     age = F.datediff("today", "last")
     return due.select("user_id", "kind", "last", age.alias("age"), (age > F.col("period") + F.greatest(F.lit(1.0), 0.5 * F.col("period"))).alias("overdue"))
 
 
 @query(
-    """WITH i AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, 1 + o_orderkey % 5 AS step FROM orders WHERE o_orderkey % 10 = 0),
+    """WITH i AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, 1 + o_orderkey % 5 AS step FROM orders),
     x AS (SELECT o_orderkey, CAST(unnest(generate_series(CAST(s AS TIMESTAMP), CAST(s + 21 AS TIMESTAMP), to_days(CAST(step AS INT)))) AS DATE) AS day, s FROM i)
     SELECT o_orderkey, day FROM x WHERE day BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' AND date_diff('day', s, day) <> 6"""
 )
 def interval_expand(spark, d):
     """Recurring entries made from orders, without the exception dates (the sixth day)."""
-    rows = table(spark, d, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.to_date("o_orderdate").alias("s"), (1 + F.col("o_orderkey") % 5).alias("step"))
+    rows = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("s"), (1 + F.col("o_orderkey") % 5).alias("step"))
     rows = rows.withColumn("until", F.date_add("s", 21))
     return series.expand_intervals(rows, ["o_orderkey"], "s", "until", "step", rows.select("o_orderkey", F.date_add("s", 6).alias("day")), F.lit("1995-01-01").cast("date"), F.lit("1996-12-31").cast("date"))
 
@@ -285,13 +310,14 @@ def quiet_hours(spark, d):
     return _events(spark, d).select("event_id", clock.in_minutes(F.col("ts"), 22 * 60, 7 * 60).alias("quiet"))
 
 
-_PART = "CASE " + " ".join(f"WHEN hour(ts) >= {h} THEN '{n}'" for h, n in clock.PARTS_OF_DAY) + " END"
-_SEASON = "CASE " + " ".join(f"WHEN month(ts) IN {m} THEN '{n}'" for n, m in clock.SEASONS.items()) + " END"
+_PART = "CASE WHEN hour(ts) < 5 THEN 'the small hours' WHEN hour(ts) < 8 THEN 'early morning' WHEN hour(ts) < 12 THEN 'morning' WHEN hour(ts) < 14 THEN 'midday' WHEN hour(ts) < 18 THEN 'afternoon' WHEN hour(ts) < 22 THEN 'evening' ELSE 'night' END"
+_DAY = "CASE WHEN isodow(ts) >= 6 THEN 'the weekend' WHEN isodow(ts) = 1 THEN 'the start of the work week' WHEN isodow(ts) = 5 THEN 'the end of the work week' ELSE 'midweek' END"
+_SEASON = "CASE WHEN month(ts) IN (12, 1, 2) THEN 'winter' WHEN month(ts) <= 5 THEN 'spring' WHEN month(ts) <= 8 THEN 'summer' ELSE 'autumn' END"
 
 
-@query(f"SELECT event_id, {_PART} AS part, {_SEASON} AS season, isodow(ts) >= 6 AS weekend FROM events")
+@query(f"SELECT event_id, {_PART} AS part, {_SEASON} AS season, isodow(ts) >= 6 AS weekend, {_DAY} AS day FROM events")
 def semantic_clock(spark, d):
-    return _events(spark, d).select("event_id", clock.part_of_day(F.hour("ts")).alias("part"), clock.season(F.month("ts")).alias("season"), (F.weekday("ts") >= 5).alias("weekend"))
+    return _events(spark, d).select("event_id", clock.part_of_day(F.hour("ts")).alias("part"), clock.season(F.month("ts")).alias("season"), (F.weekday("ts") >= 5).alias("weekend"), clock.day_descriptor(F.weekday("ts")).alias("day"))
 
 
 @query(
@@ -402,16 +428,28 @@ def activation_fold(spark, d):
     return folds.activation(e, "user_id", "at", "event_id", "event_type")
 
 
-@query()
+_SIGNAL = "SELECT user_id, event_type, event_id, CASE WHEN value > 98 THEN 'expert' WHEN value > 95 THEN 'advanced' ELSE 'use' END AS s, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events"
+
+
+@query(
+    f"""SELECT user_id, event_type, any_value(n) AS n, round(least(1.0, greatest(0.05 * any_value(n), coalesce(max(0.9 + 0.05 * (n - i)) FILTER (WHERE s = 'expert'), 0), coalesce(max(0.7 + 0.05 * (n - i)) FILTER (WHERE s = 'advanced'), 0))), 6)::DOUBLE AS fluency
+    FROM ({_SIGNAL}) GROUP BY user_id, event_type"""
+)
 def fluency_fold(spark, d):
     signal = F.when(F.col("value") > 98, "expert").when(F.col("value") > 95, "advanced").otherwise("use")
-    return folds.fluency(_events(spark, d).select("user_id", "event_type", "event_id", signal.alias("signal")), ["user_id", "event_type"], ["event_id"], "signal")
+    return folds.fluency(_events(spark, d).select("user_id", "event_type", "event_id", signal.alias("signal")), ["user_id", "event_type"], "event_id", "signal")
 
 
-@query()
+@query(
+    """WITH o AS (SELECT user_id, event_type, event_id, CASE WHEN value > 90 THEN 'engaged' WHEN value > 50 THEN 'deflected' WHEN value < 2 THEN 'dropped' ELSE 'raised' END AS o FROM events),
+    k AS (SELECT *, CASE WHEN o = 'deflected' THEN row_number() OVER (PARTITION BY user_id, event_type, o ORDER BY event_id) END AS nth FROM o),
+    e AS (SELECT user_id, event_type, event_id, CASE WHEN nth = 2 THEN 'retired' ELSE o END AS s FROM k WHERE o IN ('engaged', 'dropped') OR nth = 2)
+    SELECT o.user_id, o.event_type, any_value(n) AS n, coalesce(arg_min(s, e.event_id), 'open') AS status, CAST(any_value(d) AS INT) AS deflected
+    FROM (SELECT user_id, event_type, count(*) AS n, count(*) FILTER (WHERE o = 'deflected') AS d FROM o GROUP BY ALL) o LEFT JOIN e ON o.user_id = e.user_id AND o.event_type = e.event_type GROUP BY o.user_id, o.event_type"""
+)
 def outcome_fold(spark, d):
     outcome = F.when(F.col("value") > 90, "engaged").when(F.col("value") > 50, "deflected").when(F.col("value") < 2, "dropped").otherwise("raised")
-    return folds.outcomes(_events(spark, d).select("user_id", "event_type", "event_id", outcome.alias("outcome")), ["user_id", "event_type"], ["event_id"], "outcome")
+    return folds.outcomes(_events(spark, d).select("user_id", "event_type", "event_id", outcome.alias("outcome")), ["user_id", "event_type"], "event_id", "outcome")
 
 
 @query(

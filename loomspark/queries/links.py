@@ -14,6 +14,7 @@ from ..operators.windows import top_per_group
 from ..plans import pipeline
 from ..sources.tables import table
 from .registry import query
+from .text import RAKE, TOKENS
 
 
 # --- joins -------------------------------------------------------------------------------------------------------
@@ -88,23 +89,23 @@ def incremental_skip(spark, d):
 
 
 _PHRASES = "SELECT DISTINCT lower(trim(split_part(split_part(text, chr(10), 1), '.', 1))) AS phrase FROM documents"
-_SHORT = f"p AS (SELECT phrase FROM ({_PHRASES}) WHERE phrase <> '' AND length(phrase) - length(replace(phrase, ' ', '')) <= 1 AND NOT contains(phrase, '  '))"
+_WHOLE = f"p AS (SELECT phrase FROM ({_PHRASES}) WHERE phrase <> '' AND NOT contains(phrase, '  '))"
 
 
 @query(
-    rf"WITH {_SHORT} SELECT DISTINCT conv_id, turn, phrase FROM conversations, p WHERE contains(' ' || lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) || ' ', ' ' || phrase || ' ')"
+    rf"WITH {_WHOLE} SELECT DISTINCT conv_id, turn, phrase FROM conversations, p WHERE contains(' ' || lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) || ' ', ' ' || phrase || ' ')"
 )
 def trigger_match(spark, d):
-    """Phrases of one or two words (openings of documents) in conversation turns, at white-space boundaries."""
+    """Openings of documents, as phrases of any length, in conversation turns, at white-space boundaries."""
     first = F.split_part(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("."), F.lit(1))
     phrases = table(spark, d, "documents").select(F.lower(F.trim(first)).alias("phrase")).distinct()
-    phrases = phrases.where("phrase <> '' AND size(split(phrase, ' ')) <= 2 AND NOT contains(phrase, '  ')")
-    return joins.phrases_in(table(spark, d, "conversations"), ["conv_id", "turn"], F.col("text"), phrases, "phrase", 2)
+    phrases = phrases.where("phrase <> '' AND NOT contains(phrase, '  ')")
+    return joins.phrases_in(table(spark, d, "conversations"), ["conv_id", "turn"], F.col("text"), phrases, "phrase")
 
 
-@query("SELECT DISTINCT doc_id, trim(t) AS trigger FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(substr(text, 1, 200)), '[,;/]')) AS t FROM documents) WHERE trim(t) <> ''")
+@query("SELECT DISTINCT doc_id, trim(t) AS trigger FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[,;/]')) AS t FROM documents) WHERE trim(t) <> ''")
 def mem_trigger_explode(spark, d):
-    parts = F.explode_outer(F.split(F.lower(F.substring("text", 1, 200)), "[,;/]"))
+    parts = F.explode_outer(F.split(F.lower("text"), "[,;/]"))
     return table(spark, d, "documents").select("doc_id", parts.alias("t")).select("doc_id", F.trim("t").alias("trigger")).where("trigger <> ''").distinct()
 
 
@@ -127,14 +128,14 @@ def token_overlap_rank(spark, d):
     f"""WITH a AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{4,}}')) AS w FROM conversations WHERE role = 'user' AND turn = 0),
     u AS (SELECT conv_id, len(w) AS n, unnest(w) AS t FROM a),
     p AS (SELECT x.conv_id AS a, y.conv_id AS b, count(*) AS s, any_value(x.n) AS nx, any_value(y.n) AS ny FROM u x JOIN u y ON x.t = y.t AND x.conv_id > y.conv_id GROUP BY x.conv_id, y.conv_id)
-    SELECT DISTINCT a AS conv_id FROM p WHERE s >= 2 AND s / least(nx, ny) >= 0.5"""
+    SELECT DISTINCT a AS conv_id FROM p WHERE s >= 2 AND s / least(nx, ny) >= 0.8"""
 )
 def fuzzy_topic_exists(spark, d):
-    """Opening turns that an earlier conversation's opening resembles: half of the shorter's words and two at least."""
+    """Opening turns that an earlier conversation's opening resembles: 80 % of the shorter's words and two at least."""
     turns = table(spark, d, "conversations").where("role = 'user' AND turn = 0")
     left, right = turns.select(F.col("conv_id").alias("a"), "text"), turns.select(F.col("conv_id").alias("b"), "text")
-    pairs = joins.token_overlap(left, right, "a", "b", tokens(F.col("text"), 4), 2).where("a > b")
-    return pairs.where(F.col("shared") / F.least("n_left", "n_right") >= 0.5).select(F.col("a").alias("conv_id")).distinct()
+    pairs = joins.token_overlap(left, right, "a", "b", tokens(F.col("text"), 4), 2, 0.8)
+    return pairs.where("a > b").select(F.col("a").alias("conv_id")).distinct()
 
 
 _QUOTES = "SELECT conv_id, turn AS said, trim(substr(text, 5, 20)) AS quote FROM conversations WHERE turn % 2 = 0"
@@ -183,27 +184,39 @@ def kg_fold_refusals(spark, d):
     return e.select("event_id", graph.refusal(src, dst, rel, F.col("value") > 2, "u1", ("is", "is called")).alias("reason"))
 
 
+_NODES = "l AS (SELECT event_type AS label, count(*) AS mentions FROM events GROUP BY event_type UNION ALL SELECT 'the', 7 UNION ALL SELECT 'and', 5 UNION ALL SELECT 'le', 3 UNION ALL SELECT 'of the', 4)"
+
+
 @query(
-    r"""WITH n AS (SELECT DISTINCT user_id % 50 AS node FROM events), t AS (SELECT doc_id, ' ' || lower(trim(regexp_replace(substr(text, 1, 300), '\s+', ' ', 'g'))) || ' ' AS t FROM documents),
-    l AS (SELECT event_type AS label, count(*) AS mentions FROM events GROUP BY event_type UNION ALL SELECT 'the', 7 UNION ALL SELECT 'and', 5 UNION ALL SELECT 'le', 3),
-    h AS (SELECT doc_id, label, mentions, row_number() OVER (PARTITION BY doc_id ORDER BY mentions DESC, label) AS rn FROM t, l WHERE contains(t, ' ' || label || ' '))
-    SELECT doc_id, label, mentions FROM h WHERE rn <= 2"""
+    rf"""WITH {_NODES}, t AS (SELECT doc_id, ' ' || lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) || ' ' AS t FROM documents),
+    h AS (SELECT doc_id, label, mentions, row_number() OVER (PARTITION BY doc_id ORDER BY mentions DESC, label) AS rn FROM t, l WHERE contains(t, ' ' || label || ' ')),
+    e AS (SELECT a.label AS src, 'near' AS rel, b.label AS dst, a.mentions + b.mentions AS weight FROM l a JOIN l b ON a.label < b.label),
+    f AS (SELECT h.doc_id, rn, weight, src || ' ' || rel || ' ' || dst AS fact FROM h JOIN e ON h.label = e.src OR h.label = e.dst WHERE rn <= 6),
+    u AS (SELECT doc_id, fact, min(rn) AS rn, any_value(weight) AS weight FROM f GROUP BY doc_id, fact),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rn, weight DESC, fact) AS place FROM u)
+    SELECT doc_id, CAST(place AS INT) AS place, fact FROM k WHERE place <= 12"""
 )
 def entity_context(spark, d):
+    """What the graph knows about the entities that each text mentions: six entities and twelve facts at most."""
     nodes = table(spark, d, "events").groupBy(F.col("event_type").alias("label")).agg(F.count("*").alias("mentions"))
-    nodes = nodes.union(spark.createDataFrame([("the", 7), ("and", 5), ("le", 3)], "label string, mentions long"))
-    texts = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 300).alias("t"))
-    met = joins.phrases_in(texts, ["doc_id"], F.col("t"), nodes, "label", 1)
-    return top_per_group(met, ["doc_id"], [F.desc("mentions"), F.asc("label")], 2).select("doc_id", "label", "mentions")
-
+    nodes = nodes.union(spark.createDataFrame([("the", 7), ("and", 5), ("le", 3), ("of the", 4)], "label string, mentions long"))
+    a, b = nodes.select(F.col("label").alias("src"), F.col("mentions").alias("m")), nodes.select(F.col("label").alias("dst"), F.col("mentions").alias("n"))
+    edges = a.join(b, F.col("src") < F.col("dst")).select("src", F.lit("near").alias("rel"), "dst", (F.col("m") + F.col("n")).alias("weight"))
+    texts = table(spark, d, "documents").select("doc_id", "text")
+    return graph.context(texts, "doc_id", "text", nodes, edges).select("doc_id", "place", "fact")
 
-_CO = "SELECT conv_id, turn, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{6,}')))[1:12] AS s FROM conversations"
 
-
-@query(f"WITH x AS ({_CO}), u AS (SELECT conv_id, turn, unnest(s) AS w FROM x) SELECT p.w AS a, q.w AS b, count(*) AS n FROM u p JOIN u q ON p.conv_id = q.conv_id AND p.turn = q.turn AND p.w < q.w GROUP BY p.w, q.w HAVING count(*) >= 2")
+@query(
+    rf"""WITH t AS (SELECT conv_id, turn, unnest({TOKENS}) AS t, generate_subscripts({TOKENS}, 1) AS i FROM conversations),
+    w AS (SELECT conv_id * 1000 + turn AS id, i, trim(lower(t), '''-') AS w, regexp_matches(t, '^[A-Za-z0-9]') AS word FROM t),
+    {RAKE},
+    s6 AS (SELECT id, phrase FROM k WHERE rank <= 6)
+    SELECT p.phrase AS a, q.phrase AS b, count(*) AS n FROM s6 p JOIN s6 q ON p.id = q.id AND p.phrase < q.phrase GROUP BY ALL HAVING count(*) >= 2"""
+)
 def phrase_cooccurrence(spark, d):
-    words = table(spark, d, "conversations").select("conv_id", "turn", F.explode_outer(tokens(F.col("text"), 6)).alias("w")).where("w IS NOT NULL")
-    return graph.cooccurrence(words, ["conv_id", "turn"], "w", 2)
+    """Which keyphrases stand in a turn together, of each turn's six best."""
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return graph.cooccurrence(folds.with_keyphrases(turns, "id", "text", 6), ["id"], "phrase", 2, 6)
 
 
 @query()
@@ -259,24 +272,21 @@ def greedy_clusters(spark, d):
 
 _Q = "(SELECT embedding FROM embeddings WHERE vec_id = 7)"
 _MEM = f"""WITH m AS (SELECT d.doc_id AS id, CAST(d.doc_id % 10 AS INT) AS priority, CASE WHEN contains(' ' || lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) || ' ', ' the license ') THEN 1 ELSE 0 END AS triggered,
-coalesce(round(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST({_Q} AS DOUBLE[])), 6), 0) AS sim, CASE WHEN l.quality = 1 THEN 1.0 ELSE 0.5 END AS recency, CAST((1000000 - d.doc_id) * 1000 AS DOUBLE) AS age_from, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS tag_overlap, CASE WHEN source = 'src3' THEN 1.0 ELSE 0.0 END AS activation, d.doc_id % 13 AS x, d.doc_id % 17 AS y
-FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+round(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST({_Q} AS DOUBLE[])), 6) AS sim, CASE WHEN l.quality = 1 THEN 1.0 ELSE 0.5 END AS recency, CAST((1000000 - d.doc_id) * 1000 AS DOUBLE) AS age_from, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS tag_overlap, CASE WHEN source = 'src3' THEN 1.0 ELSE 0.0 END AS activation, d.doc_id % 13 AS x, d.doc_id % 17 AS y
+FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id LEFT JOIN labels l ON d.doc_id = l.doc_id),
+s AS (SELECT id, round(0.5 * priority + 2.0 * triggered + 1.5 * CASE WHEN sim > 0.2 THEN (sim - 0.2) / 0.8 ELSE 0 END + 0.3 * recency * pow(0.5, (1000000000.0 - age_from) / 1209600.0) + 0.5 * tag_overlap + 0.6 * activation, 6) AS score
+  FROM m WHERE (triggered = 1 OR sim > 0.2) AND x <> 0 AND (y <> 0 OR priority >= 8)),
+c AS (SELECT id, score FROM s WHERE score >= 0.5 ORDER BY score DESC, id LIMIT 5)"""
 
 
-@query(
-    _MEM
-    + """, s AS (SELECT id, round(0.5 * priority + 2.0 * triggered + 1.5 * sim + 0.3 * recency * pow(0.5, greatest(0.0, 1000000000.0 - age_from) / 1209600.0) + 0.5 * tag_overlap + 0.6 * activation, 6) AS score FROM m WHERE x <> 0 AND (y <> 0 OR priority >= 8))
-    SELECT id, score FROM s WHERE score >= 0.5 ORDER BY score DESC, id LIMIT 5"""
-)
-def recall_topk(spark, d):
+def _memories(spark, d):
     """Documents as memories: joined to vectors and labels; every 13th has expired, every 17th is cooling down."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.contains(F.concat(F.lit(" "), norm(F.col("text")), F.lit(" ")), F.lit(" the license ")).cast("int").alias("triggered"))
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    sims = retrieval.cosine_search(v.withColumnRenamed("doc_id", "vec_id"), v.where("doc_id = 7").withColumnRenamed("doc_id", "vec_id"), 1 << 30, -2.0)
-    sims = sims.select(F.col("vec_id").alias("doc_id"), "sim").union(spark.createDataFrame([(7, 1.0)], "doc_id long, sim double"))
+    held = F.contains(F.concat(F.lit(" "), norm(F.col("text")), F.lit(" ")), F.lit(" the license ")).cast("int")
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", held.alias("triggered"))
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    sims = retrieval.similarity_to(v, v.where("vec_id = 7")).withColumnRenamed("vec_id", "doc_id")
     labels = table(spark, d, "labels").select("doc_id", "quality")
-    now = F.lit(1e9)
-    rows = docs.join(sims, "doc_id", "left").join(labels, "doc_id", "left").select(
+    return docs.join(sims, "doc_id", "left").join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
         (F.col("doc_id") % 10).cast("int").alias("priority"),
         "triggered",
@@ -285,36 +295,75 @@ def recall_topk(spark, d):
         ((1000000 - F.col("doc_id")) * 1000).cast("double").alias("age_from"),
         (F.col("lang") == "en").cast("int").alias("tag_overlap"),
         F.when(F.col("source") == "src3", 1.0).otherwise(0.0).alias("activation"),
-        F.when(F.col("doc_id") % 13 == 0, now - 1).alias("expiry"),
-        F.when(F.col("doc_id") % 17 == 0, now + 1).alias("cooldown"),
+        F.when(F.col("doc_id") % 13 == 0, F.lit(1e9) - 1).alias("expiry"),
+        F.when(F.col("doc_id") % 17 == 0, F.lit(1e9) + 1).alias("cooldown"),
     )
-    return retrieval.recall(rows, now).select("id", "score")
+
+
+@query(_MEM + " SELECT id, score FROM c")
+def recall_topk(spark, d):
+    """Candidates by trigger or by a similarity above the floor, rescaled from it; the other parts rank them."""
+    return retrieval.recall(_memories(spark, d), F.lit(1e9), floor=0.2, rescale=True).select("id", "score")
 
 
 @query(
     _MEM
-    + """, s AS (SELECT id, sim, triggered, round(0.6 * sim + 0.4 * triggered, 6) AS score FROM m) SELECT id, score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 10"""
+    + f""", n AS (SELECT q.id AS h, v.vec_id, {_DOT.format('v', 'e')} AS sim FROM c q JOIN embeddings e ON e.vec_id = q.id JOIN embeddings v ON v.vec_id NOT IN (SELECT id FROM c) AND v.vec_id % 13 <> 0),
+    t AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY sim DESC, vec_id) AS rn FROM n WHERE sim >= 0.3), r AS (SELECT vec_id AS id, max(sim) AS score FROM t WHERE rn <= 2 GROUP BY vec_id ORDER BY score DESC, id LIMIT 4)
+    SELECT id, score, false AS related FROM c UNION ALL SELECT id, score, true FROM r"""
 )
+def recall_related(spark, d):
+    """recall_topk and the live memories nearest to what it gives, as context."""
+    chosen = retrieval.recall(_memories(spark, d), F.lit(1e9), floor=0.2, rescale=True).select("id", "score")
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    around = retrieval.two_hop(v.where("vec_id % 13 <> 0"), v.join(chosen.select(F.col("id").alias("vec_id")), "vec_id", "left_semi"), 2, 0.3)
+    return chosen.withColumn("related", F.lit(False)).union(around.select("vec_id", "sim", F.lit(True)))
+
+
+_HYBRID = f"""WITH m AS (SELECT d.doc_id AS id, CASE WHEN contains(' ' || lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) || ' ', ' the license ') THEN 1 ELSE 0 END AS hit,
+coalesce(round(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST({_Q} AS DOUBLE[])), 6), 0) AS sim FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"""
+
+
+@query(_HYBRID + " SELECT id, score FROM (SELECT id, round(0.6 * sim + 0.4 * hit, 6) AS score FROM m) WHERE score > 0 ORDER BY score DESC, id LIMIT 10")
 def hybrid_search(spark, d):
     """Lexical hits and cosine in one weighted score."""
-    docs = table(spark, d, "documents").select("doc_id", F.contains(F.concat(F.lit(" "), norm(F.col("text")), F.lit(" ")), F.lit(" the license ")).cast("int").alias("hit"))
+    hit = F.contains(F.concat(F.lit(" "), norm(F.col("text")), F.lit(" ")), F.lit(" the license ")).cast("int")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), hit.alias("hit"))
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
-    sims = retrieval.cosine_search(v, v.where("vec_id = 7"), 1 << 30, -2.0).select(F.col("vec_id").alias("doc_id"), "sim")
-    sims = sims.union(spark.createDataFrame([(7, 1.0)], "doc_id long, sim double"))
-    scored = docs.join(sims, "doc_id", "left").select(F.col("doc_id").alias("id"), F.round(0.6 * F.coalesce("sim", F.lit(0.0)) + 0.4 * F.col("hit"), 6).alias("score"))
+    sims = retrieval.similarity_to(v, v.where("vec_id = 7")).withColumnRenamed("vec_id", "id")
+    scored = docs.join(sims, "id", "left").select("id", F.round(0.6 * F.coalesce("sim", F.lit(0.0)) + 0.4 * F.col("hit"), 6).alias("score"))
     return scored.where("score > 0").orderBy(F.desc("score"), F.asc("id")).limit(10)
 
 
-_SAL = """SELECT p_partkey AS id, round(0.8 * (p_size / 50.0 + 0.8 * (p_partkey % 7) / 7.0) - 0.5 * (p_partkey % 3) / 3.0 - 1.5 * (CASE WHEN p_brand LIKE '%1%' THEN 0.2 ELSE 0 END) - 0.9 * pow(0.5, (p_partkey % 30) / 5.0), 6) AS salience FROM part"""
+_SALIENCE = """i AS (SELECT o_orderkey AS id, o_orderpriority AS channel, o_totalprice / 600000.0 AS fit, CAST(o_orderkey % 3 AS INT) AS raised, CAST(o_orderkey % 4 AS INT) AS deflected, CASE o_orderkey % 9 WHEN 0 THEN 'grief_adjacent' WHEN 1 THEN 'personal' ELSE 'none' END AS sensitivity,
+  o_orderkey % 5 > 0 AS corroborated, epoch(o_orderdate::TIMESTAMP) AS created, CASE WHEN o_orderkey % 2 = 0 THEN epoch(o_orderdate::TIMESTAMP) + 86400 END AS ws, CASE WHEN o_orderkey % 4 = 0 THEN epoch(o_orderdate::TIMESTAMP) + 3 * 86400 END AS we FROM orders),
+t AS (SELECT max(created) AS now FROM i),
+w AS (SELECT *, CASE WHEN ws IS NOT NULL AND now < ws THEN 0.15 WHEN we IS NOT NULL AND now > we THEN greatest(0.0, 0.6 * (1 - (now - we) / 604800.0)) WHEN ws IS NOT NULL OR we IS NOT NULL THEN 1.0 ELSE pow(0.5, greatest(0.0, now - created) / 432000.0) END AS timely FROM i, t),
+s AS (SELECT *, round(1.0 * (1.0 * timely + 0.8 * fit) - 0.5 * CASE WHEN channel = '1-URGENT' THEN 0.5 ELSE 0 END - 1.5 * CASE sensitivity WHEN 'none' THEN 0 WHEN 'personal' THEN 0.35 ELSE 10 END - 0.9 * (0.6 * raised + 0.8 * deflected), 6) AS salience FROM w)"""
+
+
+def _initiative(spark, d):
+    o, at = table(spark, d, "orders"), clock.epoch(F.col("o_orderdate"))
+    k = F.col("o_orderkey")
+    items = o.select(
+        k.alias("id"), F.col("o_orderpriority").alias("channel"), (F.col("o_totalprice") / 600000.0).alias("fit"), (k % 3).cast("int").alias("raised_count"), (k % 4).cast("int").alias("deflections"),
+        F.when(k % 9 == 0, "grief_adjacent").when(k % 9 == 1, "personal").otherwise("none").alias("sensitivity"), (k % 5 > 0).alias("corroborated"),
+        at.alias("created"), F.when(k % 2 == 0, at + 86400).alias("window_start"), F.when(k % 4 == 0, at + 3 * 86400).alias("window_end"),
+    )
+    now = items.agg(F.max("created").alias("now"))  # one row
+    return items.crossJoin(F.broadcast(now)).withColumn("salience", retrieval.salience(F.col("now"), F.lit("1-URGENT")))
 
 
-@query(f"SELECT id, salience FROM ({_SAL}) WHERE salience > 0 ORDER BY salience DESC, id LIMIT 1")
+@query(f"WITH {_SALIENCE} SELECT id, salience FROM s WHERE sensitivity <> 'grief_adjacent' AND (channel <> '5-LOW' OR corroborated) AND (ws IS NULL OR now >= ws) AND salience > 0 ORDER BY salience DESC, created, id LIMIT 1")
 def salience_pick(spark, d):
-    k = F.col("p_partkey")
-    sensitivity = F.when(F.col("p_brand").contains("1"), 0.2).otherwise(0.0)
-    salience = 0.8 * (F.col("p_size") / 50.0 + 0.8 * (k % 7) / 7.0) - 0.5 * (k % 3) / 3.0 - 1.5 * sensitivity - 0.9 * clock.half_life(k % 30, 5)
-    scored = table(spark, d, "part").select(k.alias("id"), F.round(salience, 6).alias("salience"))
-    return scored.where("salience > 0").orderBy(F.desc("salience"), F.asc("id")).limit(1)
+    """Orders as things to bring up, 5-LOW as the channel that needs corroboration; the best one above the floor."""
+    return retrieval.pick(_initiative(spark, d), F.col("now"), "5-LOW").select("id", "salience")
+
+
+@query(f"WITH {_SALIENCE}, r AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY salience DESC, created DESC, id) AS rn FROM s) SELECT channel, id FROM r WHERE rn <= 12")
+def bounded_queue(spark, d):
+    """Each channel keeps its twelve most salient items, of equals the newer ones."""
+    return top_per_group(_initiative(spark, d).select("channel", "id", "salience", "created"), ["channel"], [F.desc("salience"), F.desc("created"), F.asc("id")], 12).select("channel", "id")
 
 
 # --- sets --------------------------------------------------------------------------------------------------------

@@ -107,9 +107,9 @@ _BARE = r"regexp_replace(coalesce(html, ''), '<script.*?</script>|<style.*?</sty
 
 
 def _entities(inner: str) -> str:
-    for name, char in T.ENTITIES:
-        quoted = char.replace("'", "''")
-        inner = f"replace({inner}, '{name}', '{quoted}')"
+    """The references that occur in the pages, that of the ampersand last."""
+    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        inner = f"replace({inner}, '&{name};', '{char}')"
     return inner
 
 
@@ -122,10 +122,10 @@ def html_strip(spark, d):
     return table(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
 
 
-@query(f"SELECT page_id, url, substr({HTML_SQL}, 1, 500) AS text, length({HTML_SQL}) AS n_chars FROM pages")
+@query(f"SELECT page_id, url, {HTML_SQL} AS text, length({HTML_SQL}) AS n_chars FROM pages")
 def html_extract(spark, d):
     text = T.strip_html(F.col("html"))
-    return table(spark, d, "pages").select("page_id", "url", text.alias("t")).select("page_id", "url", F.substring("t", 1, 500).alias("text"), F.length("t").cast("long").alias("n_chars"))
+    return table(spark, d, "pages").select("page_id", "url", text.alias("text")).select("*", F.length("text").cast("long").alias("n_chars"))
 
 
 _LINED = rf"regexp_replace({_BARE.format('')}, '</?({T.BLOCK_TAGS})(\s[^>]*)?/?>', chr(10), 'gi')"
@@ -201,19 +201,23 @@ def sanitize_text(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.sanitize(F.col("text"), 1_000_000).alias("text"))
 
 
-def _masked(upto: int) -> str:
-    out = "coalesce(text, '')"
-    for _, pattern, mark in T.PII_PATTERNS[:upto]:
-        out = f"regexp_replace({out}, '{pattern}', '{mark}', 'g')"
-    return out
+_EMAIL = r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
+_PHONE = r"(^|[^\w.])(\+?\d(?:[\s().-]*\d){8,})\b"
+_NO_EMAIL = f"regexp_replace(coalesce(text, ''), '{_EMAIL}', '[email]', 'g')"
+_NO_PHONE = rf"regexp_replace({_NO_EMAIL}, '{_PHONE}', '\1[phone]', 'g')"
+_MASKED = rf"regexp_replace({_NO_PHONE}, '\d{{7,}}', '[number]', 'g')"
 
 
-@query(f"SELECT doc_id, md5({_masked(3)}) AS masked, length({_masked(3)}) AS n_chars FROM documents")
+@query(f"SELECT doc_id, md5({_MASKED}) AS masked, length({_MASKED}) AS n_chars FROM documents")
 def pii_mask(spark, d):
     return _docs(spark, d).select("doc_id", T.mask_personal(F.col("text")).alias("m")).select("doc_id", F.md5("m").alias("masked"), F.length("m").cast("long").alias("n_chars"))
 
 
-_KINDS = " || ".join(f"CASE WHEN regexp_matches({_masked(i)}, '{p}') THEN ',{k}' ELSE '' END" for k, i, p in sorted((k, i, p) for i, (k, p, _) in enumerate(T.PII_PATTERNS)))
+_KINDS = (
+    f"CASE WHEN regexp_matches(coalesce(text, ''), '{_EMAIL}') THEN ',email' ELSE '' END || CASE WHEN regexp_matches({_NO_PHONE}, '"
+    + r"\d{7,}"
+    + f"') THEN ',number' ELSE '' END || CASE WHEN regexp_matches({_NO_EMAIL}, '{_PHONE}') THEN ',phone' ELSE '' END"
+)
 
 
 @query(f"SELECT doc_id, ltrim({_KINDS}, ',') AS kinds FROM documents WHERE ({_KINDS}) <> ''")
@@ -264,21 +268,21 @@ def ingest_dedup(spark, d):
 @query(
     """SELECT coalesce(o.l, n.l) AS lang, coalesce(o.source, n.source) AS source, CASE WHEN n.source IS NOT NULL THEN n.n ELSE o.n END AS n FROM
     (SELECT source, min(lang) AS l, count(*) AS n FROM documents WHERE doc_id % 3 = 0 GROUP BY source) o FULL JOIN
-    (SELECT source, max(lang) AS l, sum(n_chars)::BIGINT AS n FROM documents WHERE doc_id % 3 = 1 AND source <> 'src1' GROUP BY source) n ON o.source = n.source"""
+    (SELECT source, max(lang) AS l, sum(n_chars)::BIGINT AS n FROM documents WHERE doc_id % 3 > 0 AND source <> 'src1' GROUP BY source) n ON o.source = n.source"""
 )
 def merge_upsert(spark, d):
     docs = _docs(spark, d)
     old = docs.where("doc_id % 3 = 0").groupBy("source").agg(F.min("lang").alias("lang"), F.count("*").alias("n"))
-    new = docs.where("doc_id % 3 = 1 AND source <> 'src1'").groupBy("source").agg(F.max("lang").alias("lang"), F.sum("n_chars").alias("n"))
+    new = docs.where("doc_id % 3 > 0 AND source <> 'src1'").groupBy("source").agg(F.max("lang").alias("lang"), F.sum("n_chars").alias("n"))
     return archive.upsert(old, new, "source", ["n"])
 
 
 @query(
-    """WITH g AS (SELECT substr(sha1(lower(trim(substr(text, 1, 3)))), 1, 16) AS group_key, doc_id FROM documents)
+    f"""WITH g AS (SELECT substr(sha1({NORM.format(TITLE)}), 1, 16) AS group_key, doc_id FROM documents)
     SELECT group_key, count(*) AS n, max(doc_id) AS newest, min(doc_id) AS oldest FROM g GROUP BY group_key HAVING max(doc_id) > 100"""
 )
 def export_groups(spark, d):
-    return documents.export_groups(_docs(spark, d), F.substring("text", 1, 3), "doc_id", 100)
+    return documents.export_groups(_docs(spark, d), F.split_part("text", F.lit("\n"), F.lit(1)), "doc_id", 100)
 
 
 @query("SELECT doc_id, lang FROM documents WHERE source NOT IN ('src0', 'src7') AND coalesce(lang, 'none') <> 'de'")
@@ -356,11 +360,6 @@ def prose_lines_to_items(spark, d):
     return items.where(F.length("title") >= 8)
 
 
-@query()
-def rake_keyphrases(spark, d):
-    return with_keyphrases(_docs(spark, d), "doc_id", "text")
-
-
 @query(
     """WITH u AS (SELECT doc_id, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)) SELECT doc_id, count(*) AS n_words, count(DISTINCT word) AS n_distinct FROM u GROUP BY doc_id"""
 )
@@ -373,13 +372,87 @@ def invert_index(spark, d):
     return back.select("doc_id", F.size(line).cast("long").alias("n_words"), F.size(F.array_distinct(line)).cast("long").alias("n_distinct"))
 
 
-@query("SELECT source, title, link, published FROM (SELECT 'f' || (page_id % 5) AS source, 'Item ' || page_id AS title, url AS link, page_id * 86400.0::DOUBLE AS published, row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id DESC) AS rn FROM pages) WHERE rn <= 30")
+@query(
+    """SELECT source, title, link, published FROM (SELECT 'f' || (page_id // 40) AS source, 'Item ' || page_id AS title, url AS link, page_id * 86400.0::DOUBLE AS published,
+    row_number() OVER (PARTITION BY page_id // 40 ORDER BY page_id DESC) AS rn FROM pages) WHERE rn <= 30"""
+)
 def src_feed_parse(spark, d):
-    """Feeds made from pages (half RSS, half Atom), read back."""
+    """Feeds made of 40 pages each (half RSS, half Atom), read back, the 30 newest items of each."""
     p = table(spark, d, "pages")
-    day = F.from_unixtime(F.col("page_id") * 86400)
-    rss = F.concat(F.lit("<item><title>Item "), F.col("page_id").cast("string"), F.lit("</title><link>"), F.col("url"), F.lit("</link><pubDate>"), F.date_format(F.timestamp_seconds(F.col("page_id") * 86400), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"))
-    atom = F.concat(F.lit("<entry><title>Item "), F.col("page_id").cast("string"), F.lit('</title><link href="'), F.col("url"), F.lit('"/><updated>'), F.date_format(F.timestamp_seconds(F.col("page_id") * 86400), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z</updated></entry>"))
-    items = p.select((F.col("page_id") % 5).alias("k"), F.when(F.col("page_id") % 5 < 3, rss).otherwise(atom).alias("item"), "page_id")
+    at, link = F.timestamp_seconds(F.col("page_id") * 86400), F.replace("url", F.lit("&"), F.lit("&amp;"))
+    title = F.concat(F.lit("<![CDATA[Item "), F.col("page_id").cast("string"), F.lit("]]>"))
+    rss = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), link, F.lit("</link><pubDate>"), F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"))
+    atom = F.concat(F.lit("<entry><title>"), title, F.lit('</title><link href="'), link, F.lit('"/><updated>'), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z</updated></entry>"))
+    block = F.floor(F.col("page_id") / 40)
+    items = p.select(block.alias("k"), F.when(block % 2 == 0, rss).otherwise(atom).alias("item"), "page_id")
     feeds = items.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "item"))), lambda x: x["item"]), "").alias("raw"))
-    return feed_items(feeds.select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("source"), F.concat(F.lit("<feed>"), F.col("raw"), F.lit("</feed>")).alias("raw"))).select("source", "title", "link", "published")
+    feeds = feeds.select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("source"), F.concat(F.lit("<feed>"), F.col("raw"), F.lit("</feed>")).alias("raw"))
+    return feed_items(feeds).select("source", "title", "link", "published")
+
+
+_START = r"(^|[.?!:;\n])([ \t]*)"
+
+
+@query(
+    rf"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{_START}\b(?:the|ou)[''’]s\b', '\1\2Your', 'gi'), '\b(?:the|ou)[''’]s\b', 'your', 'gi'),
+    '{_START}\b(?:the|ou)\b', '\1\2You', 'gi'), '\b(?:the|ou)\b', 'you', 'gi') AS text FROM conversations"""
+)
+def person_rewrite(spark, d):
+    """Two frequent words stand in for a person's name and alias."""
+    return table(spark, d, "conversations").select("conv_id", "turn", T.second_person(F.col("text"), ("the", "ou")).alias("text"))
+
+
+@query("SELECT doc_id, 'u' || doc_id AS uid, trim(coalesce(text, '')) AS comment FROM documents")
+def marker_codec(spark, d):
+    """Every text as a comment with its origin's mark, and both read back."""
+    docs = _docs(spark, d).select("doc_id", T.mark_origin(F.col("text"), F.concat(F.lit("u"), F.col("doc_id").cast("string"))).alias("notes"))
+    return docs.select("doc_id", T.origin_uid(F.col("notes")).alias("uid"), T.origin_comment(F.col("notes")).alias("comment"))
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS s, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+    f AS (SELECT doc_id, i, split_part(trim(s), ' ', 1) AS label FROM l WHERE trim(s) <> '' AND NOT contains(s, ':') AND NOT contains(s, '"')),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY i DESC) AS again FROM f)
+    SELECT doc_id, count(*) AS n, arg_max(label, i) AS last_label FROM k WHERE again = 1 GROUP BY doc_id"""
+)
+def absorb_facts(spark, d):
+    """Every line of a text as a FACT line under its first word; later ones replace earlier ones."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda s: (F.trim(s) != "") & ~F.contains(s, F.lit(":")) & ~F.contains(s, F.lit('"')))
+    said = F.array_join(F.transform(lines, lambda s: F.concat(F.lit("FACT: "), F.split_part(F.trim(s), F.lit(" "), F.lit(1)), F.lit(": "), F.trim(s))), "\n")
+    found = _docs(spark, d).select("doc_id", said.alias("said")).select("doc_id", T.facts(F.col("said"), 1 << 30).alias("facts"))
+    rows = found.select("doc_id", F.size("facts").cast("long").alias("n"), F.try_element_at("facts", F.lit(-1))["label"].alias("last_label"))
+    return rows.where("n > 0")
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'e' || event_id ELSE event_type || '@' || strftime(ts, '%Y-%m-%d') END AS uid, event_type AS title, strftime(ts, '%Y-%m-%d') AS start,
+    CASE WHEN event_id % 2 = 0 THEN 'room ' || user_id ELSE '' END AS location FROM events"""
+)
+def calendar_normalize(spark, d):
+    """Raw calendar entries as JSON under several names and shapes, made from events, in one form."""
+    day, ident = F.date_format("ts", "yyyy-MM-dd"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("e"), F.col("event_id").cast("string")))
+    room = F.concat(F.lit("room "), F.col("user_id").cast("string"))
+    one = F.to_json(F.struct(F.col("event_type").alias("title"), F.struct(day.alias("dateTime")).alias("start"), room.alias("location"), ident.alias("id")))
+    other = F.to_json(F.struct(F.concat(F.lit(" "), F.col("event_type")).alias("summary"), day.alias("when"), ident.alias("uid")))
+    rows = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, one).otherwise(other).alias("raw"))
+    return archive.normalize_entries(rows, "raw").select("event_id", "uid", "title", "start", "location")
+
+
+TOKENS = r"regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9][A-Za-z0-9''\-]*|[^\sA-Za-z0-9]')"
+#: Keyphrases as common table expressions, from w (id, i, w, word) to k (id, rank, phrase, score).
+RAKE = rf"""c AS (SELECT id, i, w, word AND length(w) >= 3 AND regexp_matches(w, '[a-z]') AND w NOT IN ({_STOP}) AS c FROM w),
+    r AS (SELECT *, sum(CASE WHEN c THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY i) AS run FROM c),
+    p AS (SELECT *, (row_number() OVER (PARTITION BY id, run ORDER BY i) - 1) // 4 AS part FROM r WHERE c),
+    n AS (SELECT *, count(*) OVER (PARTITION BY id, run, part) AS len FROM p),
+    s AS (SELECT id, w, sum(len) / count(*) AS s FROM n GROUP BY id, w),
+    x AS (SELECT n.id, string_agg(n.w, ' ' ORDER BY n.i) AS phrase, round(sum(s.s), 6) AS score FROM n JOIN s ON n.id = s.id AND n.w = s.w GROUP BY n.id, run, part),
+    k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, phrase) AS rank FROM (SELECT DISTINCT * FROM x))"""
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, unnest({TOKENS}) AS t, generate_subscripts({TOKENS}, 1) AS i FROM documents),
+    w AS (SELECT doc_id AS id, i, trim(lower(t), '''-') AS w, regexp_matches(t, '^[A-Za-z0-9]') AS word FROM t), {RAKE}
+    SELECT id AS doc_id, rank, phrase, score FROM k WHERE rank <= 12"""
+)
+def rake_keyphrases(spark, d):
+    return with_keyphrases(_docs(spark, d), "doc_id", "text")

@@ -14,28 +14,33 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_LINK = "struct<_VALUE: string, _href: string>"
+_ITEM = f"title string, link {_LINK}, guid string, description string, summary string, content string, pubDate string, published string, updated string, date string"
+
+
 def feed_items(feeds: DataFrame, max_items: int = 30) -> DataFrame:
     """One row per titled item or entry of RSS 2 or Atom text in `raw`: source, title, link, summary, published, ord.
 
-    Newest first within a source, at most max_items of each. A missing or
-    unreadable date is 0.0. Raw text that isn't a feed gives no rows.
+    Each item is read as XML, so CDATA and references are decoded. Newest first
+    within a source, at most max_items of each. A missing or unreadable date is
+    0.0; items that are no XML and raw text that isn't a feed give no rows.
     """
-    # attribute-free rewriting: both dialects become <item> with <link> text
-    one = F.regexp_replace(F.col("raw"), r"(?s)<(/?)entry\b[^>]*>", "<$1item>")
-    blocks = F.regexp_extract_all(one, F.lit(r"(?s)<item[^>]*>.*?</item>"), F.lit(0))
+    # both dialects become <item>, whatever their prefixes and attributes
+    one = F.regexp_replace(F.regexp_replace("raw", r"(?s)<(/?)(?:\w+:)?entry\b[^>]*>", "<$1item>"), r"(</?)\w+:(\w+)", "$1$2")
+    blocks = F.regexp_extract_all(one, F.lit(r"(?s)<item\b[^>]*>.*?</item>"), F.lit(0))
     items = feeds.select("source", F.posexplode(blocks).alias("ord", "item"))
+    read = items.select("source", "ord", F.from_xml("item", _ITEM).alias("x"))
 
-    def field(*names: str):
-        found = [F.nullif(F.trim(F.regexp_extract("item", rf"(?s)<{n}\b[^>]*>(.*?)</{n}>", 1)), F.lit("")) for n in names]
-        return F.coalesce(*found)
+    def first(*names: str):
+        return F.coalesce(*[F.nullif(F.trim(F.col(f"x.{n}")), F.lit("")) for n in names])
 
-    parsed = items.select(
+    parsed = read.select(
         "source",
         "ord",
-        strip_html(field("title")).alias("title"),
-        F.coalesce(field("link"), F.nullif(F.regexp_extract("item", r'<link\b[^>]*href="([^"]*)"', 1), F.lit("")), F.lit("")).alias("link"),
-        F.substring(strip_html(field("description", "summary", "content")), 1, 1000).alias("summary"),
-        F.coalesce(parse_time(F.regexp_replace(field("pubDate", "published", "updated"), "Z$", "")), F.lit(0.0)).alias("published"),
+        strip_html(first("title")).alias("title"),
+        F.coalesce(first("link._VALUE", "link._href", "guid"), F.lit("")).alias("link"),
+        F.substring(strip_html(first("description", "summary", "content")), 1, 1000).alias("summary"),
+        F.coalesce(parse_time(first("pubDate", "published", "updated", "date")), F.lit(0.0)).alias("published"),
     ).where("title <> ''")
     return top_per_group(parsed, ["source"], [F.desc("published"), F.asc("ord")], max_items)
 

@@ -72,7 +72,7 @@ def test_activation_decays_exactly(spark):
 def test_two_deflections_retire(spark):
     rows = [(1, i, o) for i, o in enumerate(["deflected", "raised", "deflected", "engaged"])] + [(2, 0, "engaged"), (2, 1, "dropped")]
     df = spark.createDataFrame(rows, "k long, n long, o string")
-    assert sorted(one(folds.outcomes(df, ["k"], ["n"], "o"))) == [(1, 4, "retired", 2), (2, 2, "engaged", 0)]
+    assert sorted(one(folds.outcomes(df, ["k"], "n", "o"))) == [(1, 4, "retired", 2), (2, 2, "engaged", 0)]
 
 
 def test_near_duplicate_loser(spark):
