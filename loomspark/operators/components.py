@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, in the folder that the cluster shares (spark.checkpoint.dir; a temporary one where unset)."""
+    """df cut from its lineage, in the folder that the cluster shares (spark.checkpoint.dir; on one machine a temporary one where unset)."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        folder = spark.sparkContext.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

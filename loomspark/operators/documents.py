@@ -27,6 +27,12 @@ def dedupe(docs: DataFrame, key: Column, order: str) -> DataFrame:
     return docs.join(gone, docs[order] == F.col("_id"), "left_anti")
 
 
+def tagged(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Both one after the other: _tag says which, _order puts all of the first before the second, by doc_id."""
+    both = first.withColumn("_tag", F.lit(0)).unionByName(second.withColumn("_tag", F.lit(1)))
+    return both.withColumn("_order", F.struct("_tag", "doc_id"))
+
+
 def rank_terms(docs: DataFrame, query: str, title: Column, text: Column, recency: Column | None = None, weight: float = 0.0) -> DataFrame:
     """score: 2 for each occurrence of a query term in the title, 1 in the text, plus weight * recency / its maximum."""
     terms = list(dict.fromkeys(query.lower().split()))
