@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import per_text
 
-#: The sample that the network is fitted on: so many documents at most, so many windows of each.
-FIT_DOCS, FIT_WINDOWS = 3000, 4
+#: The sample that the network is fitted on: so many documents at most, an equal share of each of so many languages (the
+#: commonest), and so many windows of each document.
+FIT_DOCS, FIT_LANGS, FIT_WINDOWS = 3000, 256, 4
 #: Bytes in a window, numbers per byte, filter widths and filters of each width.
 WINDOW, EMBED, WIDTHS, FILTERS = 96, 8, (2, 3, 4, 5), 12
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.01, 11
@@ -101,24 +102,38 @@ def _held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame) -> tuple[ByteConvNet | None, list[str]]:
-    """The network and its languages, from at most FIT_DOCS labelled documents outside the held-out fold.
+def sample(docs: DataFrame) -> DataFrame:
+    """(lang, draw, part): bytes from within the first documents of each language in the order of a hash, outside the held-out fold.
 
-    They are the first in the order of a hash of doc_id. A few windows of each
-    are used, evenly spread over it. Without labelled text there is no network.
+    Each language's share of FIT_DOCS is bounded by the hash before anything is
+    ordered, and texts are cut to FIT_WINDOWS windows there, so what is ordered
+    and sent on does not grow with the corpus.
     """
-    labelled = docs.where(~_held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    sample = labelled.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(FIT_DOCS)
-    # a byte range from within each text goes to the driver, not the text
+    labelled = docs.where(~_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labelled = labelled.select("lang", "text", F.xxhash64(F.lit(SEED), "doc_id", "text").alias("draw"))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(FIT_LANGS).collect()}
+    each = FIT_DOCS // max(1, len(counts))
+    # a few more than needed pass with near certainty; the rank settles how many
+    least = {lang: -(1 << 63) + min((1 << 64) - 1, (each + 6 * each**0.5 + 10) / n * 2**64) for lang, n in counts.items()}
+    limits = F.create_map(*[c for lang, top in least.items() for c in (F.lit(lang), F.lit(int(top)).cast("long"))]) if least else F.create_map().cast("map<string,long>")
     part = WINDOW * FIT_WINDOWS
-    begin = F.floor((F.length("text") - part) * F.pmod(F.xxhash64("doc_id"), F.lit(97)) / 97)
-    rows = sample.select("lang", F.substring("text", F.greatest(F.lit(1), begin).cast("int"), F.lit(part)).alias("text")).collect()
+    begin = F.floor((F.length("text") - part) * F.pmod("draw", F.lit(97)) / 97)
+    cut = F.substring(F.col("text"), F.greatest(F.lit(1), begin).cast("int"), F.lit(part)).alias("part")
+    few = labelled.where(F.col("draw") <= F.try_element_at(limits, F.col("lang"))).select("lang", "draw", cut)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    return few.withColumn("rank", rank).where(F.col("rank") <= each).drop("rank")
+
+
+def fit(docs: DataFrame) -> tuple[ByteConvNet | None, list[str]]:
+    """The network and its languages, from sample(); without labelled text there is no network."""
+    rows = sorted(sample(docs).collect(), key=lambda r: (r.lang, r.draw))
+    rows = [r for r in rows if _LETTER.search(r.part)]
     names = sorted({r.lang for r in rows})
     if not names:
         return None, []
     x, y = [], []
     for r in rows:
-        some = windows(r.text.encode("utf-8", "replace"))[:FIT_WINDOWS]
+        some = windows(r.part.encode("utf-8", "replace"))[:FIT_WINDOWS]
         x.append(some)
         y += [names.index(r.lang)] * len(some)
     return ByteConvNet(len(names)).fit(np.concatenate(x), np.array(y)), names
@@ -131,7 +146,8 @@ def predict_language(docs: DataFrame) -> DataFrame:
     log probabilities decides and, as a softmax, gives the score. Null text and
     text without a letter is `und` with score 0, as is everything if no labelled
     document exists. Nulls in lang only shrink the sample; a null doc_id is not
-    held out; repeated rows get equal results; an empty table gives none.
+    held out; repeated rows get equal results; an empty table gives none; other
+    columns are not read, whatever their names.
     """
     net, names = fit(docs)
 

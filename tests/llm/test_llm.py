@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 import corpus_pipeline
-from loomspark.llm import common, contamination, html, language, licenses, mixing, quality, queries, sharding, simhash, substrings, tokens
+from loomspark.llm import common, contamination, html, language, licenses, mixing, quality, queries, sharding, simhash, slots, substrings, tokens
 from loomspark.llm.licenses import SuffixAutomaton
 
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(20_000))
@@ -250,16 +250,74 @@ def test_decontamination_runs_no_python(both, spark, folder):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_substrings(both, empty, monkeypatch):
-    for sampled in (substrings.SAMPLED, 1.0):
-        monkeypatch.setattr(substrings, "SAMPLED", sampled)
-        monkeypatch.setattr(substrings, "CROWDED", 2 if sampled == 1.0 else substrings.CROWDED)
-        for docs, texts in both:
+def test_substrings(spark, both, empty, monkeypatch):
+    rows = [(i, f"{'lead ' * (i % 3)}{PASSAGE} {'mid ' * (i % 2)}{PASSAGE} own{i}") for i in range(40)]
+    many = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), dict(rows)
+    for crowded, gathered in ((substrings.CROWDED, substrings.GATHERED), (2, substrings.GATHERED), (10**9, 3)):
+        monkeypatch.setattr(substrings, "SAMPLED", 1.0 if crowded == 2 else substrings.SAMPLED)
+        monkeypatch.setattr(substrings, "CROWDED", crowded)
+        monkeypatch.setattr(substrings, "GATHERED", gathered)
+        for docs, texts in [*both, many]:
             got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup_substrings(docs).collect()}
             assert got == brute.removed_words(texts)
     assert substrings.dedup_substrings(empty).collect() == []
 
 
+def test_spans_in_buckets_of_any_size(monkeypatch):
+    rng = np.random.default_rng(31)
+    for gathered in (3, 10, 10**6):
+        monkeypatch.setattr(substrings, "GATHERED", gathered)
+        rows = []
+        for doc in range(12):
+            words = [b"%d" % x for x in rng.integers(0, 2, 40)]
+            rows.append((7, doc, doc, 0, len(words) - 12, b" ".join(words)))
+        want = set()
+        for _, doc, _, _, n, text in rows:
+            w = text.split()
+            earlier = {tuple(t.split()[i : i + 13]) for _, d, _, _, m, t in rows if d < doc for i in range(m)}
+            want |= {(doc, i) for i in range(n) if tuple(w[i : i + 13]) in earlier}
+        first = [r for b in substrings._spans_in_buckets(iter([substrings._batch(rows[:5]), substrings._batch(rows[5:])])) for r in b.to_pylist()]
+        onward = sorted((r["bucket"], r["doc_id"], r["crc"], r["start"], r["size"], r["packed"]) for r in first if r["packed"])
+        second = [r for b in substrings._spans_in_buckets(iter([substrings._batch(onward)])) for r in b.to_pylist()]
+        found = {(r["doc_id"], r["start"] + i) for r in first + second if r["packed"] is None for i in range(r["size"])}
+        assert found == want and not [r for r in second if r["packed"]]
+
+
+def test_shared_slots_are_exact(spark):
+    rng = np.random.default_rng(33)
+    rows = [np.unique(rng.integers(-(2**63), 2**63, 50)) for _ in range(30)]
+    common = rng.integers(-(2**63), 2**63, 5)
+    rows = [np.unique(np.concatenate([r, common])) if i % 3 else r for i, r in enumerate(rows)]
+    batches = []
+    for part in (rows[:7], rows[7:8], rows[8:]):
+        counter = slots.SlotCounter()
+        for r in part:
+            counter.add(r)
+        batches += counter.settle().to_pylist()
+    bits, crowds = slots.shared_slots(spark.createDataFrame([(b["block"], b["counts"], b["n"]) for b in batches], slots.COUNTS), 10)
+    counts = Counter(s for r in rows for s in set(slots.slot_of(r).tolist()))
+    assert set(np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist()) == {s for s, n in counts.items() if n > 1}
+    assert crowds.tolist() == sorted(s for s, n in counts.items() if n >= 10)
+    counter = slots.SlotCounter(2)
+    for r in rows:
+        counter.add(r)
+    bits, _ = slots.shared_slots(spark.createDataFrame([(b["block"], b["counts"], b["n"]) for b in counter.settle().to_pylist()], slots.COUNTS), tables=2)
+    assert slots.held(bits, common, 2).all() and not slots.held(bits, rows[0], 2).any()
+
+
+def test_cutter_is_blind_to_place():
+    rng, cutter = np.random.default_rng(32), substrings.Cutter()
+    words = [b"w%d" % x for x in rng.integers(0, 50, 400)]
+
+    def minimisers(part):
+        return {i + k: m for m, i, n in zip(*(x.tolist() for x in cutter.cut(part))) for k in range(n)}
+
+    whole = minimisers(words)
+    assert sorted(whole) == list(range(len(words) - 12))
+    for a in (1, 17, 300):
+        assert {i: m for i, m in minimisers(words[a:]).items()} == {i - a: m for i, m in whole.items() if i >= a}
+
+
 def test_sharding(both, empty):
     for docs, texts in both:
         rows = sharding.shard(docs).collect()
@@ -274,6 +332,20 @@ def test_sharding(both, empty):
     assert sharding.shard(empty).collect() == []
 
 
+def test_shards_prune_by_every_dimension(spark, folder):
+    docs = spark.read.parquet(f"{folder.replace('0.001', '0.01')}/documents.parquet")
+    rows = sharding.shard(docs, 24).join(docs.select("doc_id", "source", "lang"), "doc_id").collect()
+    of = {"source": lambda r: r.source, "lang": lambda r: r.lang, "size": lambda r: r["size"].bit_length()}
+    for dimension, value in of.items():
+        met, scattered = defaultdict(set), defaultdict(set)
+        for r in rows:
+            met[value(r)].add(r.shard)
+            scattered[value(r)].add(zlib.crc32(str(r.doc_id).encode()) % 24)
+        assert sum(map(len, met.values())) <= 0.8 * sum(map(len, scattered.values())), dimension
+    order = sorted((r.shard, r.slot, r.curve) for r in rows)
+    assert [c for *_, c in order] == sorted(r.curve for r in rows)
+
+
 def test_hilbert_curve_is_one_path():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3), axis=-1).reshape(-1, 3)
     index = sharding.hilbert_index(grid, 3)
@@ -564,6 +636,87 @@ def test_automaton_matches():
         assert len(found) == len(set(found)) and set(found) == want
 
 
+ODD = ("_text", "_kept", "_doc", "_draw", "_source", "_size", "_last", "_row", "_at", "_part", "_place", "node", "digest", "prefix", "row", "draw", "key", "its", "n", "some", "value", "place")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids, repeated rows, one very long text and further columns with clashing names."""
+    long = "w " * 300_000 + "end"
+    rows = [(None, None, None, None), (None, "no id here", "a", "en"), (None, "no id here", "a", "en"), (1, PASSAGE, "a", "en"), (1, PASSAGE, "a", "en"), (1, "other text of one", "a", "en"), (2, PASSAGE + " more", None, None), (3, long, "b", "fr"), (3, long, "b", "fr")]
+    df = spark.createDataFrame([(i, t, s, g, len(t or "")) for i, t, s, g in rows], KIND)
+    for c in ODD:
+        df = df.withColumn(c, F.lit("other"))
+    return df.repartition(2), rows
+
+
+ROW_BY_ROW = {
+    "tokens": lambda d: tokens.count_tokens(d, __import__("public_tokenizers").path("word_bpe_49k.json")),
+    "simhash": simhash.link_fingerprints,
+    "substrings": substrings.dedup_substrings,
+    "quality": quality.quality,
+    "language": language.predict_language,
+    "licenses": lambda d: licenses.license_scan(d).drop("spans"),
+}
+
+
+@pytest.mark.parametrize("name", ROW_BY_ROW)
+def test_odd_rows_each_give_one(odd, name):
+    docs, rows = odd
+    got = Counter(ROW_BY_ROW[name](docs).collect())
+    assert got.total() == len(rows)
+    assert Counter(r.doc_id for r in got.elements()) == Counter(i for i, *_ in rows)
+    assert sum(n > 1 for n in got.values()) >= 3  # repeated rows get equal results
+
+
+def test_odd_rows_in_mixing_and_sharding(odd):
+    docs, rows = odd
+    mixed = mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r.text) for r in mixed) == Counter((i, t) for i, t, *_ in rows)
+    taken = Counter()
+    for r in mixed:
+        taken[r.source] += r.copies * r["size"]
+        assert 0 <= r.copies <= 2 and r.digest == "other"
+    for r in mixed:
+        assert taken[r.source] <= r.target + 1
+    assert mixing.mixed_rows(docs).columns == docs.columns
+    placed = sharding.shard(docs, 4, whole=True)
+    assert Counter((r.doc_id, r.text) for r in placed.collect()) == Counter((i, t) for i, t, *_ in rows)
+    assert len({(r.shard, r.slot) for r in placed.collect()}) == len(rows) and set(docs.columns) <= set(placed.columns)
+
+
+def test_odd_rows_in_filters(spark, odd):
+    docs, rows = odd
+    left = simhash.deduplicated(docs)
+    assert left.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter({(i, t) for i, t, *_ in rows} - {(2, PASSAGE + " more")})
+    bench = spark.createDataFrame([(1, "no id here"), (2, PASSAGE)], "item_id long, text string").withColumn("_doc", F.lit(1))
+    left = contamination.decontaminated(docs, bench)
+    assert left.columns == docs.columns and not {r.doc_id for r in left.collect()} & {None, 1, 2}
+    assert quality.good(docs).columns == docs.columns
+
+
+def test_equal_rows_are_taken_by_number(spark):
+    rows = [(7, "one two three", "a")] * 10 + [(8, "four five six", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    mixed = mixing.mix(docs, budget=1.0, weights=(1,)).collect()
+    assert sum(r.copies * r["size"] for r in mixed) == 33
+    mixed = mixing.mix(docs, budget=0.5, weights=(1,)).collect()
+    assert sum(r.copies * r["size"] for r in mixed) == 15 and {r.copies for r in mixed} <= {0, 1}
+
+
+def test_knapsack_of_long_documents():
+    rng = np.random.default_rng(17)
+    lengths = np.unique(rng.integers(21_000, 25_194, 600))
+    taken = mixing.fit_counts(lengths, np.ones(len(lengths), np.int64), 9_000_000)
+    assert taken.max() <= 1 and 9_000_000 - 6 <= (taken * lengths).sum() <= 9_000_000
+    lengths, counts = np.unique(rng.integers(1, 40_000, 5000)), None
+    counts = rng.integers(1, 2000, len(lengths))
+    budget = int((lengths * counts).sum() * 0.37)
+    taken = mixing.fit_counts(lengths, counts, budget)
+    assert (taken <= counts).all() and (taken * lengths).sum() == budget
+
+
 def test_components(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(200, 201), (5, 5)], "a long, b long")
     assert {r.node: r.component for r in common.components(path).collect()} == {i: 0 for i in range(51)} | {200: 200, 201: 200}
@@ -591,9 +744,53 @@ def test_pipeline(spark, folder, tables):
     bench = {r.item_id: r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
     rows = corpus_pipeline.run(spark, folder).collect()
     good = {r.doc_id for r in quality.quality(docs).where("kept").collect()}
-    gone = {r.doc_id for r in simhash.near_duplicates(docs.where(F.col("doc_id").isin(list(good)))).collect()}
-    clean = (good - gone) - brute.contained({i: texts[i] for i in good - gone}, bench).keys()
+    words = {i: texts[i].lower().split() for i in good}
+    sets = {i: set(zip(*(w[j:] for j in range(5)))) for i, w in words.items()}
+    groups = brute.components(good, lambda a, b: words[a] == words[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    alone = {i for i, first in groups.items() if i == first}
+    assert len(alone) < len(good)
+    clean = alone - brute.contained({i: texts[i] for i in alone}, bench).keys()
     copies = {r.doc_id: r.copies for r in mixing.mix(docs.where(F.col("doc_id").isin(list(clean)))).collect()}
     assert Counter(r.doc_id for r in rows) == Counter({i: n for i, n in copies.items() if n})
+    assert all(r.text == texts[r.doc_id] for r in rows) and set(docs.columns) <= set(rows[0].asDict())
     sizes = Counter(r.shard for r in rows)
     assert max(sizes.values()) - min(sizes.get(s, 0) for s in range(24)) <= 1
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, empty, folder):
+    for docs in (odd[0], empty):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, folder)
+            path = f"{common.application_folder(spark)}/test/{name.replace(' ', '-')}-{len(columns)}"
+            out.write.mode("overwrite").parquet(path)
+            docs = spark.read.parquet(path)
+            assert set(columns) <= set(docs.columns) and (name == "sharding" or docs.columns == columns)
+
+
+def test_plans_keep_to_built_in_expressions(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plan = mixing.mix(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Cartesian" not in plan
+    for df in (sharding.shard(docs), simhash.deduplicated(docs), contamination.decontaminated(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))):
+        assert "Cartesian" not in df._jdf.queryExecution().toString()
+
+
+def test_shared_folder_is_required_on_clusters():
+    class Context:
+        master = "spark://host:7077"
+        applicationId = "app"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(*_):
+                return None
+
+    with pytest.raises(RuntimeError):
+        common.checkpoint_folder(Session())
