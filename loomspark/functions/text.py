@@ -216,12 +216,17 @@ _FACT = r"(?im)^[ \t]*FACT:[ \t]*([^:\n]+):[ \t]*(.+?)[ \t]*$"
 
 def facts(text: Column, most: int = 24) -> Column:
     """(label, value) of lines 'FACT: label: value', the last value of each label, the last `most` of them; empty values are left out."""
-    lines = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_FACT), F.lit(0))
-    part = lambda line, i: F.trim(F.regexp_extract(line, _FACT, i))
-    pairs = F.transform(lines, lambda line: F.struct(part(line, 1).alias("label"), F.regexp_replace(part(line, 2), r'^"+|"+$', "").alias("value")))
+    whole = F.coalesce(text, F.lit(""))
+    labels, values = (F.regexp_extract_all(whole, F.lit(_FACT), F.lit(i)) for i in (1, 2))
+    pairs = F.zip_with(labels, values, lambda a, b: F.struct(F.trim(a).alias("label"), F.regexp_replace(F.trim(b), r'^"+|"+$', "").alias("value")))
     known = F.filter(pairs, lambda p: (p["label"] != "") & ~F.lower(p["value"]).isin("", "-", "—", "none", "(none)", "n/a"))
-    last = F.filter(known, lambda p, i: ~F.exists(F.slice(known, i + 2, F.size(known)), lambda q: q["label"] == p["label"]))
-    return F.slice(last, F.greatest(F.lit(1), F.size(last) - most + 1), F.lit(most))
+
+    def last(k: Column) -> Column:
+        kept = F.filter(k, lambda p, i: ~F.exists(F.slice(k, i + 2, F.size(k)), lambda q: q["label"] == p["label"]))
+        return F.slice(F.reverse(kept), 1, most)
+
+    # bound as an array's one element, so that it is computed once
+    return F.reverse(F.get(F.transform(F.array(known), last), F.lit(0)))
 
 
 def without_facts(text: Column) -> Column:

@@ -60,29 +60,29 @@ def to_read_again(items: DataFrame, registry: DataFrame, key: str, fresh_after:
     return joined.where(~F.coalesce(unchanged, F.lit(False))).drop("_key", "_fp", "_at")
 
 
-def phrases_in(texts: DataFrame, ident: list[str], text: Column, phrases: DataFrame, phrase: str, longest: int | None = None) -> DataFrame:
+def phrases_in(texts: DataFrame, ident: list[str], text: Column, phrases: DataFrame, phrase: str, key_words: int = 4) -> DataFrame:
     """Texts joined to the phrases they hold at white-space boundaries: word n-grams meet phrases in an equi-join.
 
     Scales with the number of n-grams, where `contains` would compare every pair.
-    Only n-grams as long as some phrase are made: the lengths that occur are
-    looked up (or 1 to `longest`). Phrases are in normal form.
+    n-grams have up to key_words words; a longer phrase meets texts by its first
+    words and is then looked for in those. ident names a text; phrases are in
+    normal form.
     """
     split = texts.select(*ident, F.split(norm(text), " ").alias("_w"))
-    if longest is None:
-        found = phrases.select(F.size(F.split(phrase, " ")).alias("n")).distinct()
-        lengths = sorted(r.n for r in found.collect())  # one number for each length of a phrase
-    else:
-        lengths = range(1, longest + 1)
     none = F.array().cast("array<string>")
 
     def of(n: int) -> Column:
         made = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.array_join(F.slice("_w", i, n), " "))
         return F.when(F.size("_w") >= n, made).otherwise(none)
 
-    grams = [of(n) for n in lengths]
-    listed = split.select(*ident, F.array_distinct(F.concat(*grams) if grams else none).alias("_g"))
-    exploded = listed.select(*ident, F.explode_outer("_g").alias(phrase))
-    return exploded.join(phrases, phrase)
+    listed = split.select(*ident, F.array_distinct(F.concat(*[of(n) for n in range(1, key_words + 1)])).alias("_g"))
+    grams = listed.select(*ident, F.explode_outer("_g").alias("_key"))
+    words = F.split(phrase, " ")
+    keyed = phrases.withColumns({"_key": F.array_join(F.slice(words, 1, key_words), " "), "_long": F.size(words) > key_words})
+    met = grams.join(keyed, "_key").drop("_key")
+    whole = texts.select(*ident, F.concat(F.lit(" "), norm(text), F.lit(" ")).alias("_t"))
+    held = met.where("_long").join(whole, ident).where(F.contains("_t", F.concat(F.lit(" "), F.col(phrase), F.lit(" ")))).drop("_t")
+    return met.where("NOT _long").unionByName(held).drop("_long")
 
 
 def token_overlap(left: DataFrame, right: DataFrame, lid: str, rid: str, tokens: Column, least: int, share: float = 0.0) -> DataFrame:

@@ -394,12 +394,12 @@ _START = r"(^|[.?!:;\n])([ \t]*)"
 
 
 @query(
-    rf"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{_START}\b(?:the|ou)[''’]s\b', '\1\2Your', 'gi'), '\b(?:the|ou)[''’]s\b', 'your', 'gi'),
-    '{_START}\b(?:the|ou)\b', '\1\2You', 'gi'), '\b(?:the|ou)\b', 'you', 'gi') AS text FROM conversations"""
+    rf"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{_START}\b(?:the|of)[''’]s\b', '\1\2Your', 'gi'), '\b(?:the|of)[''’]s\b', 'your', 'gi'),
+    '{_START}\b(?:the|of)\b', '\1\2You', 'gi'), '\b(?:the|of)\b', 'you', 'gi') AS text FROM conversations"""
 )
 def person_rewrite(spark, d):
     """Two frequent words stand in for a person's name and alias."""
-    return table(spark, d, "conversations").select("conv_id", "turn", T.second_person(F.col("text"), ("the", "ou")).alias("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.second_person(F.col("text"), ("the", "of")).alias("text"))
 
 
 @query("SELECT doc_id, 'u' || doc_id AS uid, trim(coalesce(text, '')) AS comment FROM documents")
