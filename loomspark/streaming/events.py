@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.folds import activate
+from ..operators.folds import TAU, activate
 
 
 def tumbling_counts(events: DataFrame, ts: str, keys: list[str], width: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -36,23 +36,27 @@ def ingest_stream(events: DataFrame, ts: str, key: str, late: str = "1 day") ->
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def activation_stream(events: DataFrame, key: str, ts: str, item: str) -> DataFrame:
-    """(key, item, activation) after each batch; rows of a batch are folded in ts order. ts in seconds."""
+def activation_stream(events: DataFrame, key: str, ts: str, item: str, idle: float = 12 * TAU) -> DataFrame:
+    """(key, item, activation) after each batch; rows of a batch are folded in ts order. ts in seconds.
+
+    A key without events for `idle` seconds has decayed below the floor; its
+    state is dropped.
+    """
     kind = events.schema[key].dataType.simpleString()
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         names, values, last = held.get if held.exists else ([], [], None)
         state = dict(zip(names, values))
         for row in pd.concat(list(batches)).sort_values([ts, item]).itertuples():
             now = getattr(row, ts)
             state, last = activate(now, [getattr(row, item)], state, last), now
         held.update((list(state), list(state.values()), last))
+        held.setTimeoutDuration(int(idle * 1000))
         yield pd.DataFrame({key: k[0], "item": list(state), "activation": [round(v, 6) for v in state.values()]})
 
-    return (
-        events.select(key, ts, item)
-        .groupBy(key)
-        .applyInPandasWithState(
-            run, f"{key} {kind}, item string, activation double", "names array<string>, acts array<double>, last double", "update", GroupStateTimeout.NoTimeout
-        )
-    )
+    state = "names array<string>, acts array<double>, last double"
+    grouped = events.select(key, ts, item).groupBy(key)
+    return grouped.applyInPandasWithState(run, f"{key} {kind}, item string, activation double", state, "update", GroupStateTimeout.ProcessingTimeTimeout)
