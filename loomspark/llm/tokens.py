@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, slices
 
-#: At most so many pre-tokens, the most frequent ones, are sent to every executor.
-FREQUENT = 1 << 19
-#: Longer pre-tokens never are, so what is sent is bounded.
-FREQUENT_CHARS = 32
+#: Pre-tokens with a larger share of all occurrences than one of so many are known to every executor, so there are fewer than that,
+#: together no longer than so many average ones; those met less often than OFTEN aren't, which bounds them in small tables too.
+FREQUENT, OFTEN = 1 << 19, 16
 #: Texts with none of these are in NFC, and lower() and the pattern treat them as the tokenizer does.
 _UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0\u0130\u0149\u0180-\U0010ffff]")
 
@@ -98,17 +97,20 @@ def pre_token_totals(docs: DataFrame, path: str) -> DataFrame:
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row, as the tokenizer in the file `path` counts.
 
-    Each distinct pre-token is cut into pieces once. The FREQUENT most common
-    ones (a share of all occurrences bounds their number) are known to every
-    executor; the others' counts meet their sizes in a join on the pre-token.
-    Token ids are never made. Special strings inside a text count as one token.
+    Each distinct pre-token is cut into pieces once. Common ones, whatever their
+    length, are known to every executor; the others' counts meet their sizes in a
+    join on the pre-token, where none has more than one in FREQUENT of all
+    occurrences. Token ids are never made. Special strings inside a text count as
+    one token.
 
-    Null text counts as empty: no tokens. Rows repeated in doc_id and text each
-    come back; an empty table gives an empty result; other columns are not read.
+    Null text counts as empty: no tokens. A null doc_id is a value like any
+    other. Rows repeated in doc_id and text each come back; an empty table gives
+    an empty result; other columns are not read.
     """
     totals = checkpointed(pre_token_totals(docs, path))
     everything = totals.agg(F.sum("total")).first()[0] or 0
-    common = totals.where((F.col("total") * FREQUENT > everything) & (F.length("pre") <= FREQUENT_CHARS))
+    often = (F.col("total") * FREQUENT > everything) & (F.col("total") > OFTEN)
+    common = totals.where(often)
     frequent = docs.sparkSession.sparkContext.broadcast(dict(common.select("pre", "pieces").toLocalIterator()))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +141,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
     rows = _texts(docs).withColumn("crc", F.xxhash64("text"))
     lines = rows.mapInArrow(split, rows.select("doc_id", "crc").schema.add("n_bytes", "long").add("pre", "string").add("n", "long").add("mark", "integer"))
-    rare = totals.where((F.col("total") * FREQUENT <= everything) | (F.length("pre") > FREQUENT_CHARS)).select("pre", "pieces")
+    rare = totals.where(~often).select("pre", "pieces")
     summed = (
         lines.join(rare, "pre", "left")
         .groupBy("doc_id", "crc", "n_bytes")
