@@ -26,13 +26,13 @@ def longest_repeats(ids: np.ndarray) -> np.ndarray:
     if n < 2:
         return np.zeros(n, np.int64)
     rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
-    levels, stride = [rank], 1
+    levels, stride = [rank.astype(np.int32)], 1  # half the memory, as a periodic text keeps some twenty of them
     while rank.max() < n - 1:
         later = np.zeros(n, np.int64)
         if stride < n:
             later[:-stride] = rank[stride:] + 1
         rank = np.unique(rank * (n + 1) + later, return_inverse=True)[1].astype(np.int64)
-        levels.append(rank)
+        levels.append(rank.astype(np.int32))
         stride *= 2
     order = np.empty(n, np.int64)
     order[rank] = np.arange(n)
