@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -94,6 +96,21 @@ def application_folder(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}"
 
 
+_apart: ContextVar[str] = ContextVar("apart", default="tables")
+
+
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """Inside, Arrow batches have few rows, as one text may be long; the session's setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage: df as a table in the shared folder, where a lost executor takes nothing along.
 
@@ -101,15 +118,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     stay until clear_checkpoints().
     """
     spark = df.sparkSession
-    path = f"{application_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{application_folder(spark)}/{_apart.get()}/{uuid.uuid4().hex}"
+    with _small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_checkpoints(spark: SparkSession) -> None:
     """Delete the tables that checkpointed() wrote for this application; what still reads them fails afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, application_folder(spark))
+
+
+@contextmanager
+def tables_apart(spark: SparkSession, name: str) -> Iterator[None]:
+    """Inside, checkpointed() writes to a folder of that name; what was in it goes first."""
+    _delete(spark, f"{application_folder(spark)}/{name}")
+    before = _apart.set(name)
+    try:
+        yield
+    finally:
+        _apart.reset(before)
 
 
 def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:

@@ -5,22 +5,23 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
-from functools import cache, reduce
+from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, if_small, lower_az, per_text
+from .common import checkpointed, components, if_small, lower_az, per_text, slices
+from .slots import COUNTS, SlotCounter, held, shared_slots, slot_of
 
-#: Keys shared by more fingerprints are linked by their one-bit neighbours instead of pair by pair.
+#: Keys and shingles shared by more are linked in linear size instead of pair by pair; every way finds the same groups.
 CROWDED = 16
-#: Documents sampled for shingles that many texts share, how many of them must have one, and how many are kept; they only order shingles.
-SAMPLE, COMMON, MOST_COMMON = 20_000, 16, 1 << 16
+#: Slots in which shingles are counted, in blocks of so many; their counts only order shingles.
+RANKS, RANK_BLOCK = 1 << 24, 1 << 18
 #: Shingles of a family of texts that one task compares with another such block.
 FAMILY_BLOCK = 1 << 21
 # The generator polynomial of the perfect binary Golay code of length 23, and the segments of a fingerprint.
@@ -130,11 +131,11 @@ def _met(fingerprints: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shared.where("n = 2").select("tab", "a", "b"), checkpointed(keys.join(if_small(many, 1_000_000), "key"))
 
 
-def _pairs(two: DataFrame, met: DataFrame, bits: int) -> DataFrame:
-    """(tab, a, b) at `bits` differing bits or less, from the keys with up to CROWDED fingerprints."""
+def _pairs(two: DataFrame, met: DataFrame) -> DataFrame:
+    """(tab, a, b) at 2 differing bits or less, from the keys with up to CROWDED fingerprints."""
     listed = met.where(F.col("n") <= CROWDED).groupBy("tab", "key").agg(F.collect_list("fp").alias("fps"))
     pairs = listed.select("tab", "fps", F.posexplode("fps").alias("i", "a")).select("tab", "a", F.explode(F.expr("slice(fps, i + 2, size(fps))")).alias("b"))
-    pairs = two.union(pairs).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
+    pairs = two.union(pairs).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
     return pairs.select("tab", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -153,27 +154,7 @@ def fingerprint_links(fingerprints: DataFrame) -> DataFrame:
     near = crowd.select("tab", "fp", F.explode(flips).alias("flip")).select("tab", "fp", F.expr("fp ^ flip").alias("centre"))
     first = near.groupBy("tab", "centre").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = near.join(first, ["tab", "centre"]).where("fp <> a").select("tab", "a", F.col("fp").alias("b"))
-    return _pairs(two, met, 2).union(stars).distinct()
-
-
-def candidate_links(fingerprints: DataFrame, bits: int) -> DataFrame:
-    """(tab, a, b) candidates for verification: fingerprints that share a key and differ in `bits` bits or less.
-
-    In a crowded key, as many near copies of one text make it, all are paired
-    with the fingerprint nearest to the majority of each bit, which is the text
-    that the copies were made from: linear in the copies, where pairs of copies
-    would be quadratic and less alike.
-    """
-    two, met = _met(fingerprints)
-    crowd = met.where(F.col("n") > CROWDED)
-    ones = [F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)]
-    bit = [F.when(F.col(f"b{b}") * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")) for b in range(64)]
-    middle = crowd.groupBy("key", "n").agg(*ones).select("key", reduce(lambda x, y: x.bitwiseOR(y), bit).alias("middle"))
-    off = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
-    pivots = crowd.join(middle, "key").groupBy("key").agg(F.min(F.struct(off.alias("off"), "fp")).alias("pivot")).select("key", F.col("pivot.fp").alias("a"))
-    stars = crowd.join(pivots, "key").where(F.col("fp") != F.col("a")).select("tab", "a", F.col("fp").alias("b"))
-    stars = stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    return _pairs(two, met, bits).union(stars.select("tab", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    return _pairs(two, met).union(stars).distinct()
 
 
 def link_fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
@@ -194,86 +175,189 @@ def link_fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     return slim.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def _sketch(tables: int, prefix: Callable[[list[bytes]], list[tuple]]):
+class Shingler:
+    """Hashes of the distinct k-word shingles of a text, made of its words' hashes, which are remembered."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.known = k, {}
+
+    def set_of(self, words: list[bytes]) -> np.ndarray:
+        """In rising order; fewer words than k: the whole sequence is the one shingle."""
+        if len(self.known) > 1 << 18:
+            self.known.clear()
+        known, hashes = self.known, []
+        for w in words:
+            h = known.get(w)
+            if h is None:
+                h = known[w] = xxhash.xxh64_intdigest(w, 42)
+            hashes.append(h)
+        width = min(self.k, len(words))
+        h, n = np.array(hashes, dtype=np.uint64), len(words) - width + 1 if words else 0
+        mixed = np.full(n, width, np.uint64)
+        for i in range(width):
+            mixed = (mixed ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        return np.unique(mixed.view(np.int64))
+
+
+def shingle_ranks(docs: DataFrame, k: int) -> np.ndarray:
+    """For every slot of shingles a rank that grows with how often all texts hold one of it.
+
+    A table of fixed size, whatever the corpus: tasks count the shingles of
+    their texts in RANKS slots (to 255 each), and the blocks of counts are summed
+    block by block. Ranks only choose the order in which prefixes take shingles;
+    every order gives the same pairs, and this one puts shared shingles last.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, held, waiting = Shingler(k), np.zeros(RANKS, np.uint8), []
+
+        def settle() -> None:
+            at, n = np.unique(np.concatenate(waiting), return_counts=True)
+            held[at] = np.minimum(held[at] + n, 255)
+            waiting.clear()
+
+        for batch in slices(batches):
+            waiting += [slot_of(shingler.set_of(t.lower().split()), RANKS).astype(np.uint32) for t in batch.column("text").to_pylist() if t]
+            if sum(map(len, waiting)) > 1 << 20:
+                settle()
+        if waiting:
+            settle()
+        blocks = [(i, pa.compress(held[i * RANK_BLOCK : (i + 1) * RANK_BLOCK].tobytes(), "zstd", asbytes=True)) for i in range(RANKS // RANK_BLOCK)]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by block."""
+        now, whole = None, np.zeros(RANK_BLOCK, np.int64)
+
+        def summed() -> pa.RecordBatch:
+            ranks = np.minimum(np.round(6 * np.log2(whole + 1)), 255).astype(np.uint8).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([ranks], pa.binary())], names=["block", "ranks"])
+
+        for batch in batches:
+            for i, data in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+                if i != now:
+                    if now is not None:
+                        yield summed()
+                    now = i
+                    whole[:] = 0
+                whole += np.frombuffer(pa.decompress(data, RANK_BLOCK, "zstd", asbytes=True), np.uint8)
+        if now is not None:
+            yield summed()
+
+    counted = docs.where("text IS NOT NULL").select(F.encode("text", "utf-8").alias("text")).mapInArrow(count, "block int, counts binary")
+    ranks = np.zeros(RANKS, np.uint8)
+    for r in counted.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, ranks binary").collect():
+        ranks[r.block * RANK_BLOCK : (r.block + 1) * RANK_BLOCK] = np.frombuffer(r.ranks, np.uint8)
+    return ranks
+
+
+def _sketch(ranks, tables: int, similarity: float, k: int) -> Callable[[bytes], tuple]:
+    """Of a text: the digest of its words, a SimHash fingerprint of its shingle set for every table, the set's size and its prefix.
+
+    The prefix are the shingles of which one is shared by every text that
+    reaches the similarity: such texts share at least similarity * size of the
+    set, so in any order that all texts use, the first size - that + 1 shingles
+    of both meet.
+    """
+    shingler = Shingler(k)
     odd = np.random.default_rng(7).integers(1, 1 << 63, tables, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
     def sketch(text: bytes) -> tuple:
         words = text.lower().split()
-        base = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], dtype=np.uint64)
+        own = shingler.set_of(words)
         fps = []
         for factor in odd:
-            h = base * factor
+            h = own.view(np.uint64) * factor
             h ^= h >> np.uint64(32)
-            h *= np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
             fps.append(_bits(h) if len(h) else 0)
-        return hashlib.sha256(b" ".join(words)).hexdigest(), fps, *prefix(words)
+        rare = own[np.argsort(ranks.value[slot_of(own, RANKS)], kind="stable")]
+        prefix = rare[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1].tolist() if len(own) else []
+        return hashlib.sha256(b" ".join(words)).hexdigest(), fps, len(own), prefix
 
     return sketch
 
 
-def _shingle_set(words: list[bytes], k: int) -> np.ndarray:
-    """Hashes of the distinct k-word shingles, in rising order."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(words, k)], dtype=np.uint64).view(np.int64))
-
+def shared_entries(firsts: DataFrame) -> DataFrame:
+    """(node, size, at, token, n): the places of prefixes in which n > 1 of them hold the shingle, from (node, size, prefix).
 
-def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Shingles that many texts of a sample share, in rising order.
-
-    They only choose the order in which prefixes take shingles; every order
-    gives the same pairs, so a sample serves.
+    Most shingles of prefixes stand in one text. Their slots are counted first,
+    in two tables of fixed size, so few of them travel.
     """
-    some = docs.sample(min(1.0, SAMPLE / max(1, docs.count())), seed=1)
-    held = per_text(some, ["doc_id"], {"set": "array<long>"}, lambda text: (_shingle_set(text.lower().split(), k).tolist(),))
-    counts = held.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    return np.array(sorted(r.token for r in counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).collect()), dtype=np.int64)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = SlotCounter(2)
+        for batch in slices(batches):
+            for prefix in batch.column("prefix"):
+                counter.add(prefix.values.to_numpy())
+            if counter.full():
+                yield counter.settle()
+        yield counter.settle()
 
-def _prefix(common: np.ndarray, similarity: float, k: int):
-    """Size of a text's shingle set and its prefix: the shingles of which one is shared by every text that reaches the similarity.
+    bits = firsts.sparkSession.sparkContext.broadcast(shared_slots(firsts.select("prefix").mapInArrow(count, COUNTS), tables=2)[0])
 
-    Such texts share at least similarity * size of a set, so in any order that
-    all texts use, the first size - that + 1 shingles of both meet.
-    """
-
-    def prefix(words: list[bytes]) -> tuple[int, list[int]]:
-        own = _shingle_set(words, k)
-        late = np.isin(own, common)
-        own = np.concatenate([own[~late], own[late]])
-        return len(own), own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1].tolist() if len(own) else []
-
-    return prefix
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("prefix")
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            tokens = lists.flatten().to_numpy()
+            kept = np.flatnonzero(held(bits.value, tokens, 2))
+            row = np.repeat(np.arange(batch.num_rows), lengths)[kept]
+            at = kept - (np.cumsum(lengths) - lengths)[row]
+            taken = batch.select(["node", "size"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(at, pa.int32()), pa.array(tokens[kept], pa.int64())], names=["node", "size", "at", "token"])
+
+    some = firsts.select("node", "size", "prefix").mapInArrow(spread, "node long, size int, at int, token long")
+    found = checkpointed(some.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1"))
+    bits.destroy()  # the table is written
+    return found
 
 
 def _meetings(firsts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(a, b) nodes that may reach the similarity, and (node, family) of those that meet in crowded shingles, from (node, size, prefix).
+    """(a, b) nodes that may reach the similarity, and (token, band, node, leader) of crowded shingles, from (node, size, prefix).
 
     At the first shingle that two texts share, no more can be shared than is
     left of either; pairs for which that is too little go. A shingle shared by
     more than CROWDED prefixes is split by bands of size, each text in its own
-    and the next, so that all sizes that can reach the similarity meet. A band
-    that is still crowded puts its texts into one family instead, as pairs of
-    many copies would be quadratic.
+    and the next, so that all sizes that can reach the similarity meet. In a
+    band that is still crowded, all texts are paired with its first one only;
+    unlike_leaders() tells what that leaves open.
     """
-    each = firsts.select("node", "size", F.posexplode("prefix").alias("at", "token"))
     entry = F.struct("node", "size", "at")
-    shared = checkpointed(each.groupBy("token").agg(F.count("*").alias("n"), F.min(entry).alias("x"), F.max(entry).alias("y")).where("n > 1"))
-    many = shared.where("n > 2").select("token", "n")
-    met = checkpointed(each.join(if_small(many, 1_000_000), "token"))
+    met = shared_entries(firsts)
     band = F.floor(F.log("size") / max(1e-4, -math.log(similarity) * (1 + 1e-6))).cast("int")  # a little wider, as logarithms are rounded
     banded = checkpointed(met.where(F.col("n") > CROWDED).withColumn("band", F.explode(F.array(band, band + 1))).drop("n"))
-    filled = banded.groupBy("token", "band").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+    filled = banded.groupBy("token", "band").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
     crowd = checkpointed(banded.join(filled, ["token", "band"]))
-    few = met.withColumn("band", F.lit(-1)).select("token", "band", "n", "node", "size", "at")
-    few = few.union(crowd.select(*few.columns)).where(F.col("n") <= CROWDED)
+    few = met.withColumn("band", F.lit(-1)).select("token", "band", "n", "node", "size", "at").where(F.col("n") <= CROWDED)
+    few = few.union(crowd.select(*few.columns).where(F.col("n") <= CROWDED))
     listed = few.groupBy("token", "band").agg(F.collect_list(entry).alias("all"))
     pairs = listed.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("y"))
-    pairs = shared.where("n = 2").select("x", "y").union(pairs)
     left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
     pairs = pairs.where(left * (1 + similarity) + 1e-6 >= similarity * (F.col("x.size") + F.col("y.size")))
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    stars = crowd.where(F.col("n") > CROWDED).select(F.col("least").alias("a"), F.col("node").alias("b"))
-    return pairs, components(stars).withColumnRenamed("component", "family")
+    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    lists = crowd.where(F.col("n") > CROWDED).select("token", "band", "node", "leader")
+    return pairs.union(lists.select(F.col("leader").alias("a"), F.col("node").alias("b"))).where("a < b").distinct(), lists
+
+
+def unlike_leaders(lists: DataFrame, scored: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """(node, family) of the texts of crowded lists that may have links which their leaders don't show.
+
+    Texts in one group need none. Distances 1 - similarity obey the triangle
+    inequality, so a text of the leader's group can only be near one outside if
+    its distance from the leader comes that near to the smallest one outside.
+    Lists that share a text are searched together, as a family.
+    """
+    group = groups.select(F.col("node").alias("x"), F.col("component").alias("g"))
+    rows = lists.where("node <> leader").join(scored.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("sim")).alias("d")), ["leader", "node"])
+    rows = rows.join(group, F.col("node") == F.col("x"), "left").withColumn("own", F.coalesce("g", "node")).drop("x", "g")
+    rows = rows.join(group, F.col("leader") == F.col("x"), "left").withColumn("out", F.col("own") != F.coalesce("g", "leader")).drop("x", "g")
+    rows = checkpointed(rows)
+    nearest = rows.where("out").groupBy("token", "band").agg(F.min("d").alias("nearest"))
+    open_rows = rows.join(nearest, ["token", "band"]).where(F.col("out") | (F.col("d") >= F.col("nearest") - (1 - similarity) - 1e-9))
+    several = open_rows.groupBy("token", "band").agg(F.min("node").alias("least"), F.count_distinct("own").alias("groups")).where("groups > 1").drop("groups")
+    stars = open_rows.join(several, ["token", "band"]).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return components(stars).withColumnRenamed("component", "family")
 
 
 def links_inside(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -323,51 +407,59 @@ def _family_links(families: DataFrame, sets: DataFrame, similarity: float) -> Da
     return cells.groupBy("family", "i", "j").applyInPandas(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, tables: int = 8, bits: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, tables: int = 2) -> DataFrame:
     """(doc_id, digest, keeper) of every document that another one, its keeper, stands for.
 
     Texts with the same words are one class, named by their digest, as rows may
-    share a doc_id or have none. Two ways give pairs of classes:
-    `tables` SimHash fingerprints of the distinct words that share a Golay key
-    and differ in `bits` bits or less, and prefixes of the sets of k-word
-    shingles, in which all texts that reach `similarity` meet (fewer words than
-    k: the whole sequence is the one shingle). All pairs are verified on these
-    sets. A group is what pairs at the similarity connect, none of them missed;
-    its smallest doc_id is the keeper, or null if it has none (of equal ones,
-    the one with the smallest digest). Null texts are empty texts.
+    share a doc_id or have none. Fingerprints of the sets of k-word shingles
+    (fewer words than k: the whole sequence is the one shingle) that differ in 2
+    bits or less meet through their Golay keys, in `tables` tables. What such a
+    distance can't tell, as texts at the similarity differ in some ten bits,
+    meets through the sets' prefixes, in which all texts that reach the
+    similarity share a shingle. Every candidate is verified on the sets
+    themselves, so a group is what pairs at the similarity connect, none of them
+    missed. Its smallest doc_id is the keeper, or null if it has none (of equal
+    ones, the one with the smallest digest). Null texts are empty texts.
     """
+    ranks = docs.sparkSession.sparkContext.broadcast(shingle_ranks(docs, k))
     adds = {"digest": "string", "fps": "array<long>", "size": "int", "prefix": "array<long>"}
-    sketch = _sketch(tables, _prefix(common_shingles(docs, k), similarity, k))
-    slim = checkpointed(per_text(docs, ["doc_id"], adds, sketch).withColumn("node", F.monotonically_increasing_id()))
+    slim = checkpointed(per_text(docs, ["doc_id"], adds, _sketch(ranks, tables, similarity, k)).withColumn("node", F.monotonically_increasing_id()))
+    ranks.destroy()  # the table is written
     classes = checkpointed(slim.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.min("node").alias("node")))
     firsts = slim.join(if_small(classes.select("node"), 2_000_000), "node", "left_semi")
     rows = firsts.select("node", F.posexplode("fps").alias("tab", "fp"))
-    leaders = checkpointed(rows.groupBy("tab", "fp").agg(F.min("node").alias("leader")))
-    same = rows.join(leaders, ["tab", "fp"]).where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    links = candidate_links(leaders, bits)
-    one = leaders.select("tab", F.col("fp").alias("a"), F.col("leader").alias("la"))
-    two = leaders.select("tab", F.col("fp").alias("b"), F.col("leader").alias("lb"))
-    linked = links.join(one, ["tab", "a"]).join(two, ["tab", "b"]).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
-    meeting, families = _meetings(firsts, similarity)
-    families = checkpointed(families)
-    pairs = checkpointed(same.union(linked).union(meeting).where("a < b").distinct())
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(families.select("node")).distinct()
+    leaders = checkpointed(rows.groupBy("tab", "fp").agg(F.min("node").alias("leader"), F.count("*").alias("n")))
+    same = rows.join(leaders.where("n > 1"), ["tab", "fp"]).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    links = fingerprint_links(leaders)
+    ends = leaders.select("tab", "fp", "leader")
+    links = links.join(ends.withColumnsRenamed({"fp": "a", "leader": "la"}), ["tab", "a"]).join(ends.withColumnsRenamed({"fp": "b", "leader": "lb"}), ["tab", "b"])
+    meeting, lists = _meetings(firsts, similarity)
+    lists = checkpointed(lists)
+    pairs = same.union(links.select(F.least("la", "lb"), F.greatest("la", "lb"))).union(meeting).where("a < b").distinct()
+    pairs = checkpointed(pairs)
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = checkpointed(wanted.join(classes, "node").select("node", "digest", F.col("keeper").alias("doc_id")))
+    shingler = Shingler(k)
 
     def shingle_set(text: bytes) -> tuple[str, list[int]]:
         words = text.lower().split()
-        return hashlib.sha256(b" ".join(words)).hexdigest(), _shingle_set(words, k).tolist()
+        return hashlib.sha256(b" ".join(words)).hexdigest(), shingler.set_of(words).tolist()
 
     ids = wanted.select(F.col("doc_id").alias("id")).distinct()
     texts = docs.select("doc_id", "text").join(if_small(ids, 1_000_000), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = per_text(texts, ["doc_id"], {"digest": "string", "set": "array<long>"}, shingle_set).drop("doc_id")
-    sets = checkpointed(sets.join(if_small(wanted.select("digest", "node"), 1_000_000), "digest").select("node", "set").dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b"
-    )
+    sets = checkpointed(sets.join(if_small(wanted.select("digest", "node"), 200_000), "digest").select("node", "set").dropDuplicates(["node"]))
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "set": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    true = both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    groups = components(true.union(_family_links(families, sets, similarity)))
+    scored = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), common.alias("common"))
+    alike = F.col("common") >= F.lit(similarity) * (F.col("na") + F.col("nb") - F.col("common"))
+    scored = checkpointed(scored.select("a", "b", (F.col("common") / F.greatest(F.lit(1), F.col("na") + F.col("nb") - F.col("common"))).alias("sim"), alike.alias("alike")))
+    true = scored.where("alike").select("a", "b")
+    groups = checkpointed(components(true))
+    if not lists.isEmpty():
+        families = checkpointed(unlike_leaders(lists, scored, groups, similarity))
+        if not families.isEmpty():
+            groups = components(true.union(_family_links(families, sets, similarity)))
     whole = checkpointed(classes.join(groups, "node", "left").select("digest", "keeper", F.coalesce("component", "node").alias("component")))
     first = F.min(F.struct(F.col("keeper").isNull(), F.col("keeper").alias("id"), "digest")).alias("first")
     least = whole.groupBy("component").agg(first).select("component", F.col("first.id").alias("keeper"), F.col("first.digest").alias("its"))
