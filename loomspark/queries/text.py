@@ -151,7 +151,9 @@ def chunk_greedy(spark, d):
     return documents.pack(_docs(spark, d), "doc_id", "text", 300)
 
 
-@query()
+@query(
+    """SELECT doc_id, substr(coalesce(text, ''), greatest(1, coalesce(nullif(strpos(lower(text), 'general'), 0), nullif(strpos(lower(text), 'license'), 0), nullif(strpos(lower(text), 'public'), 0), 1) - 133), 400) AS slice FROM documents"""
+)
 def slice_around(spark, d):
     docs = _docs(spark, d)
     return docs.select("doc_id", T.slice_around(F.col("text"), F.lit("the license general public"), 400).alias("slice"))
