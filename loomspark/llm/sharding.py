@@ -67,6 +67,23 @@ def _code(df: DataFrame, name: str) -> Column:
     return F.when(F.col(name).isNull(), 0).otherwise(F.element_at(codes, held + 1))
 
 
+def _size_code(df: DataFrame, size: Column) -> Column:
+    """A size's place among the sizes of all rows, in 0 to 2**BITS - 1, so that every code holds as many rows.
+
+    Sizes are counted in steps of about one in a hundred; the counts of the
+    steps, some 4,000 at most, go to the driver.
+    """
+    step = F.floor(F.log2(size) * 64).cast("int")
+    counts = {r.step: r["count"] for r in df.groupBy(step.alias("step")).count().collect()}
+    if not counts:
+        return F.lit(0)
+    low, n, before, codes = min(counts), sum(counts.values()), 0, []
+    for s in range(low, max(counts) + 1):
+        codes.append((before << BITS) // n)
+        before += counts.get(s, 0)
+    return F.element_at(F.array(*[F.lit(c) for c in codes]), step - low + 1)
+
+
 def _spread(value: Column, low: int, high: int) -> Column:
     """Quantise a number between two bounds."""
     top = (1 << BITS) - 1
@@ -76,30 +93,31 @@ def _spread(value: Column, low: int, high: int) -> Column:
 def shard(docs: DataFrame, shards: int = 24, whole: bool = False) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, curve, shard and slot; with `whole` all columns of docs too.
 
-    Source, language, text size (on a log scale) and doc_id (arrival) are
-    quantised and mapped to a Hilbert index; documents are sorted by it and the
+    Source, language, text size (by rank) and doc_id (arrival) are quantised and mapped to a Hilbert index; documents are sorted by it and the
     sorted run is cut into `shards` pieces whose counts differ by one at most,
     so a filter on any of the dimensions needs few shards. Ties on the curve
     follow the text's checksum, then doc_id; repeated rows get slots of their
-    own. Null text counts as empty, a null in a dimension (doc_id too) as its
+    own. Of a very long text only size and checksum are used. Null text counts as empty, a null in a dimension (doc_id too) as its
     smallest value; an empty table gives an empty result; other columns are not
     read without `whole`, and replaced where they are named like added ones.
     """
     added = ("size", "text_crc32", "curve", "shard", "slot")
     data = F.coalesce(F.encode("text", "utf-8"), F.encode(F.lit(""), "utf-8"))
+    size = (F.octet_length(data) + 8).cast("long")
     bounds = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = (int(x) if x is not None else 0 for x in bounds)
     slim = docs.select(
         "doc_id",
         _code(docs, "source").alias("source"),
         _code(docs, "lang").alias("lang"),
-        (F.octet_length(data) + 8).cast("long").alias("size"),
+        size.alias("size"),
+        _size_code(docs, size).alias("size_code"),
         F.crc32(data).alias("text_crc32"),
         *([F.struct(*[docs[c] for c in docs.columns if c not in added]).alias("row")] if whole else []),
     )
     curve = F.pandas_udf(_curve, "long")  # made here, as workers import this module without a session
-    points = slim.withColumn("curve", curve("source", "lang", F.least(F.floor(F.log2("size") * 8), F.lit((1 << BITS) - 1)).cast("int"), _spread(F.col("doc_id"), low, high)))
-    line = ranked(points.drop("source", "lang"), "curve", "text_crc32", "doc_id", name="at")
+    points = slim.withColumn("curve", curve("source", "lang", "size_code", _spread(F.col("doc_id"), low, high)))
+    line = ranked(points.drop("source", "lang", "size_code"), "curve", "text_crc32", "doc_id", name="at")
     n = line.count()
     placed = line.withColumn("shard", F.expr(f"CAST((at * {shards}) DIV {max(1, n)} AS INT)"))
     placed = placed.withColumn("slot", F.expr(f"at - ((CAST(shard AS BIGINT) * {n} + {shards - 1}) DIV {shards})"))
