@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, fresh, if_small, n_words, ranked
 
-#: Words that are left to the dynamic programme: this many, or so many times the longest document, whichever is more.
-DP_WORDS, DP_LONGEST = 1 << 22, 16
+#: Words that are left to the dynamic programme: so many times the median document, at most DP_WORDS; up to them again where the sum isn't met.
+DP_MEDIANS, DP_WORDS = 16, 1 << 22
+_CHUNK = 1 << 18
 
 
 def reachable(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
@@ -19,6 +20,7 @@ def reachable(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
     Reachable sums are the bits of one integer; every length's documents come in
     lots of 1, 2, 4, ... For each sum the first lot that reaches it is noted, so
     the way back only meets earlier lots. It ends when the budget is reached.
+    Lengths come in the order of a hash, so none are preferred.
     """
     taken = np.zeros(len(lengths), np.int64)
     if budget <= 0:
@@ -26,7 +28,7 @@ def reachable(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
     lots: list[tuple[int, int, int]] = []  # (place, documents, words)
     by = np.full(budget + 1, -1, np.int32)
     mask, sums = (1 << (budget + 1)) - 1, 1
-    for i in np.argsort(-lengths, kind="stable").tolist():
+    for i in np.argsort(lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable").tolist():
         size, left, lot = int(lengths[i]), int(free[i]), 1
         left = min(left, budget // size) if size else 0
         while left > 0 and not sums >> budget & 1:
@@ -34,10 +36,10 @@ def reachable(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
             new = (sums << lot * size) & mask & ~sums
             if new:
                 data = np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8)
-                at = np.flatnonzero(data)
-                bits = np.unpackbits(data[at, None], axis=1, bitorder="little")
-                row, bit = np.nonzero(bits)
-                by[at[row] * 8 + bit] = len(lots)
+                for start in range(0, len(data), _CHUNK):
+                    at = start + np.flatnonzero(data[start : start + _CHUNK])
+                    row, bit = np.nonzero(np.unpackbits(data[at, None], axis=1, bitorder="little"))
+                    by[at[row] * 8 + bit] = len(lots)
                 lots.append((i, lot, lot * size))
                 sums |= new
             left -= lot
@@ -50,30 +52,61 @@ def reachable(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
     return taken
 
 
+def equal_share(lengths: np.ndarray, counts: np.ndarray, words: int) -> np.ndarray:
+    """Documents of each length that together have up to `words` words, the same share of every length.
+
+    From the longest length down, what a length's share lacks of a whole
+    document is carried to the next one, so the sum is short by less than the
+    shortest document if that has one to spare. Where all shorter documents
+    together couldn't make up for it, one more is taken and they get less.
+    """
+    taken = np.zeros(len(lengths), np.int64)
+    total = sum(n * c for n, c in zip(lengths.tolist(), counts.tolist()))
+    if words <= 0 or not total:
+        return taken
+    carried, rest = 0, total  # in words times total, and in words
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        size, count = int(lengths[i]), int(counts[i])
+        if size:
+            carried += count * size * words
+            rest -= count * size
+            taken[i] = min(count, max(0, carried // (size * total)))
+            carried -= int(taken[i]) * size * total
+            lacks = size * total - carried
+            if taken[i] < count and carried > rest * (total - words) and lacks <= rest * words:
+                taken[i] += 1
+                carried = -lacks
+    return taken
+
+
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their lengths add up to budget, or just under.
 
-    An equal share of every length comes first, then single documents from the
-    longest down, until what is left is about `DP_WORDS` or `DP_LONGEST` times
-    the longest document; the bounded knapsack over all lengths fits that. A
-    smaller budget is left to the knapsack altogether, so its sum is the best.
+    An equal share of every length comes first, at any size, up to DP_MEDIANS
+    median documents below the budget; the bounded knapsack over all lengths fits
+    the rest. Where no sum meets it exactly, less is shared and the knapsack gets
+    four times the words, up to DP_WORDS or the whole budget, where its sum is
+    the best there is.
     """
     total = sum(n * c for n, c in zip(lengths.tolist(), counts.tolist()))
-    taken = np.zeros(len(lengths), np.int64)
     if budget <= 0 or total == 0:
-        return taken
+        return np.zeros(len(lengths), np.int64)
     budget = min(int(budget), total)
-    window = max(DP_WORDS, DP_LONGEST * int(lengths.max()))
-    left = budget
-    if left > window:
-        share = left - window
-        taken = np.array([c * share // total for c in counts.tolist()], dtype=np.int64)
-        left -= sum(n * c for n, c in zip(lengths.tolist(), taken.tolist()))
-        for i in np.argsort(-lengths, kind="stable").tolist():
-            if taken[i] < counts[i] and 0 < lengths[i] <= left - window:
-                taken[i] += 1
-                left -= int(lengths[i])
-    return taken + reachable(lengths, counts - taken, left)
+    order = np.argsort(lengths, kind="stable")
+    median = int(lengths[order][np.searchsorted(np.cumsum(counts[order]), counts.sum() / 2)])
+    window = min(DP_MEDIANS * max(1, median), DP_WORDS)
+    while True:
+        taken = equal_share(lengths, counts, budget - window)
+        left = budget - sum(n * c for n, c in zip(lengths.tolist(), taken.tolist()))
+        # a long document that no share was due to may leave more than the window
+        more = equal_share(lengths, counts - taken, left - window)
+        left -= sum(n * c for n, c in zip(lengths.tolist(), more.tolist()))
+        taken += more
+        last = reachable(lengths, counts - taken, min(left, 4 * DP_WORDS))
+        met = sum(n * c for n, c in zip(lengths.tolist(), last.tolist()))
+        if met == left or window >= min(budget, DP_WORDS):
+            return taken + last
+        window *= 4
 
 
 def source_targets(by_source: DataFrame, weights: tuple[float, ...], budget: float, most: float) -> DataFrame:
@@ -131,10 +164,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     each length in the order of a seeded hash of doc_id and text are taken.
 
     Null or wordless texts have size 0; an empty table gives an empty result. A
-    null doc_id is a value like any other. Rows equal in doc_id, source and text
-    are documents of their own: where only some of them are wanted, as many of
-    the equal rows are taken. Columns of docs named like the ones added are
-    replaced.
+    null doc_id is a value like any other. Of a very long text only its length
+    counts, as the knapsack's array has 4 * DP_WORDS entries at most. Rows equal
+    in doc_id, source and text are documents of their own: where only some of
+    them are wanted, as many of the equal rows are taken. Columns of docs named
+    like the ones added are replaced.
     """
     added = ("size", "source_size", "target", "copies")
     docs = docs.drop(*added)
