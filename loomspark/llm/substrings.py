@@ -150,6 +150,23 @@ def _spans_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield _batch(onward())
 
 
+def _spans_of_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Single windows sorted by their hash and doc_id: all that a smaller doc_id has too are spans.
+
+    Only the first document of each window is remembered, and only until the
+    hash changes, so any number of occurrences takes no memory.
+    """
+    now, first = None, {}
+    for batch in batches:
+        out: list[tuple] = []
+        for b, doc, crc, start, window in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "crc", "start", "packed"))):
+            if b != now:
+                now, first = b, {}
+            if first.setdefault(window, doc) < doc:
+                out.append((0, doc, crc, start, 1, None))
+        yield _batch(out)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = zip(*rows) if rows else [()] * len(_WINDOWS)
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _WINDOWS)], schema=_WINDOWS)
@@ -236,7 +253,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                             settled += [(seen[0], seen[1], j) for j in seen[2]]
                             held[window] = [doc, crc, [i]]
                         elif seen[1] == crc:
-                            if seen[2][-1] != i:
+                            if seen[2][-1] < i:  # else a repeated row
                                 seen[2].append(i)
                         else:  # the same doc_id with another text
                             lines.append((xxhash.xxh64_intdigest(window, 1) - (1 << 63), doc, crc, i, 1, window))
@@ -267,9 +284,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     sent = rows.mapInArrow(send, "part int, bundle binary").repartitionById(parts, F.col("part"))
     travelled = sent.mapInArrow(_unbundle, _TRAVEL).sortWithinPartitions("bucket", "doc_id")
     found = checkpointed(travelled.mapInArrow(_spans_in_buckets, _TRAVEL))
-    more = found.where("packed IS NOT NULL").repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(_spans_in_buckets, _TRAVEL)
-    spans = found.where("packed IS NULL").union(more.where("packed IS NULL"))
-    listed = spans.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    more = found.where("packed IS NOT NULL").repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(_spans_of_windows, _TRAVEL)
+    spans = found.where("packed IS NULL").union(more)
+    listed = spans.groupBy("doc_id", "crc").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,7 +316,8 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     document with a smaller doc_id. Null text has no words; texts under WINDOW
     words lose none; a document with a null doc_id neither loses words nor
     makes others lose any; rows repeated in doc_id and text get equal results;
-    an empty table gives an empty result; other columns are not read.
+    very long texts are cut piece by piece, and their spans are held by one
+    task; an empty table gives an empty result; other columns are not read.
     """
     spans = checkpointed(repeated_spans(docs)).withColumnsRenamed({"doc_id": "doc", "crc": "its"})
     # two numbers and the two arrays of a row in bytes, so a broadcast is bounded in bytes
