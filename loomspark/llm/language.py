@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import per_text
 
-#: The sample that the network is fitted on: so many documents at most, an equal share of each of so many languages (the
-#: commonest), and so many windows of each document.
-FIT_DOCS, FIT_LANGS, FIT_WINDOWS = 3000, 256, 4
+#: The sample that the network is fitted on: so many documents at most, an equal share of every language, and so many windows of each.
+FIT_DOCS, FIT_WINDOWS = 3000, 4
 #: Bytes in a window, numbers per byte, filter widths and filters of each width.
 WINDOW, EMBED, WIDTHS, FILTERS = 96, 8, (2, 3, 4, 5), 12
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.01, 11
@@ -111,15 +110,17 @@ def sample(docs: DataFrame) -> DataFrame:
     """
     labelled = docs.where(~_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     labelled = labelled.select("lang", "text", F.xxhash64(F.lit(SEED), "doc_id", "text").alias("draw"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(FIT_LANGS).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(FIT_DOCS + 1).collect()}
+    if len(counts) > FIT_DOCS:
+        raise ValueError(f"more languages than FIT_DOCS, {FIT_DOCS}: every language needs a document to be learned from")
     each = FIT_DOCS // max(1, len(counts))
     # a few more than needed pass with near certainty; the rank settles how many
-    least = {lang: -(1 << 63) + min((1 << 64) - 1, (each + 6 * each**0.5 + 10) / n * 2**64) for lang, n in counts.items()}
-    limits = F.create_map(*[c for lang, top in least.items() for c in (F.lit(lang), F.lit(int(top)).cast("long"))]) if least else F.create_map().cast("map<string,long>")
+    least = [(lang, -(1 << 63) + int(min((1 << 64) - 1, (each + 6 * each**0.5 + 10) / n * 2**64))) for lang, n in counts.items()]
+    limits = F.broadcast(docs.sparkSession.createDataFrame(least, "lang string, top long"))  # FIT_DOCS rows at most
     part = WINDOW * FIT_WINDOWS
     begin = F.floor((F.length("text") - part) * F.pmod("draw", F.lit(97)) / 97)
     cut = F.substring(F.col("text"), F.greatest(F.lit(1), begin).cast("int"), F.lit(part)).alias("part")
-    few = labelled.where(F.col("draw") <= F.try_element_at(limits, F.col("lang"))).select("lang", "draw", cut)
+    few = labelled.join(limits, "lang").where(F.col("draw") <= F.col("top")).select("lang", "draw", cut)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
     return few.withColumn("rank", rank).where(F.col("rank") <= each).drop("rank")
 
@@ -146,8 +147,9 @@ def predict_language(docs: DataFrame) -> DataFrame:
     log probabilities decides and, as a softmax, gives the score. Null text and
     text without a letter is `und` with score 0, as is everything if no labelled
     document exists. Nulls in lang only shrink the sample; a null doc_id is not
-    held out; repeated rows get equal results; an empty table gives none; other
-    columns are not read, whatever their names.
+    held out; repeated rows get equal results; very long texts are worked off
+    in pieces of 1,024 windows; an empty table gives none; other columns are not
+    read, whatever their names. More languages than FIT_DOCS raise an error.
     """
     net, names = fit(docs)
 
