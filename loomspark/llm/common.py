@@ -162,12 +162,23 @@ def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame
     return placed.withColumn(number, part).join(F.broadcast(offsets), number).withColumn(name, F.col(offset) + inside).drop(number, at, offset)
 
 
+#: Bytes up to which a counted table is broadcast.
+SMALL = 1 << 26
+
+
 def if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Ask for a broadcast only if a count shows at most max_rows rows; else leave the join to shuffle.
+    """Ask for a broadcast only if a count shows at most max_rows rows and SMALL bytes; else leave the join to shuffle.
 
     Give it a checkpointed table, so that the count costs little.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = F.lit(16 + 8 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size += F.coalesce(F.octet_length(df[name]), F.lit(0))
+        elif kind in ("array<int>", "array<bigint>"):
+            size += F.coalesce(8 * F.size(df[name]), F.lit(0))
+    n, size = df.select(size.alias("size")).limit(max_rows + 1).agg(F.count("*"), F.sum("size")).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= SMALL else df
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -173,8 +173,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
     SHORT words); spans has the best chain
     of each such template. score is the best cover (1 with a base phrase). Null
     text is empty: no words, no labels, score 0. Rows with a null doc_id and
-    repeated rows each give one row; an empty table gives none; other columns
-    are not read, whatever their names.
+    repeated rows each give one row; very long texts stream through the
+    automaton word by word; an empty table gives none; other columns are not
+    read, whatever their names.
     """
     adds = {"n_words": "long", "n_base": "long", "first_word": "long", "last_word": "long", "base_labels": "string", "labels": "string", "score": "double"}
     return per_text(docs, ["doc_id"], adds | {"spans": SPANS}, scan)

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, components, if_small, lower_az, per_text, slices
@@ -24,6 +24,8 @@ CROWDED = 16
 RANKS, RANK_BLOCK = 1 << 24, 1 << 18
 #: Shingles of a family of texts that one task compares with another such block.
 FAMILY_BLOCK = 1 << 21
+#: Shingles with a larger share of all places in prefixes than one of so many are known to every executor.
+OFTEN = 1 << 18
 # The generator polynomial of the perfect binary Golay code of length 23, and the segments of a fingerprint.
 _GENERATOR = 0b110001110101
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -162,8 +164,9 @@ def link_fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
 
     A text without words has fingerprint 0, linked like any other; null text is
     such a text. Equal fingerprints are one class, so copies meet once. A null
-    doc_id is never the smallest; repeated rows each come back; an empty table
-    gives an empty result; other columns are not read.
+    doc_id is never the smallest; repeated rows each come back; the shingles of a
+    very long text are hashed within one task; an empty table gives an empty
+    result; other columns are not read.
     """
     slim = checkpointed(per_text(docs, ["doc_id"], {"fp": "long"}, lambda text: (fingerprint(text, k),)))
     classes = checkpointed(slim.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -308,9 +311,15 @@ def shared_entries(firsts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(at, pa.int32()), pa.array(tokens[kept], pa.int64())], names=["node", "size", "at", "token"])
 
     some = firsts.select("node", "size", "prefix").mapInArrow(spread, "node long, size int, at int, token long")
-    found = checkpointed(some.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1"))
+    some = checkpointed(some)
     bits.destroy()  # the table is written
-    return found
+    counts = checkpointed(some.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
+    # a token of a large share of all places would fill a task of the join; fewer than OFTEN can be, so they are broadcast
+    many = F.col("n") * OFTEN > (counts.agg(F.sum("n")).first()[0] or 0)
+    often = counts.where(many).withColumnRenamed("token", "its")
+    common = some.join(F.broadcast(often), F.col("token") == F.col("its"), "left").drop("its")
+    rare = common.where("n IS NULL").drop("n").join(counts.where(~many), "token")
+    return checkpointed(common.where("n IS NOT NULL").unionByName(rare))
 
 
 def _meetings(firsts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:

@@ -104,8 +104,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     one token.
 
     Null text counts as empty: no tokens. A null doc_id is a value like any
-    other. Rows repeated in doc_id and text each come back; an empty table gives
-    an empty result; other columns are not read.
+    other. Rows repeated in doc_id and text each come back; of a very long text
+    only the distinct pre-tokens are held; an empty table gives an empty result;
+    other columns are not read.
     """
     totals = checkpointed(pre_token_totals(docs, path))
     everything = totals.agg(F.sum("total")).first()[0] or 0

@@ -794,3 +794,68 @@ def test_shared_folder_is_required_on_clusters():
 
     with pytest.raises(RuntimeError):
         common.checkpoint_folder(Session())
+
+
+@pytest.mark.parametrize("scale", [1, 1000])  # below and above 2^22 words
+def test_mixing_takes_an_equal_share_of_every_length(scale):
+    rng = np.random.default_rng(23)
+    lengths, counts = np.unique(np.minimum(20_000, np.exp(rng.normal(5, 1.2, 2500))).astype(np.int64) + 1, return_counts=True)
+    counts = counts * scale
+    for share in (0.25, 0.5, 0.8):
+        budget = int((lengths * counts).sum() * share)
+        taken = mixing.fit_counts(lengths, counts, budget)
+        assert (taken * lengths).sum() == budget and (taken <= counts).all()
+        place = np.cumsum(counts) - counts
+        for q in range(4):
+            own = (place * 4 >= q * counts.sum()) & (place * 4 < (q + 1) * counts.sum())
+            assert abs(taken[own].sum() / counts[own].sum() - share) < 0.05
+
+
+def test_knapsack_beside_a_text_of_twenty_million_words():
+    lengths, counts = np.array([3, 10, 400, 20_000_000]), np.array([50, 2000, 300, 3])
+    taken = mixing.fit_counts(lengths, counts, 40_070_003)
+    assert (taken * lengths).sum() == 40_070_003
+    assert mixing.fit_counts(np.array([20_000_000]), np.array([4]), 45_000_000).tolist() == [2]
+    small = mixing.fit_counts(lengths, counts, 30_000)  # the long text doesn't fit
+    assert (small * lengths).sum() == 30_000
+
+
+def test_windows_at_the_bound_of_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CROWDED", 10**9)
+    text = " ".join(f"w{i}" for i in range(13))
+    for rows in ([(1, text)] * 2 + [(2, text)], [(1, f"{text} {text}"), (2, text)], [(1, text)] * 4 + [(2, text), (3, text)], [(2, text)] * 6 + [(1, text)]):
+        for gathered in (1, 2, 3, 4):
+            monkeypatch.setattr(substrings, "GATHERED", gathered)
+            got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+            want = brute.removed_words(dict(rows))
+            assert got == Counter((i, *want[i]) for i, _ in rows)
+
+
+def test_a_row_repeated_often_has_its_spans_once(spark):
+    text = PASSAGE + " own words here"
+    one = spark.createDataFrame([(2, text)], "doc_id long, text string")
+    docs = one.crossJoin(spark.range(100_000)).drop("id").union(spark.createDataFrame([(1, PASSAGE)], "doc_id long, text string"))
+    spans = substrings.repeated_spans(docs).collect()
+    assert [(r.doc_id, list(r.starts), list(r.ends)) for r in spans] == [(2, [0], [40])]
+
+
+def test_items_of_one_opening_make_no_pairs_of_all(spark):
+    opening = "which of the following statements about this passage is the true one"
+    items = spark.range(10_000).select(F.col("id").alias("item_id"), F.concat(F.lit(opening), F.expr("concat_ws(' ', transform(sequence(0, 39), k -> concat(' i', id, 'x', k)))")).alias("text"))
+    sketch = contamination.item_sketches(items, 0.8, 5).select(F.explode("sketch").alias("hash"), "item", "need")
+    held = items.where("item_id % 1000 = 0").select("item_id", "text")
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit(opening), F.expr("repeat(concat(' only', id), 200)")).alias("text")).union(held)
+    words = docs.select("doc_id", contamination._words(F.col("text")).alias("w")).select("doc_id", F.transform("w", lambda w: F.xxhash64(w)).alias("w"))
+    rows = words.select("doc_id", contamination._hashes(F.col("w"), 5).alias("h")).select("doc_id", F.size("h").alias("m"), F.explode_outer("h").alias("hash"))
+    assert contamination.candidate_pairs(rows, sketch).count() == 10
+    assert {r.doc_id: r.item_id for r in contamination.contaminated(docs, items).collect()} == {i: i for i in range(0, 10_000, 1000)}
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = [(i, f"l{i % 400}", " ".join(chr(97 + i % 400 % 26) + chr(97 + i % 400 // 26) * 3 for _ in range(20))) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    found = Counter(r.lang for r in language.sample(docs).collect())
+    assert len(found) == 400 and max(found.values()) <= language.FIT_DOCS // 400
+    monkeypatch.setattr(language, "FIT_DOCS", 399)
+    with pytest.raises(ValueError, match="FIT_DOCS"):
+        language.sample(docs)
