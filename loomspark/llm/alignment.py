@@ -67,10 +67,10 @@ class ByteLevel:
             return None
         return tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if self.fast is not None and not _UNUSUAL.search(text):
-            return self.fast.encode_ordinary(text)
-        return self.own.encode(text, add_special_tokens=False).ids
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, np.int64)
 
 
 class Pieces:
@@ -83,8 +83,8 @@ class Pieces:
         piece = self.own.id_to_piece
         self.bytes = [bytes([int(piece(i)[3:5], 16)]) if self.own.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.own.get_piece_size())]
 
-    def encode(self, text: str) -> list[int]:
-        return self.own.encode(text)
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.own.encode(text), np.int64)
 
 
 def components_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +96,8 @@ def components_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, n
     larger roots to smaller ones and halving the paths.
     """
     n = len(ends_a)
-    cuts = np.union1d(ends_a, ends_b)
+    cuts = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+    cuts = cuts[np.diff(cuts, prepend=-1) > 0]
     u, v = np.searchsorted(ends_a, cuts), n + np.searchsorted(ends_b, cuts)
     parent = np.arange(n + len(ends_b))
     while len(u):
@@ -115,24 +116,37 @@ def components_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, n
     return number[parent[:n]], number[parent[n:]]
 
 
+class Bytes:
+    """The bytes of all ids end to end, to put together those of many tokens at once."""
+
+    def __init__(self, listed: list[bytes]) -> None:
+        self.flat = np.frombuffer(b"".join(listed), np.uint8)
+        self.size = np.array([len(x) for x in listed], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Aligner:
     """Aligns texts under two tokenizers."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
-        self.len_a, self.len_b = (np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b))
+        self.bytes_a, self.bytes_b = Bytes(self.a.bytes), Bytes(self.b.bytes)
         said = [f"{i}{c}".encode() for i in range(len(self.a.bytes)) for c in ",|"]
         self.said = said + [f"{i}{c}".encode() for i in range(len(self.b.bytes)) for c in ",;"]
 
-    def ids(self, text: str) -> tuple[list[int], list[int]]:
+    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Both id lists, empty where a list's bytes aren't those of the text with a space before it."""
-        if not text:
-            return [], []
-        spaced = " " + text
-        data, a, b = spaced.encode("utf-8", "surrogatepass"), self.a.encode(spaced), self.b.encode(text)
-        if b"".join(map(self.a.bytes.__getitem__, a)) != data or b"".join(map(self.b.bytes.__getitem__, b)) != data:
-            return [], []
-        return a, b
+        if text:
+            spaced = " " + text
+            data, a, b = np.frombuffer(spaced.encode("utf-8", "surrogatepass"), np.uint8), self.a.encode(spaced), self.b.encode(text)
+            if np.array_equal(self.bytes_a.of(a), data) and np.array_equal(self.bytes_b.of(b), data):
+                return a, b
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def align(self, texts: list[str]) -> Iterator[tuple]:
         """For every text: its ids (two arrays), the component of every token of each list, the pairs that end together (two arrays of ids).
@@ -146,8 +160,8 @@ class Aligner:
                 lists.append(self.ids(texts[at]))
                 size += len(texts[at] or "")
                 at += 1
-            a, b = (np.fromiter((i for two in lists for i in two[k]), np.int64, sum(len(two[k]) for two in lists)) for k in (0, 1))
-            ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+            a, b = (np.concatenate(side) for side in zip(*lists))
+            ends_a, ends_b = np.cumsum(self.bytes_a.size[a]), np.cumsum(self.bytes_b.size[b])
             group_a, group_b = components_of(ends_a, ends_b)
             # the members of a component that end together are a link
             there = np.searchsorted(ends_b, ends_a)
