@@ -1,14 +1,14 @@
-"""Order-dependent folds: activation, fluency, outcomes, greedy clusters, keyphrases.
+"""Order-dependent folds: fluency, outcomes, the step of an activation state, keyphrases.
 
-Where a fold has a combinable form it is an aggregate; where it branches over
-several items, each key's ordered rows are folded in applyInPandas.
+Where a fold has a combinable form it is an aggregate; activation and the phrase
+graph are in working.py, greedy choices in greedy.py.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS
 
-#: Decay time in seconds, boosts of a direct and an indirect hit, floor and cap of an activation state.
+#: Decay time in seconds, boost of a hit, floor and cap of an activation state (`working.activation` has the boost of a mention too).
 TAU, BOOST, FLOOR, MOST = 900.0, 0.5, 0.02, 1024
 
 
@@ -37,32 +37,20 @@ def fluency(df: DataFrame, keys: list[str], order: str, signal: str) -> DataFram
     return counts.select(*keys, "n", F.round(F.least(F.lit(1.0), F.greatest(0.05 * F.col("n"), *levels)), 6).alias("fluency"))
 
 
-def activate(now: float, items: list[str], state: dict[str, float], last: float | None) -> dict[str, float]:
+def activate(
+    now: float, items: list[str], state: dict[str, float], last: float | None, boost: float = BOOST, tau: float = TAU, floor: float = FLOOR, most: int = MOST
+) -> dict[str, float]:
     """State after decay since `last`, floor, boosts (clamped at 1) and the cap."""
-    if last is not None:
-        by = math.exp(-max(0.0, now - last) / TAU)
-        state = {k: v * by for k, v in state.items() if v * by >= FLOOR}
+    if last is not None and now > last:
+        by = math.exp(-(now - last) / tau)
+        state = {k: v * by for k, v in state.items() if v * by >= floor}
     for item in items:
-        state[item] = min(1.0, state.get(item, 0.0) + BOOST)
-    if len(state) > MOST:
-        state = dict(sorted(state.items(), key=lambda kv: (-kv[1], kv[0]))[:MOST])
+        state[item] = min(1.0, state.get(item, 0.0) + boost)
+    if len(state) > most:
+        state = dict(sorted(state.items(), key=lambda kv: (-kv[1], kv[0]))[:most])
     return state
 
 
-def activation(df: DataFrame, key: str, ts: str, tie: str, item: str) -> DataFrame:
-    """(key, item, activation) at each key's last event. ts in seconds."""
-
-    def run(one: pd.DataFrame) -> pd.DataFrame:
-        state, last = {}, None
-        for row in one.sort_values([ts, tie]).itertuples():
-            now = getattr(row, ts)
-            state, last = activate(now, [getattr(row, item)], state, last), now
-        return pd.DataFrame({key: one[key].iloc[0], "item": list(state), "activation": [round(v, 6) for v in state.values()]})
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, ts, tie, item).groupBy(key).applyInPandas(run, f"{key} {kind}, item string, activation double")
-
-
 def outcomes(df: DataFrame, keys: list[str], order: str, outcome: str) -> DataFrame:
     """State of queued items after their outcomes: engaged or dropped ends them, two deflections retire them, whichever comes first.
 
@@ -83,47 +71,6 @@ def outcomes(df: DataFrame, keys: list[str], order: str, outcome: str) -> DataFr
     return sums.select(*keys, "n", F.when(retired, "retired").otherwise(F.coalesce("_as", F.lit("open"))).alias("status"), F.col("deflected").cast("int").alias("deflected"))
 
 
-def greedy_clusters(pairs: DataFrame, components: DataFrame, most: int = 8) -> DataFrame:
-    """(seed, member, sim): in id order each free node seeds a cluster of its most similar free neighbours, `most` nodes at most.
-
-    pairs (a, b, sim) of one connected component are folded together, so the
-    fold's size is the largest component's, not the table's.
-    """
-
-    def run(one: pd.DataFrame) -> pd.DataFrame:
-        near = defaultdict(list)
-        for a, b, sim in zip(one.a, one.b, one.sim):
-            near[a].append((-sim, b))
-            near[b].append((-sim, a))
-        used, out = set(), []
-        for seed in sorted(near):
-            if seed in used:
-                continue
-            members = [(b, -s) for s, b in sorted(near[seed]) if b not in used][: most - 1]
-            if members:
-                used.update([seed], [b for b, _ in members])
-                out += [(seed, seed, 1.0)] + [(seed, b, s) for b, s in members]
-        return pd.DataFrame(out, columns=["seed", "member", "sim"])
-
-    return pairs.join(components, pairs.a == components.node).groupBy("component").applyInPandas(run, "seed long, member long, sim double")
-
-
-def drop_near_duplicates(pairs: DataFrame, components: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(loser) ids: pairs in order, of each pair with both alive the one with lower priority (ties: the later) goes."""
-    rank = nodes.select("vec_id", "priority")
-    both = pairs.join(components, pairs.a == components.node).drop("node")
-    both = both.join(rank.select(F.col("vec_id").alias("a"), F.col("priority").alias("pa")), "a").join(rank.select(F.col("vec_id").alias("b"), F.col("priority").alias("pb")), "b")
-
-    def run(one: pd.DataFrame) -> pd.DataFrame:
-        gone = set()
-        for r in one.sort_values(["a", "b"]).itertuples():
-            if r.a not in gone and r.b not in gone:
-                gone.add(r.a if r.pb > r.pa else r.b)
-        return pd.DataFrame({"vec_id": sorted(gone)}, dtype="int64")
-
-    return both.groupBy("component").applyInPandas(run, "vec_id long")
-
-
 # What counts as a word or a mark in a text.
 _TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9'\-]*|[^\sA-Za-z0-9]")
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import half_life
 from ..functions.vectors import dot
+from .components import _written
 from .windows import top_per_group
 
 
@@ -42,15 +48,20 @@ def similarity_to(vectors: DataFrame, query: DataFrame) -> DataFrame:
     return vectors.join(F.broadcast(one)).select("vec_id", F.round(dot(F.col("embedding"), F.col("_q")), 6).alias("sim"))
 
 
-def similar_pairs(vectors: DataFrame, least: float, blocks: int = 16) -> DataFrame:
+#: Vectors in a block of all pairs.
+BLOCK = 2048
+
+
+def similar_pairs(vectors: DataFrame, least: float, blocks: int | None = None) -> DataFrame:
     """(a, b, sim) of all pairs of unit vectors with cosine of `least` or more, exactly.
 
-    Vectors are dealt into blocks and block pairs meet in an equi-join on the
-    pair of block numbers, so each vector travels to `blocks` places and no
-    task sees more than two blocks. All pairs are compared once: the work is
-    quadratic by nature, for a stated, bounded table. For larger tables raise
-    `blocks` with the table.
+    Vectors are dealt into blocks, as many as the table needs, and block pairs
+    meet in an equi-join on the pair of block numbers, so no task sees more than
+    two blocks. All pairs are compared once: the work is quadratic by nature, for
+    a stated table; near_pairs() looks at a small share of them where `least` is
+    high enough.
     """
+    blocks = blocks or max(1, -(-vectors.count() // BLOCK))
     b = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     v = vectors.select("vec_id", "embedding", b.alias("_b"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -61,6 +72,82 @@ def similar_pairs(vectors: DataFrame, least: float, blocks: int = 16) -> DataFra
     return sim.where(F.col("sim") >= least)
 
 
+#: Signatures of a vector at most, and vectors that a bucket should hold.
+TABLES, BUCKET = 256, 64
+
+
+def bands(n: int, least: float, miss: float) -> tuple[int, int] | None:
+    """(bits, tables) of signatures for n vectors: a pair at `least` shares none with a chance of `miss`; None if TABLES aren't enough.
+
+    Each bit is the side of a random plane, on which two vectors at an angle agree
+    with 1 - angle / pi. Bits are as many as leave BUCKET vectors to a bucket of
+    random ones, or fewer, as long as that looks at less than all pairs.
+    """
+    agree = 1 - math.acos(max(-1.0, min(1.0, least))) / math.pi
+    for bits in range(min(60, max(1, math.ceil(math.log2(max(2, n) / BUCKET)))), 0, -1):
+        tables = max(1, math.ceil(math.log(miss) / math.log1p(-(agree**bits)))) if agree < 1 else 1
+        if tables <= TABLES:
+            return (bits, tables) if 2 * tables < 2**bits else None
+    return None
+
+
+def signatures(vectors: DataFrame, bits: int, tables: int, seed: int = 17) -> DataFrame:
+    """(vec_id, tab, key): for every table the sides of `bits` random planes on which a vector lies, computed in Arrow batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes = None
+        for batch in batches:
+            data = np.array(batch.embedding.tolist(), dtype=np.float64)
+            if planes is None and len(data):
+                planes = np.random.default_rng(seed).normal(size=(data.shape[1], bits * tables))
+            for at in range(0, len(data), 1024):
+                sides = (data[at : at + 1024] @ planes > 0).reshape(-1, tables, bits)
+                keys = (sides * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
+                n = len(keys)
+                yield pd.DataFrame({"vec_id": np.repeat(batch.vec_id.to_numpy()[at : at + 1024], tables), "tab": np.tile(np.arange(tables), n), "key": keys.ravel()})
+
+    return vectors.select("vec_id", "embedding").mapInPandas(run, "vec_id long, tab long, key long")
+
+
+def candidate_pairs(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
+    """(a, b) of vectors that share a signature, each pair once.
+
+    A bucket of over 16 * BUCKET vectors is dealt into blocks, and every two
+    blocks of it meet in a task of their own.
+    """
+    keyed = signatures(vectors, bits, tables)
+    held = keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1").select("tab", "key", F.ceil(F.col("n") / (16 * BUCKET)).cast("int").alias("blocks"))
+    dealt = keyed.join(held, ["tab", "key"]).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    listed = cells.groupBy("tab", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("vec_id", "own")).alias("all"))
+    pairs = listed.select("i", "j", "all", F.posexplode("all").alias("at", "x")).select("i", "j", "x", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("y"))
+    pairs = pairs.where((F.col("i") == F.col("j")) | (F.col("x.own") != F.col("y.own")))
+    return pairs.select(F.least("x.vec_id", "y.vec_id").alias("a"), F.greatest("x.vec_id", "y.vec_id").alias("b")).where("a < b").distinct()
+
+
+def near_pairs(vectors: DataFrame, least: float, miss: float = 1e-6) -> DataFrame:
+    """(a, b, sim) of pairs of unit vectors with cosine of `least` or more: all of them, but for a chance of `miss` each.
+
+    Vectors meet in buckets of signatures from random planes, and pairs that meet
+    are verified on the vectors, so the work grows with the pairs that are near
+    and not with all pairs. Equal vectors are one: pairs are given between the
+    smallest ids of each kind, and from it to its copies. Where `least` is too
+    low for signatures to tell pairs apart (`bands`), all pairs are compared.
+    Null and empty vectors are left out; an empty table gives none.
+    """
+    fine = vectors.where(F.size("embedding") > 0).select("vec_id", "embedding")
+    kinds = _written(fine.groupBy("embedding").agg(F.min("vec_id").alias("first")))
+    copies = fine.join(kinds, "embedding").where("vec_id <> first").select(F.col("first").alias("a"), F.col("vec_id").alias("b"), F.lit(1.0).alias("sim"))
+    ones = kinds.select(F.col("first").alias("vec_id"), "embedding")
+    plan = bands(kinds.count(), least, miss)
+    if plan is None:
+        return similar_pairs(ones, least).unionByName(copies)
+    pairs = _written(candidate_pairs(ones, *plan))
+    ends = [ones.select(F.col("vec_id").alias(c), F.col("embedding").alias(f"e{c}")) for c in ("a", "b")]
+    sim = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", F.round(dot(F.col("ea"), F.col("eb")), 6).alias("sim"))
+    return sim.where(F.col("sim") >= least).unionByName(copies)
+
+
 # Weights of the hybrid score, its half-life in seconds, the least score and the number of results.
 WEIGHTS = {"priority": 0.5, "trigger": 2.0, "semantic": 1.5, "recency": 0.3, "tag": 0.5, "activation": 0.6}
 HALF_LIFE, LEAST_SCORE, TOP = 14 * 86400.0, 0.5, 5

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clock
 from ..functions.text import norm, tokens
 from ..functions.vectors import overlap
-from ..operators import aggregates, archive, folds, series, windows
+from ..operators import aggregates, archive, folds, series, windows, working
 from ..sources.tables import table
 from ..streaming.events import session_windows as sessions_by_gap
 from ..streaming.events import tumbling_counts as tumbling
@@ -422,10 +422,27 @@ def cdc_apply(spark, d):
 # --- folds -------------------------------------------------------------------------------------------------------
 
 
-@query()
+def _activation_sql(tau: float, boost: str) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_type AS item, epoch(ts) AS tm, {boost} AS b FROM events),
+    m AS (SELECT *, row_number() OVER (PARTITION BY user_id, item ORDER BY tm) AS rn, count(*) OVER (PARTITION BY user_id, item) AS n FROM (SELECT user_id, item, tm, sum(b) AS b FROM e GROUP BY ALL)),
+    f AS (SELECT user_id, item, rn, n, tm, least(1.0, b)::DOUBLE AS v FROM m WHERE rn = 1 UNION ALL
+      SELECT m.user_id, m.item, m.rn, m.n, m.tm, least(1.0, CASE WHEN f.v * exp((f.tm - m.tm) / {tau}) < 0.02 THEN 0 ELSE f.v * exp((f.tm - m.tm) / {tau}) END + m.b)::DOUBLE FROM f JOIN m ON m.user_id = f.user_id AND m.item = f.item AND m.rn = f.rn + 1),
+    t AS (SELECT user_id, max(tm) AS last FROM e GROUP BY user_id)
+    SELECT user_id, item, round(v * exp((tm - last) / {tau}), 6) AS activation FROM f JOIN t USING (user_id) WHERE rn = n AND (tm = last OR v * exp((tm - last) / {tau}) >= 0.02)"""
+
+
+@query(_activation_sql(900.0, "0.5"))
 def activation_fold(spark, d):
-    e = _events(spark, d).select("user_id", clock.epoch(F.col("ts")).alias("at"), "event_id", "event_type")
-    return folds.activation(e, "user_id", "at", "event_id", "event_type")
+    e = _events(spark, d).select("user_id", clock.epoch(F.col("ts")).alias("at"), "event_type")
+    return working.activation(e, "user_id", "at", "event_type")
+
+
+@query(_activation_sql(86400.0, "CASE WHEN event_type IN ('click', 'purchase') THEN 0.5 ELSE 0.35 END"))
+def activation_boosts(spark, d):
+    """Both boosts, with a decay of a day: what was used directly gains more than what was only met."""
+    e = _events(spark, d).select("user_id", clock.epoch(F.col("ts")).alias("at"), "event_type")
+    direct = F.col("event_type").isin("click", "purchase")
+    return working.activation(e, "user_id", "at", "event_type", F.when(direct, working.SURFACED).otherwise(working.MENTIONED), tau=86400.0)
 
 
 _SIGNAL = "SELECT user_id, event_type, event_id, CASE WHEN value > 98 THEN 'expert' WHEN value > 95 THEN 'advanced' ELSE 'use' END AS s, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events"

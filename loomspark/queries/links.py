@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clock
 from ..functions.text import norm, tokens
 from ..functions.vectors import jaccard
-from ..operators import folds, graph, joins, retrieval
-from ..operators.components import connected
+from ..operators import folds, graph, greedy, joins, retrieval, working
 from ..operators.windows import top_per_group
 from ..plans import pipeline
 from ..sources.tables import table
@@ -223,7 +222,24 @@ def phrase_cooccurrence(spark, d):
 def phrase_graph(spark, d):
     """Activation of each conversation's words, folded in turn order (a minute a turn)."""
     words = table(spark, d, "conversations").select("conv_id", (F.col("turn") * 60.0).alias("at"), F.posexplode_outer(tokens(F.col("text"), 6)).alias("pos", "w"))
-    return folds.activation(words.where("w IS NOT NULL"), "conv_id", "at", "pos", "w")
+    return working.activation(words.where("w IS NOT NULL"), "conv_id", "at", "w")
+
+
+@query()
+def working_graph_turns(spark, d):
+    """What each conversation's phrase graph measures after every turn (a minute a turn)."""
+    turns = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("place"), (F.col("turn") * 60.0).alias("at"), "text")
+    found = working.graph_turns(turns, "conv_id", "place", "at", "text")
+    return found.withColumn("frame", F.array_join("frame", "; "))
+
+
+@query()
+def working_graph_notes(spark, d):
+    """The phrases that each conversation leaves to the next, with the clauses they came from."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") * 60.0).alias("at"), "text")
+    notes = working.graph_notes(turns, "conv_id", "turn", "at", "text")
+    each = notes.select("conv_id", F.inline("nodes"), F.size("edges").alias("edges"))
+    return each.select("conv_id", "label", F.round("value", 6).alias("value"), "at", F.array_join("turns", ",").alias("turns"), F.array_join("clauses", " / ").alias("clauses"), "edges")
 
 
 # --- retrieval ---------------------------------------------------------------------------------------------------
@@ -238,14 +254,14 @@ def cosine_search(spark, d):
 
 
 @query(
-    f"""WITH c AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 200 = 0),
+    f"""WITH c AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0),
     s AS (SELECT q.vec_id AS h, v.vec_id, {_DOT.format('v', 'q')} AS sim FROM embeddings v, c q WHERE v.vec_id NOT IN (SELECT vec_id FROM c)),
     t AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY sim DESC, vec_id) AS rn FROM s WHERE sim > 0.2)
     SELECT vec_id, max(sim) AS sim FROM t WHERE rn <= 4 GROUP BY vec_id ORDER BY sim DESC, vec_id LIMIT 8"""
 )
 def knn_two_hop(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return retrieval.two_hop(v, v.where("vec_id % 200 = 0"), 4, 0.2)
+    return retrieval.two_hop(v, v.where("vec_id % 100 = 0"), 4, 0.2)
 
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, {_DOT.format('a', 'b')} AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_DOT.format('a', 'b')} >= 0.4")
@@ -253,21 +269,56 @@ def similar_vectors(spark, d):
     return retrieval.similar_pairs(table(spark, d, "embeddings"), 0.4)
 
 
-def _pairs_and_groups(spark, d, least):
-    pairs = retrieval.similar_pairs(table(spark, d, "embeddings"), least)
-    return pairs, connected(pairs)
+#: Vectors and, under new ids, two copies of each without one part in eight, scaled to unit length again.
+_TWINS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings UNION ALL
+  SELECT vec_id + (k + 1) * 10000000, list_transform(p, lambda x: x / sqrt(list_inner_product(p, p))) FROM (SELECT vec_id, k, list_transform(range(1, len(embedding) + 1), lambda i: CASE WHEN i % 8 = k THEN 0.0 ELSE CAST(embedding[i] AS DOUBLE) END) AS p FROM embeddings, range(2) r(k)))"""
 
 
-@query()
+def _twins(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    cut = v.select("vec_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "embedding")
+    cut = cut.select((F.col("vec_id") + (F.col("k") + 1) * 10_000_000).alias("vec_id"), F.transform("embedding", lambda x, i: F.when((i + 1) % 8 == F.col("k"), 0.0).otherwise(x)).alias("p"))
+    size = F.sqrt(F.aggregate("p", F.lit(0.0), lambda s, x: s + x * x))
+    return v.union(cut.select("vec_id", F.transform("p", lambda x: x / size)))
+
+
+@query(f"WITH {_TWINS} SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.e, b.e), 6) AS sim FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE round(list_inner_product(a.e, b.e), 6) >= 0.8")
+def near_vectors(spark, d):
+    """Near copies among vectors, met by signatures."""
+    return retrieval.near_pairs(_twins(spark, d), 0.8)
+
+
+_PAIRS = f"""p AS (SELECT a.vec_id AS a, b.vec_id AS b, {_DOT.format('a', 'b')} AS sim, a.label % 10 AS pa, b.label % 10 AS pb FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_DOT.format('a', 'b')} >= 0.4)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_PAIRS}, o AS (SELECT *, row_number() OVER (ORDER BY a, b) AS rn FROM p),
+    s AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL SELECT i + 1, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN gone ELSE list_append(gone, CASE WHEN pb > pa THEN a ELSE b END) END FROM s JOIN o ON rn = i + 1)
+    SELECT unnest(gone) AS vec_id FROM (SELECT gone FROM s ORDER BY i DESC LIMIT 1)"""
+)
 def embedding_near_dup(spark, d):
-    pairs, groups = _pairs_and_groups(spark, d, 0.4)
     nodes = table(spark, d, "embeddings").select("vec_id", (F.col("label") % 10).alias("priority"))
-    return folds.drop_near_duplicates(pairs, groups, nodes)
+    return greedy.drop_near_duplicates(retrieval.similar_pairs(table(spark, d, "embeddings"), 0.4), nodes)
 
 
-@query()
+def _clusters_sql(most: int, least: int) -> str:
+    return f"""WITH RECURSIVE {_PAIRS}, w AS (SELECT a AS x, b AS y, sim FROM p UNION ALL SELECT b, a, sim FROM p),
+    n AS (SELECT x, near, row_number() OVER (ORDER BY x) AS rn FROM (SELECT x, list(struct_pack(y := y, sim := sim) ORDER BY sim DESC, y) AS near FROM w GROUP BY x)),
+    s AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS used, NULL::BIGINT AS seed, []::STRUCT(y BIGINT, sim DOUBLE)[] AS m UNION ALL
+      SELECT i + 1, CASE WHEN made THEN list_concat(list_append(used, x), list_transform(m, lambda e: e.y)) ELSE used END, CASE WHEN made THEN x END, m FROM (
+        SELECT i, used, x, list_filter(near, lambda e: NOT list_contains(used, e.y))[:{most - 1}] AS m, NOT list_contains(used, x) AND len(list_filter(near, lambda e: NOT list_contains(used, e.y))) >= {least - 1} AS made FROM s JOIN n ON rn = i + 1))
+    SELECT seed, unnest(list_prepend(seed, list_transform(m, lambda e: e.y))) AS member, unnest(list_prepend(1.0::DOUBLE, list_transform(m, lambda e: e.sim))) AS sim FROM s WHERE seed IS NOT NULL"""
+
+
+@query(_clusters_sql(8, 2))
 def greedy_clusters(spark, d):
-    return folds.greedy_clusters(*_pairs_and_groups(spark, d, 0.4))
+    return greedy.greedy_clusters(retrieval.similar_pairs(table(spark, d, "embeddings"), 0.4))
+
+
+@query(_clusters_sql(6, 3))
+def greedy_themes(spark, d):
+    """Clusters of three or more; smaller ones leave their nodes to later seeds."""
+    return greedy.greedy_clusters(retrieval.similar_pairs(table(spark, d, "embeddings"), 0.4), 6, 3)
 
 
 _Q = "(SELECT embedding FROM embeddings WHERE vec_id = 7)"

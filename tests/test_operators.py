@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import clock, text
-from loomspark.operators import aggregates, archive, documents, folds, graph, joins, retrieval, series, upkeep
+from loomspark.operators import aggregates, archive, documents, folds, graph, greedy, joins, retrieval, series, upkeep, working
 from loomspark.operators.components import connected
 from loomspark.plans import pipeline
 from loomspark.queries import QUERIES
@@ -66,7 +66,7 @@ def test_next_weekday(spark):
 
 def test_activation_decays_exactly(spark):
     df = spark.createDataFrame([(1, 0.0, 1, "a"), (1, 450.0, 2, "b"), (1, 900.0, 3, "b")], "k long, at double, n long, item string")
-    got = {r.item: r.activation for r in folds.activation(df, "k", "at", "n", "item").collect()}
+    got = {r.item: r.activation for r in working.activation(df, "k", "at", "item").collect()}
     assert got["a"] == pytest.approx(0.5 * math.exp(-1), abs=1e-6)
     assert got["b"] == pytest.approx(0.5 * math.exp(-0.5) + 0.5, abs=1e-6)
 
@@ -80,7 +80,7 @@ def test_two_deflections_retire(spark):
 def test_near_duplicate_loser(spark):
     pairs = spark.createDataFrame([(1, 2, 0.99), (2, 3, 0.97)], "a long, b long, sim double")
     nodes = spark.createDataFrame([(1, 1), (2, 5), (3, 5)], "vec_id long, priority int")
-    assert sorted(one(folds.drop_near_duplicates(pairs, connected(pairs), nodes))) == [(1,), (3,)]
+    assert sorted(one(greedy.drop_near_duplicates(pairs, nodes))) == [(1,), (3,)]
 
 
 def test_components_of_a_path(spark):
@@ -292,7 +292,7 @@ def test_keyphrase_rule():
 
 def test_greedy_clusters_and_slices(spark):
     pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.8), (3, 4, 0.95)], "a long, b long, sim double")
-    assert sorted(one(folds.greedy_clusters(pairs, connected(pairs), 3))) == [(1, 1, 1.0), (1, 2, 0.9), (1, 3, 0.8)]
+    assert sorted(one(greedy.greedy_clusters(pairs, 3))) == [(1, 1, 1.0), (1, 2, 0.9), (1, 3, 0.8)]
     got = texts_of(spark, lambda c: text.slice_around(c, F.lit("the extraordinary thing"), 30), "x" * 50 + " Extraordinary tale", "short")
     assert got == ["x" * 9 + " Extraordinary tale"[:21], "short"]
 
@@ -302,7 +302,7 @@ def test_phrase_activation_against_plain(spark):
     state, last = {}, None
     for _, at, _, w in rows:
         state, last = folds.activate(at, [w], state, last), at
-    got = folds.activation(spark.createDataFrame(rows, "k long, at double, pos long, w string"), "k", "at", "pos", "w")
+    got = working.activation(spark.createDataFrame(rows, "k long, at double, pos long, w string"), "k", "at", "w").withColumnRenamed("w", "item")
     assert {r.item: r.activation for r in got.collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in state.items()}
 
 
@@ -370,7 +370,7 @@ def test_stateful_streams(spark, folder, tmp_path):
     last = {}  # the sink has every batch; files are read in the order in which they were written
     for r in got.collect():
         last[r.user_id, r.item] = r.activation
-    want = {(r.user_id, r.item): r.activation for r in folds.activation(rows.withColumn("tie", F.col("event_type")), "user_id", "at", "tie", "event_type").collect()}
+    want = {(r.user_id, r.item): r.activation for r in working.activation(rows, "user_id", "at", "event_type").collect()}
     assert want.keys() <= last.keys() and all(last[k] == pytest.approx(v, abs=1e-6) for k, v in want.items())
     got = _streamed(spark, path, lambda s: streaming.ingest_stream(s, "ts", "event_id", "4000 days"), "firsts")
     assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in rows.collect())
