@@ -112,21 +112,23 @@ def digest(docs: DataFrame, keys: list[str], order: Column, title: Column, text:
     return sizes.join(lines, keys).select(*keys, "n", F.array_join(F.transform("_l", lambda x: x["_line"]), "\n").alias("digest"))
 
 
-def outline(docs: DataFrame, ident: str, text: str, most: int = 30, width: int = 100) -> DataFrame:
-    """Per document its distinct non-blank lines (cut, capped), their number and a signature of them and the first three whole ones."""
-    lines = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda s: F.trim(F.substring(s, 1, width))), lambda s: s != ""))
+def outline(docs: DataFrame, ident: str, text: str, opening: int = 400) -> DataFrame:
+    """Per document the number of its distinct non-blank lines, and a signature of id, number, the opening of the first three and all of them whole.
+
+    Any change of a line, wherever it stands, changes the signature, so a digest
+    kept under it is never stale.
+    """
+    lines = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), F.trim), lambda s: s != ""))
     seen = docs.select(ident, lines.alias("_lines"))
-    return seen.select(
-        ident,
-        F.size("_lines").cast("long").alias("n_sections"),
-        F.substring(F.sha2(F.array_join(F.slice("_lines", 1, most), "\n"), 256), 1, 16).alias("signature"),
-    )
+    first = F.transform(F.slice("_lines", 1, 3), lambda s: F.substring(s, 1, opening))
+    said = F.concat_ws("\n", F.col(ident).cast("string"), F.size("_lines").cast("string"), F.array_join(first, "\n"), F.array_join("_lines", "\n"))
+    return seen.select(ident, F.size("_lines").cast("long").alias("n_sections"), F.substring(F.sha2(said, 256), 1, 16).alias("signature"))
 
 
 def export_groups(docs: DataFrame, question: Column, ident: str, watermark: int) -> DataFrame:
-    """Groups of equal questions that have a row above the watermark: key, rows, newest id and a checksum of all ids.
+    """Groups of equal questions that have a row above the watermark: key, number of rows, newest and oldest id.
 
-    Two passes: the first finds the touched groups from slim columns.
+    Slim columns only; publish.export() renders and writes the touched groups.
     """
     keyed = docs.select(F.substring(F.sha1(norm(question)), 1, 16).alias("group_key"), F.col(ident).alias("_id"))
     groups = keyed.groupBy("group_key").agg(F.count("*").alias("n"), F.max("_id").alias("newest"), F.min("_id").alias("oldest"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm
 from .joins import phrases_in
+from .windows import top_per_group
 
 
 def resolve_nodes(mentions: DataFrame) -> DataFrame:
@@ -51,13 +52,15 @@ def context(texts: DataFrame, ident: str, text: str, nodes: DataFrame, edges: Da
 
     nodes (label, mentions), edges (src, rel, dst, weight). The most mentioned
     entities come first, then the weightiest of their facts; a fact that both of
-    its ends bring in counts once.
+    its ends bring in counts once. A label's `most_facts` weightiest facts are
+    enough, so they are chosen before any text meets them.
     """
     met = phrases_in(texts, [ident], F.col(text), nodes, "label")
     rank = F.row_number().over(Window.partitionBy(ident).orderBy(F.desc("mentions"), F.asc("label")))
     hits = met.select(ident, "label", rank.alias("rn")).where(F.col("rn") <= most_nodes)
-    fact = F.concat_ws(" ", "src", "rel", "dst")
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("label"), fact.alias("fact"), "weight")
+    once = edges.groupBy(F.concat_ws(" ", "src", "rel", "dst").alias("fact"), "src", "dst").agg(F.max("weight").alias("weight"))
+    ends = once.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("label"), "fact", "weight")
+    ends = top_per_group(ends, ["label"], [F.desc("weight"), F.asc("fact")], most_facts)
     facts = hits.join(ends, "label").groupBy(ident, "fact").agg(F.min("rn").alias("rn"), F.max("weight").alias("weight"))
     place = F.row_number().over(Window.partitionBy(ident).orderBy(F.asc("rn"), F.desc("weight"), F.asc("fact")))
     return facts.select(ident, place.alias("place"), "fact").where(F.col("place") <= most_facts)

@@ -125,11 +125,13 @@ def shortlist(items: DataFrame, turns: DataFrame, said: DataFrame, tokens: Colum
     within gap_s of the last thing said, or after per_day of them in a day.
     """
     fresh = items.join(said.select("key").where("key IS NOT NULL").distinct(), "key", "left_anti")
-    day = F.floor(F.col("_at") / 86400.0)
-    timed = turns.select("turn_id", F.col("at").alias("_at")).withColumn("_day", F.explode(F.array(day, day - 1)))
-    before = said.select(F.col("at").alias("_s"), F.floor(F.col("at") / 86400.0).alias("_day"))
-    latest = timed.join(before, "_day", "left").withColumn("_s", F.when((F.col("_s") <= F.col("_at")) & (F.col("_s") > F.col("_at") - 86400.0), F.col("_s")))
-    quiet = latest.groupBy("turn_id", "_at").agg(F.max("_s").alias("_last"), F.count("_s").alias("_today"))
+    # one line of turns and sayings per day, sayings also in the next: what a turn looks back on is a running maximum and count
+    micros = lambda at: (at * 1_000_000).cast("long")
+    spoken = said.where("at IS NOT NULL").select(F.lit(None).cast(turns.schema["turn_id"].dataType).alias("turn_id"), micros(F.col("at")).alias("_at"), F.col("at").alias("_s"))
+    day = F.floor(F.col("_at") / 86_400_000_000)
+    line = spoken.withColumn("_day", F.explode(F.array(day, day + 1))).unionByName(turns.select("turn_id", micros(F.col("at")).alias("_at"), F.lit(None).cast("double").alias("_s")).withColumn("_day", day))
+    back = Window.partitionBy("_day").orderBy("_at").rangeBetween(-86_400_000_000 + 1, 0)
+    quiet = line.select("turn_id", (F.col("_at") / 1_000_000).alias("_at"), F.max("_s").over(back).alias("_last"), F.count("_s").over(back).alias("_today")).where("turn_id IS NOT NULL")
     ready = quiet.where((F.col("_last").isNull() | (F.col("_at") - F.col("_last") >= gap_s)) & (F.col("_today") < per_day))
     open_turns = turns.join(ready.select("turn_id"), "turn_id", "left_semi")
     pairs = token_overlap(fresh, open_turns, "key", "turn_id", tokens, least).join(fresh.select("key", "ts"), "key")
@@ -142,3 +144,20 @@ def not_alike(new: DataFrame, queue: DataFrame, ident: str, tokens: Column, shar
     in_channel = F.transform("_w", lambda w: F.concat_ws("\u0001", "channel", w))
     pairs = token_overlap(both[0].withColumnRenamed("key", "a"), both[1].withColumnRenamed("key", "b"), "a", "b", in_channel, 1, share)
     return new.join(pairs.select(F.col("a.id").alias(ident)).distinct(), ident, "left_anti")
+
+
+def recent_topics(items: DataFrame, ident: str, at: str, tokens: Column, days: float = 14, least: int = 2, share: float = 0.8) -> DataFrame:
+    """Items that resemble an earlier one of the last `days`: `share` of the smaller set of words in both, `least` words at least.
+
+    Words meet by period of that length, each item in its own and the next one,
+    so only items that can be near in time meet. Of equal times the smaller id is
+    the earlier.
+    """
+    period = F.floor(F.col(at) / F.lit(days * 86400.0))
+    slim = items.select(F.struct(F.col(at).alias("at"), F.col(ident).alias("id")).alias("_key"), tokens.alias("_w"), period.alias("_p"))
+    named = lambda p: F.transform("_w", lambda w: F.concat_ws("\u0001", p.cast("string"), w))
+    late = slim.select(F.struct("_key", F.col("_p").alias("p")).alias("a"), named(F.col("_p")).alias("_t"))
+    early = slim.select("_key", "_w", F.explode(F.array("_p", F.col("_p") + 1)).alias("_p")).select(F.struct("_key", F.col("_p").alias("p")).alias("b"), named(F.col("_p")).alias("_t"))
+    pairs = token_overlap(late, early, "a", "b", F.col("_t"), least, share)
+    before = (F.col("b._key") < F.col("a._key")) & (F.col("a._key.at") - F.col("b._key.at") <= F.lit(days * 86400.0))
+    return items.join(pairs.where(before).select(F.col("a._key.id").alias(ident)).distinct(), ident, "left_semi")

@@ -1,4 +1,4 @@
 """Registered queries; importing the modules registers them."""
 
-from . import baseline, events, links, text, upkeep  # noqa: F401
+from . import baseline, events, flows, links, text, upkeep  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

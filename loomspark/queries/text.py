@@ -188,9 +188,9 @@ def digest_render(spark, d):
 
 
 @query(
-    """WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: trim(substr(s, 1, 100))), lambda s: s <> '') AS a FROM documents),
+    """WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: trim(s)), lambda s: s <> '') AS a FROM documents),
     x AS (SELECT doc_id, list_filter(a, lambda s, i: list_position(a, s) = i) AS u FROM l)
-    SELECT doc_id, CAST(len(u) AS BIGINT) AS n_sections, substr(sha256(array_to_string(u[1:30], chr(10))), 1, 16) AS signature FROM x"""
+    SELECT doc_id, CAST(len(u) AS BIGINT) AS n_sections, substr(sha256(doc_id || chr(10) || len(u) || chr(10) || array_to_string(list_transform(u[1:3], lambda s: substr(s, 1, 400)), chr(10)) || chr(10) || array_to_string(u, chr(10))), 1, 16) AS signature FROM x"""
 )
 def doc_digest(spark, d):
     return documents.outline(_docs(spark, d), "doc_id", "text")
