@@ -118,7 +118,7 @@ def outline(docs: DataFrame, ident: str, text: str, opening: int = 400) -> DataF
     Any change of a line, wherever it stands, changes the signature, so a digest
     kept under it is never stale.
     """
-    lines = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), F.trim), lambda s: s != ""))
+    lines = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda s: F.trim(s)), lambda s: s != ""))
     seen = docs.select(ident, lines.alias("_lines"))
     first = F.transform(F.slice("_lines", 1, 3), lambda s: F.substring(s, 1, opening))
     said = F.concat_ws("\n", F.col(ident).cast("string"), F.size("_lines").cast("string"), F.array_join(first, "\n"), F.array_join("_lines", "\n"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import joins, publish, series
+from ..operators import calendar, joins, publish, series
 from ..operators.components import shared_folder
 from ..sources.tables import table
 from ..streaming.sentences import spoken
@@ -126,3 +126,27 @@ def fuzzy_topic_recent(spark, d):
     first = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
     docs = table(spark, d, "documents").select("doc_id", first.alias("text"), (F.col("doc_id") * 3600.0).alias("at"))
     return joins.recent_topics(docs, "doc_id", "at", tokens(F.col("text"), 4)).select("doc_id")
+
+
+# --- calendars ----------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS s, o_orderkey % 3 AS f, CAST(1 + o_orderkey % 4 AS INT) AS n, CAST(5 + o_orderkey % 30 AS INT) AS c FROM orders WHERE day(o_orderdate) <= 28),
+    x AS (SELECT k, f, n, c, s, unnest(range(0, c)) AS j FROM o),
+    y AS (SELECT k, j, CASE f WHEN 0 THEN CAST(s + to_days(CAST(j * n AS INT)) AS DATE) WHEN 1 THEN CAST(s + to_days(CAST(7 * j * n AS INT)) AS DATE) ELSE CAST(s + to_months(CAST(j * n AS INT)) AS DATE) END AS day, s, n FROM x)
+    SELECT k AS o_orderkey, day FROM y WHERE day >= DATE '1998-01-01' AND day < DATE '1998-07-01' AND day <> s + to_days(CAST(28 * n AS INT))"""
+)
+def calendar_expand(spark, d):
+    """Orders as calendar files with a daily, weekly or monthly rule, counted, one date left out; what falls into half a year."""
+    o = table(spark, d, "orders").where(F.dayofmonth("o_orderdate") <= 28)
+    s, n = F.to_date("o_orderdate"), 1 + F.col("o_orderkey") % 4
+    freq = F.when(F.col("o_orderkey") % 3 == 0, "DAILY").when(F.col("o_orderkey") % 3 == 1, "WEEKLY").otherwise("MONTHLY")
+    lines = F.concat_ws(
+        "\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), "o_orderkey"), F.concat(F.lit("DTSTART;VALUE=DATE:"), F.date_format(s, "yyyyMMdd")),
+        F.concat(F.lit("RRULE:FREQ="), freq, F.lit(";INTERVAL="), n, F.lit(";COUNT="), 5 + F.col("o_orderkey") % 30),
+        F.concat(F.lit("EXDATE;VALUE=DATE:"), F.date_format(F.date_add(s, (28 * n).cast("int")), "yyyyMMdd")), F.lit("END:VEVENT"),
+    )
+    events = calendar.entries(o.select("o_orderkey", lines.alias("ics")), "o_orderkey", "ics")
+    seen = calendar.occurrences(events, F.lit("1998-01-01").cast("timestamp"), F.lit("1998-07-01").cast("timestamp"))
+    return seen.select("o_orderkey", F.to_date("start").alias("day"))
