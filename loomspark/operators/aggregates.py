@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import _written
+
 
 def rates(df: DataFrame, keys: list[str], **conditions: Column) -> DataFrame:
     """total, and for each condition its count and its safe rate (0 without rows), rounded to 6."""
@@ -34,9 +36,9 @@ def merge_sweep(df: DataFrame, keys: list[str], content: Column, ident: str, cou
     The survivor has the merged count (each row counts once at least), the
     newest id and all sources; the others are merged. A dry sweep gives one row
     per group of several rows instead: keys, survivor and members. Groups are
-    summed before the shuffle, and only ids and hashes travel.
+    summed before the shuffle, and only ids and hashes, written once, travel.
     """
-    keyed = df.select(*keys, F.sha1(content).alias("_c"), F.col(ident).alias("_id"), count.alias("_n"), F.col(support).alias("_s"))
+    keyed = _written(df.select(*keys, F.unhex(F.sha1(content)).alias("_c"), F.col(ident).alias("_id"), count.alias("_n"), F.col(support).alias("_s")))
     groups = keyed.groupBy(*keys, "_c").agg(
         F.min("_id").alias("survivor"),
         F.sum(F.greatest(F.coalesce("_n", F.lit(0)), F.lit(1))).cast("long").alias("observed"),

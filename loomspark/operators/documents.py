@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_terms, count_of, norm
+from .components import _written
 from .windows import top_per_group
 
 
@@ -16,12 +17,13 @@ def filter_terms(docs: DataFrame, terms: list[str], column: str = "text", mode:
 def dedupe(docs: DataFrame, key: Column, order: str) -> DataFrame:
     """The first row of each normal-form key; rows with a blank key all stay.
 
-    Keys with several rows are found by an aggregate over (key hash, order) that
-    is combined before the shuffle; the rows that go, few as a rule, are
-    anti-joined by id, so only ids travel. Blank keys meet nowhere.
+    Ids and 16-byte keys are written once, so texts are read once for them. Keys
+    with several rows are found by an aggregate over (key, order) that is
+    combined before the shuffle; the rows that go, few as a rule, are anti-joined
+    by id, so only ids travel. Blank keys meet nowhere.
     """
     k = norm(key)
-    keyed = docs.select(F.col(order).alias("_id"), F.when(k != "", F.unhex(F.md5(k))).alias("_k")).where("_k IS NOT NULL")
+    keyed = _written(docs.select(F.col(order).alias("_id"), F.when(k != "", F.unhex(F.md5(k))).alias("_k")).where("_k IS NOT NULL"))
     several = keyed.groupBy("_k").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     gone = keyed.join(several, "_k").where("_id <> _first").select("_id")
     return docs.join(gone, docs[order] == F.col("_id"), "left_anti")
