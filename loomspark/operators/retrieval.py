@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +17,133 @@ from .components import _written
 from .windows import top_per_group
 
 
-#: Bytes of query vectors that are broadcast in one row; more go in blocks, each joined by its number.
+#: Bytes of query vectors that a task holds; more go in blocks.
 QUERY_BYTES = 1 << 24
+#: Vectors in a block at least, if there are several, and at most.
+LEAST_BLOCK, BLOCK = 2048, 1 << 17
+#: Products that are looked at together, and pairs that are computed again together.
+TILE, AGAIN = 1 << 20, 1 << 16
+
+
+def _blocks(n: int, most: int) -> int:
+    """Blocks for n vectors: up to `most`, and more only where blocks would be over BLOCK."""
+    return max(1, min(most, -(-n // LEAST_BLOCK)), -(-n // BLOCK))
+
+
+def _packed(vectors: DataFrame, blocks: int) -> DataFrame:
+    """(block, width, single, ids, data): vectors dealt into blocks by their ids, those of a batch and block in one row.
+
+    Vectors that are null or hold nulls have no product and are left out.
+    """
+    single = "array<float>" in vectors.schema["embedding"].dataType.simpleString()
+    rows = vectors.where("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)")
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, e, block = batch["vec_id"].to_numpy(), batch["embedding"], batch["block"].to_numpy()
+            starts, flat = e.offsets.to_numpy(), e.values.to_numpy(zero_copy_only=False)
+            wide, out = np.diff(starts), []
+            for w in np.unique(wide):
+                at = np.flatnonzero(wide == w)
+                at = at[np.argsort(block[at], kind="stable")]
+                for some in np.split(at, np.flatnonzero(np.diff(block[at])) + 1):
+                    out.append((int(block[some[0]]), int(w), ids[some].tobytes(), flat[starts[some][:, None] + np.arange(w)].tobytes()))
+            columns = list(zip(*out)) or [[]] * 4
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "width", "ids", "data"])
+
+    return rows.mapInArrow(run, "block int, width int, ids binary, data binary").withColumn("single", F.lit(single))
+
+
+def _norms(v: np.ndarray) -> np.ndarray:
+    """Lengths of rows; 0 for those that aren't finite."""
+    n = np.sqrt((v.astype(np.float64) ** 2).sum(axis=1))
+    return np.where(np.isfinite(n), n, 0.0)
+
+
+def _product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Products of rows one by one, in double precision and in the order of their parts, as dot() adds them."""
+    s = np.zeros(len(left))
+    for c in range(left.shape[1]):
+        s += left[:, c].astype(np.float64) * right[:, c].astype(np.float64)
+    return s
+
+
+#: (ids, vectors) of a left block and of some vectors of a right one, whether both are the same block, and what the cell keeps -> batches of (left index, right index)
+Choose = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool, dict], Iterator[tuple[np.ndarray, np.ndarray]]]
+
+
+def _met(left: DataFrame, right: DataFrame, across: int, cells: int, choose: Choose) -> DataFrame:
+    """(l, r, sim): vectors of packed rows with x and y meet cell by cell (x, y); choose() says which pairs are given.
+
+    A task holds one left block and streams the right one past it, so its memory
+    has the size of a block. sim isn't rounded; it is added up in order.
+    """
+    rows = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+    kind = "l long, r long, sim double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, kept, waiting, n = None, {}, {}, [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*waiting)], ["l", "r", "sim"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y, side, width, single = (batch[c][i].as_py() for c in ("x", "y", "side", "width", "single"))
+                ids = np.frombuffer(batch["ids"][i].as_buffer(), dtype=np.int64)
+                data = np.frombuffer(batch["data"][i].as_buffer(), dtype=np.float32 if single else np.float64).reshape(len(ids), width)
+                if (x, y) != cell:
+                    cell, held, kept = (x, y), {}, {}
+                if side == 0:
+                    held.setdefault(width, []).append((ids.copy(), data.copy()))
+                    continue
+                if width not in held:
+                    continue
+                if isinstance(held[width], list):
+                    held[width] = tuple(np.concatenate(c) for c in zip(*held[width]))
+                of, with_ = held[width]
+                for a, b in choose(of, with_, ids, data, x == y, kept.setdefault(width, {})):
+                    waiting.append((of[a], ids[b], _product(with_[a], data[b])))
+                    n += len(a)
+                    if n >= AGAIN:
+                        yield out()
+                        waiting, n = [], 0
+        if n:
+            yield out()
+
+    dealt = rows.repartitionById(cells, (F.col("x") * across + F.col("y")).cast("int")).sortWithinPartitions("x", "y", "side")
+    return dealt.mapInArrow(run, kind)
+
+
+def _above(least: float) -> Choose:
+    """Pairs whose product may be `least` or more when it is rounded, each once."""
+
+    def choose(of: np.ndarray, left: np.ndarray, ids: np.ndarray, data: np.ndarray, same: bool, kept: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not kept:
+            kept["norm"], kept["single"] = _norms(left).max(initial=0), left.astype(np.float32)
+        size = kept["norm"] * _norms(data).max(initial=0)
+        # single precision tells most pairs apart; what it may have wrong is inside the slack
+        fine = size < 1e3
+        l, r = (kept["single"], data.astype(np.float32)) if fine else (left.astype(np.float64), data.astype(np.float64))
+        low = least - 2e-6 - (3e-7 if fine else 1e-15) * left.shape[1] * size
+        for at in range(0, len(r), 256):
+            some = r[at : at + 256]
+            for start in range(0, len(l), TILE // 256):
+                s = some @ l[start : start + TILE // 256].T
+                hit = np.flatnonzero(~(s < low))  # NaN stays
+                if not len(hit):
+                    continue
+                b, a = np.divmod(hit, s.shape[1])
+                a, b = a + start, b + at
+                if same:
+                    once = of[a] < ids[b]
+                    a, b = a[once], b[once]
+                for part in range(0, len(a), AGAIN):
+                    yield a[part : part + AGAIN], b[part : part + AGAIN]
+
+    return choose
 
 
 def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, floor: float = 0.0) -> DataFrame:
@@ -48,27 +174,21 @@ def similarity_to(vectors: DataFrame, query: DataFrame) -> DataFrame:
     return vectors.join(F.broadcast(one)).select("vec_id", F.round(dot(F.col("embedding"), F.col("_q")), 6).alias("sim"))
 
 
-#: Vectors in a block of all pairs.
-BLOCK = 2048
-
-
 def similar_pairs(vectors: DataFrame, least: float, blocks: int | None = None) -> DataFrame:
     """(a, b, sim) of all pairs of unit vectors with cosine of `least` or more, exactly.
 
-    Vectors are dealt into blocks, as many as the table needs, and block pairs
-    meet in an equi-join on the pair of block numbers, so no task sees more than
-    two blocks. All pairs are compared once: the work is quadratic by nature, for
-    a stated table; near_pairs() looks at a small share of them where `least` is
-    high enough.
+    Vectors are dealt into blocks, as many as the table needs, and every two
+    blocks meet in a cell of their own as matrix products, so no task holds more
+    than a block. All pairs are compared once: the work is quadratic by nature,
+    for a stated table; near_pairs() looks at a small share of them where `least`
+    is high enough.
     """
-    blocks = blocks or max(1, -(-vectors.count() // BLOCK))
-    b = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    v = vectors.select("vec_id", "embedding", b.alias("_b"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = v.select("vec_id", "embedding", "_b", other.alias("_o")).where("_b <= _o").select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea"), F.col("_b").alias("x"), F.col("_o").alias("y"))
-    right = v.select("vec_id", "embedding", "_b", other.alias("_o")).where("_o <= _b").select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb"), F.col("_o").alias("x"), F.col("_b").alias("y"))
-    met = left.join(right, ["x", "y"]).where((F.col("x") != F.col("y")) | (F.col("a") < F.col("b")))
-    sim = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round(dot(F.col("ea"), F.col("eb")), 6).alias("sim"))
+    blocks = blocks or _blocks(vectors.count(), 16)
+    packed = _packed(vectors, blocks)
+    left = packed.withColumnRenamed("block", "x").withColumn("y", F.explode(F.expr(f"sequence(x, {blocks - 1})")))
+    right = packed.withColumnRenamed("block", "y").withColumn("x", F.explode(F.expr("sequence(0, y)")))
+    met = _met(left, right, blocks, blocks * blocks, _above(least))
+    sim = met.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"), F.round("sim", 6).alias("sim"))
     return sim.where(F.col("sim") >= least)
 
 
