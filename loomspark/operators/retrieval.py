@@ -117,6 +117,38 @@ def _met(left: DataFrame, right: DataFrame, across: int, cells: int, choose: Cho
     return dealt.mapInArrow(run, kind)
 
 
+def _best(k: int, floor: float) -> Choose:
+    """Pairs that may be among each left vector's k best with another id: by rounded product, then the smaller id."""
+
+    def choose(of: np.ndarray, asked: np.ndarray, ids: np.ndarray, data: np.ndarray, same: bool, kept: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not kept:
+            kept["best"] = np.full((k, len(of)), -np.inf)
+            kept["asked"] = asked.astype(np.float64)
+            kept["norm"] = _norms(asked)
+        step = max(1, TILE // len(of))
+        for at in range(0, len(ids), step):
+            v, own = data[at : at + step].astype(np.float64), ids[at : at + step]
+            s = v @ kept["asked"].T
+            s[np.isnan(s)] = np.inf  # NaN comes first, as in SQL
+            for i in np.flatnonzero(np.isin(own, of)):
+                s[i, of == own[i]] = -np.inf
+            kept["best"] = np.partition(np.concatenate([kept["best"], s]), len(s), axis=0)[len(s) :]
+            # a product below the k-th best by more than the rounding of both can't be one of k
+            slack = 2e-6 + 1e-15 * v.shape[1] * kept["norm"] * _norms(v).max(initial=0)
+            b, a = np.nonzero((s >= np.maximum(kept["best"].min(axis=0), floor) - slack) & (s > -np.inf))
+            for some in range(0, len(a), AGAIN):
+                i, j = a[some : some + AGAIN], b[some : some + AGAIN]
+                exact = np.nan_to_num(_product(asked[i], v[j]), nan=np.inf)
+                # of equal products k are enough, those with the smallest ids
+                order = np.lexsort((own[j], -exact, i))
+                first = np.r_[True, (np.diff(i[order]) != 0) | (exact[order][1:] != exact[order][:-1])] if len(order) else np.zeros(0, bool)
+                begun = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+                order = order[np.arange(len(order)) - begun < k]
+                yield i[order], j[order] + at
+
+    return choose
+
+
 def _above(least: float) -> Choose:
     """Pairs whose product may be `least` or more when it is rounded, each once."""
 
@@ -149,22 +181,19 @@ def _above(least: float) -> Choose:
 def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, floor: float = 0.0) -> DataFrame:
     """(query_id, vec_id, sim): the k most similar unit vectors of each query.
 
-    A stated set of queries against all rows. Queries are counted first and
-    gathered into blocks of bounded size; each vector is scored against a block
-    in one pass, and the group limit keeps k per task before anything is
-    shuffled.
+    A stated set of queries against all rows. Queries are counted first and dealt
+    into blocks of bounded size, vectors too; a block of vectors streams past a
+    block of queries as matrix products, and each task gives what may be among a
+    query's k best, which a group limit then chooses by products that are added
+    up in order.
     """
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    n, width = asked.agg(F.count("*"), F.max(F.size("q"))).first()
-    blocks = max(1, -(-n * (8 * (width or 1) + 32) // QUERY_BYTES))
-    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    gathered = asked.groupBy(number.alias("_block")).agg(F.collect_list(F.struct("query_id", "q")).alias("_qs"))
-    if blocks == 1:
-        met = vectors.join(F.broadcast(gathered.drop("_block")))
-    else:  # vectors are dealt to all blocks, so a task holds one block at a time
-        met = vectors.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(gathered, "_block")
-    scored = met.select("vec_id", "embedding", F.explode("_qs").alias("_q"))
-    sim = scored.select(F.col("_q.query_id").alias("query_id"), "vec_id", F.round(dot(F.col("embedding"), F.col("_q.q")), 6).alias("sim"))
+    n, width = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    across = max(1, -(-n * (8 * (width or 1) + 32) // QUERY_BYTES))
+    blocks = _blocks(vectors.count(), 48)
+    asked = _packed(queries, across).withColumnRenamed("block", "x").withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    held = _packed(vectors, blocks).withColumnRenamed("block", "y").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    met = _met(asked, held, blocks, across * blocks, _best(k, floor))
+    sim = met.select(F.col("l").alias("query_id"), F.col("r").alias("vec_id"), F.round("sim", 6).alias("sim"))
     return top_per_group(sim.where((F.col("sim") > floor) & (F.col("query_id") != F.col("vec_id"))), ["query_id"], [F.desc("sim"), F.asc("vec_id")], k)
 
 

@@ -45,3 +45,21 @@ def test_similar_pairs_in_tiles(spark, small, kind):
     assert len(got) == len(want) and {(a, b) for a, b, _ in got} == set(want)
     assert all(s == want[a, b] or math.isnan(s) for a, b, s in got)
     assert "zip_with" not in df._jdf.queryExecution().toString()  # no expression for each pair
+
+
+def test_cosine_search_with_ties(spark, small, monkeypatch):
+    rows = rows_of(6, 200, 12, 90)[:-1]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    for size in (retrieval.QUERY_BYTES, 400):
+        monkeypatch.setattr(retrieval, "QUERY_BYTES", size)
+        df = retrieval.cosine_search(table, table.where("vec_id % 20 = 0"), 4, 0.1)
+        want = []
+        for i, a in rows:
+            if i % 20 == 0:
+                near = sorted((-s, j) for j, b in rows if j != i and (s := plain(a, b)) is not None and s > 0.1)
+                want += [(i, j, -s) for s, j in near[:4]]
+        assert sorted((r.query_id, r.vec_id, r.sim) for r in df.collect()) == sorted(want)
+        assert "zip_with" not in df._jdf.queryExecution().toString()
+    nothing = table.where("false")
+    assert retrieval.cosine_search(table, nothing, 3).collect() == [] == retrieval.cosine_search(nothing, table, 3).collect()
+
