@@ -223,6 +223,8 @@ def similar_pairs(vectors: DataFrame, least: float, blocks: int | None = None) -
 
 #: Signatures of a vector at most, and vectors that a bucket should hold.
 TABLES, BUCKET = 256, 64
+#: Pairs that a matrix product compares in the time that a pair in a bucket takes.
+PAIR_COST = 300
 
 
 def bands(n: int, least: float, miss: float) -> tuple[int, int] | None:
@@ -281,7 +283,9 @@ def near_pairs(vectors: DataFrame, least: float, miss: float = 1e-6) -> DataFram
     are verified on the vectors, so the work grows with the pairs that are near
     and not with all pairs. Equal vectors are one: pairs are given between the
     smallest ids of each kind, and from it to its copies. Where `least` is too
-    low for signatures to tell pairs apart (`bands`), all pairs are compared.
+    low for signatures to tell pairs apart (`bands`), or buckets would hold so
+    many pairs that all pairs in blocks cost less (PAIR_COST), all pairs are
+    compared.
     Null and empty vectors are left out; an empty table gives none.
     """
     fine = vectors.where(F.size("embedding") > 0).select("vec_id", "embedding")
@@ -289,7 +293,7 @@ def near_pairs(vectors: DataFrame, least: float, miss: float = 1e-6) -> DataFram
     copies = fine.join(kinds, "embedding").where("vec_id <> first").select(F.col("first").alias("a"), F.col("vec_id").alias("b"), F.lit(1.0).alias("sim"))
     ones = kinds.select(F.col("first").alias("vec_id"), "embedding")
     plan = bands(kinds.count(), least, miss)
-    if plan is None:
+    if plan is None or PAIR_COST * plan[1] > 2 ** plan[0]:
         return similar_pairs(ones, least).unionByName(copies)
     pairs = _written(candidate_pairs(ones, *plan))
     ends = [ones.select(F.col("vec_id").alias(c), F.col("embedding").alias(f"e{c}")) for c in ("a", "b")]

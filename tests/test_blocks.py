@@ -63,3 +63,12 @@ def test_cosine_search_with_ties(spark, small, monkeypatch):
     nothing = table.where("false")
     assert retrieval.cosine_search(table, nothing, 3).collect() == [] == retrieval.cosine_search(nothing, table, 3).collect()
 
+
+def test_near_pairs_leaves_crowded_signatures(spark, monkeypatch):
+    rows = [r for r in rows_of(7, 3000, 32, 8)[:3000]]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert retrieval.bands(len(rows), 0.9, 1e-6) is not None
+    monkeypatch.setattr(retrieval, "candidate_pairs", None)
+    got = {(r.a, r.b) for r in retrieval.near_pairs(table, 0.9).collect()}
+    v = np.array([e for _, e in rows])
+    assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(np.round(v @ v.T, 6) >= 0.9)) if a < b}
