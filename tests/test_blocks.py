@@ -65,7 +65,7 @@ def test_cosine_search_with_ties(spark, small, monkeypatch):
 
 
 def test_near_pairs_leaves_crowded_signatures(spark, monkeypatch):
-    rows = [r for r in rows_of(7, 3000, 32, 8)[:3000]]
+    rows = [r for r in rows_of(7, 3000, 32, 1)[:3000]]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert retrieval.bands(len(rows), 0.9, 1e-6) is not None
     monkeypatch.setattr(retrieval, "candidate_pairs", None)
