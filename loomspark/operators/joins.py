@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm
+from .components import _written
 from .windows import top_per_group
 
 
@@ -60,29 +61,47 @@ def to_read_again(items: DataFrame, registry: DataFrame, key: str, fresh_after:
     return joined.where(~F.coalesce(unchanged, F.lit(False))).drop("_key", "_fp", "_at")
 
 
+#: Bytes of phrases, or of their first words, that are broadcast after they have been counted.
+PHRASE_BYTES = 1 << 23
+
+
 def phrases_in(texts: DataFrame, ident: list[str], text: Column, phrases: DataFrame, phrase: str, key_words: int = 4) -> DataFrame:
     """Texts joined to the phrases they hold at white-space boundaries: word n-grams meet phrases in an equi-join.
 
     Scales with the number of n-grams, where `contains` would compare every pair.
-    n-grams have up to key_words words; a longer phrase meets texts by its first
-    words and is then looked for in those. ident names a text; phrases are in
-    normal form.
+    n-grams have as many words as phrases do, up to key_words; a longer phrase
+    meets texts by its first words and is then looked for in those. Phrases are
+    counted first: few go to all tasks, and of more their first words do, so that
+    only n-grams which begin a phrase are shuffled (all n-grams are, where first
+    words have over PHRASE_BYTES). ident names a text; phrases are in normal form.
     """
+    words = F.split(phrase, " ")
+    keyed = _written(phrases.withColumns({"_key": F.array_join(F.slice(words, 1, key_words), " "), "_n": F.size(words)}))
+    cost = F.sum(F.octet_length("_key") + 32), F.sum(F.octet_length(phrase) + F.octet_length("_key") + 64)
+    lengths, longest, keys_size, size = keyed.agg(F.collect_set(F.least("_n", F.lit(key_words))), F.max("_n"), *cost).first()
+    keyed = keyed.withColumn("_long", F.col("_n") > key_words).drop("_n")
     split = texts.select(*ident, F.split(norm(text), " ").alias("_w"))
     none = F.array().cast("array<string>")
 
     def of(n: int) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.array_join(F.slice("_w", i, n), " "))
+        made = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.array_join(F.slice("_w", i, n), " ")) if n > 1 else F.col("_w")
         return F.when(F.size("_w") >= n, made).otherwise(none)
 
-    listed = split.select(*ident, F.array_distinct(F.concat(*[of(n) for n in range(1, key_words + 1)])).alias("_g"))
+    listed = split.select(*ident, F.array_distinct(F.concat(*[of(n) for n in sorted(lengths)] or [none])).alias("_g"))
     grams = listed.select(*ident, F.explode_outer("_g").alias("_key"))
-    words = F.split(phrase, " ")
-    keyed = phrases.withColumns({"_key": F.array_join(F.slice(words, 1, key_words), " "), "_long": F.size(words) > key_words})
-    met = grams.join(keyed, "_key").drop("_key")
-    whole = texts.select(*ident, F.concat(F.lit(" "), norm(text), F.lit(" ")).alias("_t"))
-    held = met.where("_long").join(whole, ident).where(F.contains("_t", F.concat(F.lit(" "), F.col(phrase), F.lit(" ")))).drop("_t")
-    return met.where("NOT _long").unionByName(held).drop("_long")
+    if (size or 0) <= PHRASE_BYTES:
+        met = grams.join(F.broadcast(keyed), "_key").drop("_key")
+    else:
+        if keys_size <= PHRASE_BYTES:
+            grams = grams.join(F.broadcast(keyed.select("_key").distinct()), "_key", "left_semi")
+        met = grams.join(keyed.hint("merge"), "_key").drop("_key")
+    if (longest or 0) <= key_words:
+        return met.drop("_long")
+    # texts meet in one more shuffle what begins in them, and are never sent to the driver
+    whole = texts.select(*[F.col(c).alias(f"_id_{c}") for c in ident], F.concat(F.lit(" "), norm(text), F.lit(" ")).alias("_t")).hint("merge")
+    same = [F.col(c) == F.col(f"_id_{c}") for c in ident]
+    found = met.join(whole, [*same, F.col("_long")], "left").where(~F.col("_long") | F.contains("_t", F.concat(F.lit(" "), F.col(phrase), F.lit(" "))))
+    return found.select(*[c for c in met.columns if c != "_long"])
 
 
 def token_overlap(left: DataFrame, right: DataFrame, lid: str, rid: str, tokens: Column, least: int, share: float = 0.0) -> DataFrame:
