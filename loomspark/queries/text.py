@@ -366,8 +366,11 @@ def prose_lines_to_items(spark, d):
     """WITH u AS (SELECT doc_id, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)) SELECT doc_id, count(*) AS n_words, count(DISTINCT word) AS n_distinct FROM u GROUP BY doc_id"""
 )
 def invert_index(spark, d):
-    """Each text's inverted index (word -> positions) is turned back into text; the digest counts what came back."""
-    words = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    """Each text's inverted index (word -> positions) is turned back into text; the digest counts what came back.
+
+    Only whole texts are shuffled, once: their words, index and positions stay where doc_id has put them.
+    """
+    words = _docs(spark, d).select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
     index = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("places"))
     back = index.select("doc_id", "word", F.explode("places").alias("pos")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("t"))
     line = F.transform("t", lambda x: x["word"])

@@ -26,3 +26,7 @@ def test_phrases_are_met_before_the_shuffle(spark, monkeypatch):
     short = joins.phrases_in(table, ["id"], F.col("text"), names.where("phrase IN ('cat', 'on the')"), "phrase")
     assert "Exchange hashpartitioning" not in plan(short) and {(r.id, r.phrase) for r in short.collect()} == {x for x in want if x[1] in ("cat", "on the")}
     assert joins.phrases_in(table, ["id"], F.col("text"), names.where("false"), "phrase").collect() == []
+
+
+def test_only_texts_are_shuffled_for_an_index(spark, folder):
+    assert plan(QUERIES["invert_index"](spark, folder)).count("Exchange") == 1
