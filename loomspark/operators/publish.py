@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import norm
+from .components import _written
 
 _NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]*(/[A-Za-z0-9][A-Za-z0-9_.-]*)*")
 
@@ -196,12 +197,14 @@ def export(store: Store, name: str, docs: DataFrame, ident: str, question: Colum
     top, n_groups = groups.agg(F.max("newest"), F.count("*")).first()
     touched = groups.where(F.col("newest") > mark).select("_key")
     blocks = rendered(docs.withColumn("_group", key).join(touched, F.col("_group") == F.col("_key"), "left_semi"), ident, question, title, url, text, hint)
-    sums = blocks.groupBy("group_key").agg(F.sum(F.xxhash64("place", "block").cast("decimal(38,0)")).cast("string").alias("checksum"))
+    # blocks are rendered for their checksums, which are written, and for what is published
+    sums = _written(blocks.groupBy("group_key").agg(F.sum(F.xxhash64("place", "block").cast("decimal(38,0)")).cast("string").alias("checksum")))
+    seen = sums.count()
     held = store.read(f"{name}.sums")
     fresh = sums if held is None else sums.join(_latest(held).select(F.col("group_key").alias("k"), F.col("checksum").alias("c")), (F.col("group_key") == F.col("k")) & (F.col("checksum") == F.col("c")), "left_anti")
     run = before.version + 1 if before else 1
-    fresh = fresh.withColumn("run", F.lit(run).cast("long"))
-    changed, seen = fresh.count(), sums.count()
+    fresh = _written(fresh.withColumn("run", F.lit(run).cast("long")))
+    changed = fresh.count()
     notes = {"watermark": max(mark, int(top if top is not None else -1), int(before.notes.get("watermark", -1)) if before else -1)}
     if changed or before is None:
         moved = blocks.join(fresh.select(F.col("group_key").alias("k")), F.col("group_key") == F.col("k"), "left_semi").withColumn("run", F.lit(run).cast("long"))
