@@ -24,6 +24,8 @@ from .folds import FLOOR, MOST, TAU, activate, keyphrases
 SURFACED, MENTIONED = 0.5, 0.35
 #: Seconds in which functions are combined first, and how many such pieces are combined next.
 PIECE, PIECES = 3600.0, 1024
+#: Events of an item that are folded at once.
+FEW = 4096
 
 
 # --- activation ---------------------------------------------------------------------------------------------------
@@ -69,10 +71,12 @@ def _combined(df: DataFrame, keys: list[str], part: Column, tau: float) -> DataF
 def activation(df: DataFrame, key: str, ts: str, item: str, boost: Column | float = SURFACED, tau: float = TAU, floor: float = FLOOR, most: int = MOST) -> DataFrame:
     """(key, item, activation) at each key's last event: boosts up to 1, exponential decay, forgotten below the floor.
 
-    Boosts of a moment add up before anything is shuffled. Each moment is a
-    function of the activation before it; functions of an hour are combined to
-    one, then those of PIECES hours, then the rest, so a hot key or item is
-    split by time and no task holds more than the moments of an hour. Decay
+    Events are counted first. An item of a key with up to FEW events is folded in
+    order, in the one shuffle. Of one with more, boosts of a moment add up before
+    the shuffle, and each moment is a function of the activation before it;
+    functions of an hour are combined to one, then those of PIECES hours, then
+    the rest, so a hot key or item is split by time and no task holds more than
+    the moments of an hour. Decay
     multiplies, so it only matters at the item's own events whether it has fallen
     below the floor, and items don't depend on each other, but for the bound of
     `most` per key: keys that may have had more within the time an activation
@@ -81,27 +85,50 @@ def activation(df: DataFrame, key: str, ts: str, item: str, boost: Column | floa
     """
     events = df.select(F.col(key).alias(key), F.col(ts).cast("double").alias("_at"), F.col(item).cast("string").alias("item"), (boost if isinstance(boost, Column) else F.lit(float(boost))).cast("double").alias("_boost"))
     events = events.where(F.col(key).isNotNull() & F.col("_at").isNotNull() & F.col("item").isNotNull() & (F.col("_boost") > 0))
-    life = tau * math.log(1 / floor)
-    span = F.floor(F.col("_at") / life)
-    held = events.groupBy(key, span.alias("_span")).agg(F.approx_count_distinct("item", 0.01).alias("n"))
-    # a window of that length lies in two neighbouring spans; the estimate is taken a tenth larger
-    around = held.select(key, F.explode(F.array("_span", F.col("_span") + 1)).alias("_span"), "n").groupBy(key, "_span").agg(F.sum("n").alias("n"))
-    crowded = around.where(F.col("n") * 1.1 >= most).select(F.col(key).alias("_crowded")).distinct()
-    moments = events.groupBy(key, "item", "_at").agg(F.sum("_boost").alias("b"))
-    free = moments.join(crowded, F.col(key) == F.col("_crowded"), "left_anti")
-    f = F.struct(
-        F.col("_at").alias("first"), F.col("_at").alias("last"), F.lit(floor).alias("below"), F.least(F.lit(1.0), F.col("b")).alias("least"),
-        F.lit(1.0).alias("a"), F.col("b").alias("b"), F.lit(1.0).alias("c"),
-    )
-    pieces = _combined(free.select(key, "item", f.alias("f")), [key, "item"], F.floor(F.col("f.first") / PIECE), tau)
-    pieces = _combined(pieces, [key, "item"], F.floor(F.col("f.first") / (PIECE * PIECES)), tau)
-    whole = _combined(pieces, [key, "item"], F.lit(0), tau)
+    several = events.groupBy(key, "item").agg(F.count("*").alias("n"))
+    longest, items = several.groupBy(key).agg(F.max("n").alias("n"), F.count("*").alias("items")).agg(F.max("n"), F.max("items")).first()
+    same = [F.col(key) == F.col("_key"), F.col("item") == F.col("_item")]
+    crowded = None
+    if (items or 0) > most:
+        # a window of the time that an activation lives lies in two neighbouring spans
+        many = several.groupBy(F.col(key).alias("_many")).agg(F.count("*").alias("items")).where(F.col("items") > most)
+        span = F.floor(F.col("_at") / (tau * math.log(1 / floor)))
+        held = events.join(many, F.col(key) == F.col("_many"), "left_semi").groupBy(key, span.alias("_span"), "item").agg(F.count("*").alias("n")).groupBy(key, "_span").agg(F.count("*").alias("n"))
+        around = held.select(key, F.explode(F.array("_span", F.col("_span") + 1)).alias("_span"), "n").groupBy(key, "_span").agg(F.sum("n").alias("n"))
+        crowded = around.where(F.col("n") > most).select(F.col(key).alias("_crowded")).distinct()
+    free = events if crowded is None else events.join(crowded, F.col(key) == F.col("_crowded"), "left_anti")
+    few = free
+    if (longest or 0) > FEW:
+        hot = several.where(F.col("n") > FEW).select(F.col(key).alias("_key"), F.col("item").alias("_item"))
+        few = free.join(hot, same, "left_anti")
+    listed = few.groupBy(key, "item").agg(F.sort_array(F.collect_list(F.struct("_at", F.col("_boost").alias("b")))).alias("all"))
+
+    def step(x: Column, e: Column) -> Column:
+        v = x["v"] * F.exp((x["last"] - e["_at"]) / tau)
+        before = F.when(x["last"] == e["_at"], x["v"]).when(v < floor, F.lit(0.0)).otherwise(v)
+        return F.struct(F.least(F.lit(1.0), F.coalesce(before, F.lit(0.0)) + e["b"]).alias("v"), e["_at"].alias("last"))
+
+    none = F.expr("CAST(NULL AS STRUCT<v: DOUBLE, last: DOUBLE>)")
+    whole = listed.select(key, "item", F.aggregate("all", none, step).alias("f")).select(key, "item", "f.v", "f.last")
+    if (longest or 0) > FEW:
+        f = F.struct(
+            F.col("_at").alias("first"), F.col("_at").alias("last"), F.lit(floor).alias("below"), F.least(F.lit(1.0), F.col("b")).alias("least"),
+            F.lit(1.0).alias("a"), F.col("b").alias("b"), F.lit(1.0).alias("c"),
+        )
+        moments = free.join(hot, same, "left_semi").groupBy(key, "item", "_at").agg(F.sum("_boost").alias("b"))
+        pieces = _combined(moments.select(key, "item", f.alias("f")), [key, "item"], F.floor(F.col("f.first") / PIECE), tau)
+        pieces = _combined(pieces, [key, "item"], F.floor(F.col("f.first") / (PIECE * PIECES)), tau)
+        split = _combined(pieces, [key, "item"], F.lit(0), tau)
+        # an item begins without activation, and a boost lifts it over the floor
+        whole = whole.unionByName(split.select(key, "item", F.col("f.least").alias("v"), F.col("f.last").alias("last")))
     ends = events.groupBy(F.col(key).alias("_key")).agg(F.max("_at").alias("_end"))
-    # an item begins without activation, and a boost lifts it over the floor
-    now = whole.join(ends, F.col(key) == F.col("_key")).select(key, "item", F.col("f.least").alias("v"), (F.col("_end") - F.col("f.last")).alias("dt"))
+    now = whole.join(ends, F.col(key) == F.col("_key")).select(key, "item", "v", (F.col("_end") - F.col("last")).alias("dt"))
     value = F.col("v") * F.exp(-F.col("dt") / tau)
     found = now.select(key, "item", value.alias("v"), "dt").where((F.col("dt") <= 0) | (F.col("v") >= floor)).select(key, "item", F.round("v", 6).alias("activation"))
-    return found.unionByName(folded(moments.join(crowded, F.col(key) == F.col("_crowded"), "left_semi"), key, "_at", "item", "b", tau, floor, most))
+    if crowded is None:
+        return found
+    packed = events.join(crowded, F.col(key) == F.col("_crowded"), "left_semi").groupBy(key, "item", "_at").agg(F.sum("_boost").alias("b"))
+    return found.unionByName(folded(packed, key, "_at", "item", "b", tau, floor, most))
 
 
 def folded(df: DataFrame, key: str, ts: str, item: str, boost: str, tau: float = TAU, floor: float = FLOOR, most: int = MOST) -> DataFrame:

@@ -34,3 +34,8 @@ def test_only_texts_are_shuffled_for_an_index(spark, folder):
 
 def test_memories_are_not_spread_over_ids(spark, folder):
     assert "sequence(" not in plan(QUERIES["memory_document"](spark, folder))
+
+
+def test_activation_of_few_items_needs_no_sketches(spark, folder):
+    shown = plan(QUERIES["activation_boosts"](spark, folder))
+    assert "approx_count_distinct" not in shown and "PythonMapInPandas" not in shown and "MapInPandas" not in shown
