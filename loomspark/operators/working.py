@@ -26,6 +26,8 @@ SURFACED, MENTIONED = 0.5, 0.35
 PIECE, PIECES = 3600.0, 1024
 #: Events of an item that are folded at once.
 FEW = 4096
+#: Rows with phrases or notes that a task makes at a time.
+SLICE = 64
 
 
 # --- activation ---------------------------------------------------------------------------------------------------
@@ -338,9 +340,11 @@ def with_phrases(turns: DataFrame, text: str, rules: Rules = Rules()) -> DataFra
     schema = turns.drop(text).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [[{"phrase": p, "clause": c} for p, c in phrases_of(t, rules)] for t in batch[text]]
-            yield batch.drop(columns=[text]).assign(phrases=pd.Series(found, index=batch.index, dtype=object))
+        for whole in batches:
+            for at in range(0, len(whole), SLICE):
+                batch = whole.iloc[at : at + SLICE]
+                found = [[{"phrase": p, "clause": c} for p, c in phrases_of(t, rules)] for t in batch[text]]
+                yield batch.drop(columns=[text]).assign(phrases=pd.Series(found, index=batch.index, dtype=object))
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     return turns.mapInPandas(run, f"{columns}, phrases {PHRASES}")
@@ -372,6 +376,9 @@ def _fold(turns: DataFrame, key: str, order: str, ts: str, text: str, rules: Rul
                 graph.touched.clear()
                 if each:
                     out.append((k, int(place), *measures.values()))
+                if len(out) >= SLICE:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
             yield pd.DataFrame(out, columns=names)
         if now is not None and not each:
             yield pd.DataFrame([(now, *graph.notes())], columns=names)

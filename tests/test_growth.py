@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomspark.operators import joins
+from loomspark.operators import joins, working
 from loomspark.queries import QUERIES
 
 
@@ -39,3 +39,9 @@ def test_memories_are_not_spread_over_ids(spark, folder):
 def test_activation_of_few_items_needs_no_sketches(spark, folder):
     shown = plan(QUERIES["activation_boosts"](spark, folder))
     assert "approx_count_distinct" not in shown and "PythonMapInPandas" not in shown and "MapInPandas" not in shown
+
+
+def test_notes_come_in_slices(spark):
+    turns = spark.createDataFrame([(k, 0, 0.0, f"alpha{k} beta gamma. delta{k} works") for k in range(200)], "conv long, turn long, at double, text string").coalesce(1)
+    notes = working.graph_notes(turns, "conv", "turn", "at", "text")
+    assert notes.count() == 200 and notes.select("conv").distinct().count() == 200 and working.SLICE < 200
