@@ -156,6 +156,9 @@ def occurrences(events: DataFrame, low: Column, high: Column) -> DataFrame:
         | (monthly & (F.size("_days") == 0) & F.forall("_named", lambda x: (F.abs(x["n"]) >= 1) & (F.abs(x["n"]) <= 4)) & (F.size("_named") == 1))
     )
     r = _written(r.withColumns({"_even": even, "_first": F.when(even, F.size(picked(F.lit(0)))), "_rest": F.when(even, F.size(picked(F.lit(1))))}))
+    # a counted rule of even periods ends with the period that holds its last date, and no rule lasts beyond UNTIL (two days of slack for zones)
+    ends = F.when(F.col("_even") & (F.col("_rest") > 0) & F.col("_count").isNotNull(), F.greatest(F.lit(0), F.ceil((F.col("_count") - F.col("_first")) / F.col("_rest")).cast("int")))
+    r = r.withColumn("_k1", F.least("_k1", ends, period(F.date_add(F.col("_until").cast("date"), 2)))).where("_k1 >= _k0")
     made = _written(r.withColumn("_k", F.explode(F.sequence("_k0", "_k1"))).withColumn("_dates", picked(F.col("_k"))))
     summed = F.aggregate(F.sequence(F.lit(0), F.col("_k") - 1), F.lit(0), lambda s, k: s + F.size(picked(k)))
     place = F.when(F.col("_count").isNull() | (F.col("_k") == 0), 0).when(F.col("_even"), F.col("_first") + (F.col("_k") - 1) * F.col("_rest"))
