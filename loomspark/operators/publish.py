@@ -159,19 +159,20 @@ class Store:
 _BLOCK = ("group_key", "place", "block")
 
 
-def rendered(docs: DataFrame, ident: str, question: Column, title: Column, url: Column, text: Column, hint: Column | None = None, cap: int = 40_000) -> DataFrame:
+def rendered(docs: DataFrame, ident: str, question: Column, title: Column, url: Column, text: Column, hint: Column | None = None) -> DataFrame:
     """(group_key, place, block): every group of equal questions as text blocks, a head in place 0 and then its sources by id.
 
     The head has the question as the first document says it, the number of
     sources, the newest id and the newest hint that isn't empty. Blocks of a
     group are rows, so a group of any size is written by many tasks; read in the
-    order of place they are its document. Rows without a question are left out.
+    order of place they are its document. Texts are whole, however long. Rows
+    without a question are left out.
     """
     said = F.trim(F.coalesce(question, F.lit("")))
     rows = docs.select(
         F.substring(F.sha1(norm(question)), 1, 16).alias("group_key"), F.col(ident).cast("long").alias("id"), said.alias("question"),
         (F.coalesce(hint, F.lit("")) if hint is not None else F.lit("")).alias("hint"),
-        F.concat(F.lit("### "), F.coalesce(F.nullif(F.concat_ws(" · ", F.nullif(F.trim(title), F.lit("")), F.nullif(F.trim(url), F.lit(""))), F.lit("")), F.lit("source")), F.lit("\n\n"), F.substring(F.trim(F.coalesce(text, F.lit(""))), 1, cap)).alias("block"),
+        F.concat(F.lit("### "), F.coalesce(F.nullif(F.concat_ws(" · ", F.nullif(F.trim(title), F.lit("")), F.nullif(F.trim(url), F.lit(""))), F.lit("")), F.lit("source")), F.lit("\n\n"), F.trim(F.coalesce(text, F.lit("")))).alias("block"),
     ).where("question <> ''")
     heads = rows.groupBy("group_key").agg(
         F.min_by("question", "id").alias("question"), F.count("*").alias("n"), F.max("id").alias("newest"), F.max_by("hint", F.when(F.col("hint") != "", F.col("id"))).alias("hint")
@@ -184,10 +185,11 @@ def rendered(docs: DataFrame, ident: str, question: Column, title: Column, url:
 def export(store: Store, name: str, docs: DataFrame, ident: str, question: Column, title: Column, url: Column, text: Column, hint: Column | None = None, full: bool = False) -> dict:
     """Render the groups that have documents above the watermark (all with `full`), and publish those whose text has changed.
 
-    Two passes: ids and questions of all documents tell the touched groups; only
-    their whole rows are read again. The store keeps, beside the blocks, one
-    checksum per group; a run that changes nothing writes nothing. A failed run
-    leaves watermark and blocks as they were. Returns counts and the watermark.
+    Ids and questions of all documents tell the touched groups, and checksums of
+    blocks those that changed; only their texts are shuffled. The store keeps,
+    beside the blocks, one checksum per group; a run that changes nothing writes
+    nothing. A failed run leaves watermark and blocks as they were. Returns
+    counts and the watermark.
     """
     before = store.manifest(name)
     mark = -1 if full or before is None else int(before.notes.get("watermark", -1))
@@ -196,9 +198,11 @@ def export(store: Store, name: str, docs: DataFrame, ident: str, question: Colum
     groups = slim.groupBy("_key").agg(F.max("_id").alias("newest"))
     top, n_groups = groups.agg(F.max("newest"), F.count("*")).first()
     touched = groups.where(F.col("newest") > mark).select("_key")
-    blocks = rendered(docs.withColumn("_group", key).join(touched, F.col("_group") == F.col("_key"), "left_semi"), ident, question, title, url, text, hint)
-    # blocks are rendered for their checksums, which are written, and for what is published
-    sums = _written(blocks.groupBy("group_key").agg(F.sum(F.xxhash64("place", "block").cast("decimal(38,0)")).cast("string").alias("checksum")))
+    of = (ident, question, title, url, text, hint)
+    # texts stay where they are for the checksums: each block is one number before rows meet the touched groups
+    numbers = rendered(docs, *of).select("group_key", F.xxhash64("place", "block").alias("number"))
+    numbers = numbers.join(touched, F.col("group_key") == F.col("_key"), "left_semi")
+    sums = _written(numbers.groupBy("group_key").agg(F.sum(F.col("number").cast("decimal(38,0)")).cast("string").alias("checksum")))
     seen = sums.count()
     held = store.read(f"{name}.sums")
     fresh = sums if held is None else sums.join(_latest(held).select(F.col("group_key").alias("k"), F.col("checksum").alias("c")), (F.col("group_key") == F.col("k")) & (F.col("checksum") == F.col("c")), "left_anti")
@@ -207,7 +211,8 @@ def export(store: Store, name: str, docs: DataFrame, ident: str, question: Colum
     changed = fresh.count()
     notes = {"watermark": max(mark, int(top if top is not None else -1), int(before.notes.get("watermark", -1)) if before else -1)}
     if changed or before is None:
-        moved = blocks.join(fresh.select(F.col("group_key").alias("k")), F.col("group_key") == F.col("k"), "left_semi").withColumn("run", F.lit(run).cast("long"))
+        moved = docs.withColumn("_group", key).join(fresh.select(F.col("group_key").alias("_key")), F.col("_group") == F.col("_key"), "left_semi")
+        moved = rendered(moved, *of).withColumn("run", F.lit(run).cast("long"))
         store.publish(f"{name}.sums", fresh, append=True)
         store.publish(name, moved, {"blocks have text": F.col("block").isNotNull()}, append=True, notes=notes)
     elif notes["watermark"] != before.notes.get("watermark"):

@@ -54,7 +54,7 @@ _KEY = r"substr(sha1(lower(trim(regexp_replace(split_part(coalesce(text, ''), ch
 @query(
     f"""WITH d AS (SELECT {_KEY} AS group_key, doc_id, {_TITLE} AS q, text, source FROM documents WHERE {_TITLE} <> ''),
     m AS (SELECT max(doc_id) // 2 AS half FROM documents), g AS (SELECT group_key FROM d GROUP BY group_key HAVING max(doc_id) > (SELECT half FROM m)),
-    b AS (SELECT group_key, doc_id AS place, '### ' || coalesce(nullif(concat_ws(' · ', nullif(trim(coalesce(source, '')), ''), 'doc' || doc_id), ''), 'source') || chr(10) || chr(10) || substr(trim(coalesce(text, '')), 1, 40000) AS block FROM d JOIN g USING (group_key)
+    b AS (SELECT group_key, doc_id AS place, '### ' || coalesce(nullif(concat_ws(' · ', nullif(trim(coalesce(source, '')), ''), 'doc' || doc_id), ''), 'source') || chr(10) || chr(10) || trim(coalesce(text, '')) AS block FROM d JOIN g USING (group_key)
       UNION ALL SELECT group_key, -1, '---' || chr(10) || 'hash: ' || group_key || chr(10) || 'sources: ' || count(*) || chr(10) || 'newest: ' || max(doc_id) || chr(10) || '---' || chr(10) || '# Question' || chr(10) || chr(10) || arg_min(q, doc_id) || chr(10) || chr(10) || '## Sources' FROM d JOIN g USING (group_key) GROUP BY group_key)
     SELECT group_key, CAST(place AS BIGINT) AS place, md5(block) AS block FROM b"""
 )

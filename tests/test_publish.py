@@ -83,6 +83,22 @@ def test_export_writes_only_what_changed(spark, tmp_path):
     assert "changed" in next(t for t in exported(store).values() if "sky" in t)
 
 
+def test_export_takes_whole_texts(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    texts = ["a" * 50_000 + " end", "b" * 130_000 + " end"]
+
+    def run(rows, **options):
+        df = spark.createDataFrame([(i, "Q", t) for i, t in enumerate(rows)], "id long, q string, text string")
+        none = F.lit("")
+        return publish.export(store, "groups", df, "id", F.col("q"), none, none, F.col("text"), **options)
+
+    run(texts)
+    (document,) = exported(store).values()
+    assert all(f"### source\n\n{t}" in document for t in texts)
+    texts[1] = texts[1].replace(" end", " other end")  # a change after any number of characters is a change
+    assert run(texts, full=True)["written"] == 1 and texts[1] in next(iter(exported(store).values()))
+
+
 def test_replayed_batches_count_once(spark, tmp_path):
     store, path = Store(spark, str(tmp_path / "store")), str(tmp_path / "in")
     spark.range(0, 60, 1, 6).write.parquet(path)
