@@ -209,8 +209,7 @@ def similar_pairs(vectors: DataFrame, least: float, blocks: int | None = None) -
     Vectors are dealt into blocks, as many as the table needs, and every two
     blocks meet in a cell of their own as matrix products, so no task holds more
     than a block. All pairs are compared once: the work is quadratic by nature,
-    for a stated table; near_pairs() looks at a small share of them where `least`
-    is high enough.
+    for a stated table; near_pairs() compares equal vectors once.
     """
     blocks = blocks or _blocks(vectors.count(), 16)
     packed = _packed(vectors, blocks)
@@ -276,29 +275,50 @@ def candidate_pairs(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
     return pairs.select(F.least("x.vec_id", "y.vec_id").alias("a"), F.greatest("x.vec_id", "y.vec_id").alias("b")).where("a < b").distinct()
 
 
-def near_pairs(vectors: DataFrame, least: float, miss: float = 1e-6) -> DataFrame:
-    """(a, b, sim) of pairs of unit vectors with cosine of `least` or more: all of them, but for a chance of `miss` each.
+#: Copies of a vector in a part; a vector with more meets others part by part.
+COPIES = 1 << 12
 
-    Vectors meet in buckets of signatures from random planes, and pairs that meet
-    are verified on the vectors, so the work grows with the pairs that are near
-    and not with all pairs. Equal vectors are one: pairs are given between the
-    smallest ids of each kind, and from it to its copies. Where `least` is too
-    low for signatures to tell pairs apart (`bands`), or buckets would hold so
-    many pairs that all pairs in blocks cost less (PAIR_COST), all pairs are
-    compared.
+
+def near_pairs(vectors: DataFrame, least: float, miss: float = 0.0, copies: bool = False) -> DataFrame:
+    """(a, b, sim) of pairs of unit vectors with cosine of `least` or more: all of them, but for a chance of `miss` each where that is set.
+
+    Equal vectors are compared once. With `copies` all their pairs are given, with
+    each other and with all others; without, pairs are between the smallest ids of
+    each kind, and from it to its copies. All pairs of kinds are compared in
+    blocks. With a `miss` above 0 kinds meet in buckets of signatures from random
+    planes instead, and pairs that meet are verified on the vectors, where `least`
+    is high enough for signatures to tell pairs apart (`bands`) and buckets hold
+    so few pairs that this costs less (PAIR_COST).
     Null and empty vectors are left out; an empty table gives none.
     """
     fine = vectors.where(F.size("embedding") > 0).select("vec_id", "embedding")
-    kinds = _written(fine.groupBy("embedding").agg(F.min("vec_id").alias("first")))
-    copies = fine.join(kinds, "embedding").where("vec_id <> first").select(F.col("first").alias("a"), F.col("vec_id").alias("b"), F.lit(1.0).alias("sim"))
+    kinds = _written(fine.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")))
+    several = kinds.where("n > 1").select("embedding", "first", F.ceil(F.col("n") / COPIES).cast("int").alias("parts"), F.round(dot(F.col("embedding"), F.col("embedding")), 6).alias("sim"))
+    held = _written(fine.join(several, "embedding").select("first", "vec_id", "parts", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "sim"))
     ones = kinds.select(F.col("first").alias("vec_id"), "embedding")
-    plan = bands(kinds.count(), least, miss)
+    plan = bands(kinds.count(), least, miss) if miss > 0 else None
     if plan is None or PAIR_COST * plan[1] > 2 ** plan[0]:
-        return similar_pairs(ones, least).unionByName(copies)
-    pairs = _written(candidate_pairs(ones, *plan))
-    ends = [ones.select(F.col("vec_id").alias(c), F.col("embedding").alias(f"e{c}")) for c in ("a", "b")]
-    sim = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", F.round(dot(F.col("ea"), F.col("eb")), 6).alias("sim"))
-    return sim.where(F.col("sim") >= least).unionByName(copies)
+        pairs = similar_pairs(ones, least)
+    else:
+        met = _written(candidate_pairs(ones, *plan))
+        ends = [ones.select(F.col("vec_id").alias(c), F.col("embedding").alias(f"e{c}")) for c in ("a", "b")]
+        sim = met.join(ends[0], "a").join(ends[1], "b").select("a", "b", F.round(dot(F.col("ea"), F.col("eb")), 6).alias("sim"))
+        pairs = sim.where(F.col("sim") >= least)
+    alike = held.where(F.col("sim") >= least)
+    if not copies:
+        return pairs.unionByName(alike.where("vec_id <> first").select(F.col("first").alias("a"), F.col("vec_id").alias("b"), "sim"))
+    if held.isEmpty():
+        return pairs
+    parts = held.select("first", "parts").distinct()
+    for end in ("a", "b"):
+        dealt = pairs.join(parts, F.col(end) == F.col("first"), "left").select("a", "b", "sim", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)")).alias("at"))
+        met = dealt.join(held.select("first", "part", "vec_id"), (F.col(end) == F.col("first")) & (F.col("at") == F.col("part")), "left")
+        pairs = met.withColumn(end, F.coalesce("vec_id", end)).select("a", "b", "sim")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
+    other = F.explode(F.expr("sequence(0, parts - 1)"))
+    left = alike.select("first", "sim", F.col("vec_id").alias("a"), F.col("part").alias("i"), other.alias("j"))
+    right = alike.select("first", F.col("vec_id").alias("b"), F.col("part").alias("j"), other.alias("i"))
+    return pairs.unionByName(left.join(right, ["first", "i", "j"]).where("a < b").select("a", "b", "sim"))
 
 
 # Weights of the hybrid score, its half-life in seconds, the least score and the number of results.

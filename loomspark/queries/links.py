@@ -284,8 +284,8 @@ def _twins(spark, d):
 
 @query(f"WITH {_TWINS} SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.e, b.e), 6) AS sim FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE round(list_inner_product(a.e, b.e), 6) >= 0.8")
 def near_vectors(spark, d):
-    """Near copies among vectors, met by signatures."""
-    return retrieval.near_pairs(_twins(spark, d), 0.8)
+    """All pairs of near copies among vectors, those of equal ones too."""
+    return retrieval.near_pairs(_twins(spark, d), 0.8, copies=True)
 
 
 _PAIRS = f"""p AS (SELECT a.vec_id AS a, b.vec_id AS b, {_DOT.format('a', 'b')} AS sim, a.label % 10 AS pa, b.label % 10 AS pb FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_DOT.format('a', 'b')} >= 0.4)"""

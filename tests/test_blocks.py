@@ -4,8 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from oracle import connect, differences
 
 from loomspark.operators import retrieval
+from loomspark.queries import QUERIES, SQL
 
 
 def rows_of(seed, n, width, copies):
@@ -72,3 +74,28 @@ def test_near_pairs_leaves_crowded_signatures(spark, monkeypatch):
     got = {(r.a, r.b) for r in retrieval.near_pairs(table, 0.9).collect()}
     v = np.array([e for _, e in rows])
     assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(np.round(v @ v.T, 6) >= 0.9)) if a < b}
+
+
+@pytest.mark.parametrize("copies", [1 << 12, 3])
+def test_near_vectors_gives_every_pair_of_copies(spark, tmp_path, monkeypatch, copies):
+    monkeypatch.setattr(retrieval, "COPIES", copies)  # 3: copies meet part by part
+    rows = rows_of(8, 60, 16, 7)[:60]
+    rows += [(100 + i, e) for i, e in rows[:10]] + [(200, [x * 0.99 for x in rows[0][1]])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "some"))
+    next((tmp_path / "some").glob("part-*")).rename(tmp_path / "embeddings.parquet")
+    df = QUERIES["near_vectors"](spark, str(tmp_path))
+    assert differences(df, connect(tmp_path), SQL["near_vectors"]) == ""
+    assert df.where("a = 30 AND b IN (31, 36, 100, 200)").count() == 4
+
+
+def test_near_pairs_leaves_no_pair_to_chance(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PAIR_COST", 0)  # signatures would always pay
+    monkeypatch.setattr(retrieval, "signatures", lambda vectors, bits, tables: vectors.selectExpr("vec_id", "0L AS tab", "vec_id AS key"))  # and would miss all pairs
+    monkeypatch.setattr(retrieval, "BUCKET", 1)
+    rows = rows_of(9, 300, 16, 20)[:300]
+    rows += [(1000 + i, [*e[:-1], e[-1] + 0.01]) for i, e in rows[:50]]
+    v = np.array([e for _, e in rows])
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert retrieval.bands(len(rows), 0.95, 1e-6) is not None and retrieval.near_pairs(table, 0.95, 1e-6).count() == 20
+    want = [(rows[a][0], rows[b][0]) for a, b in zip(*np.nonzero(np.round(v @ v.T, 6) >= 0.95)) if a < b]
+    assert sorted((r.a, r.b) for r in retrieval.near_pairs(table, 0.95, copies=True).collect()) == sorted(want)
