@@ -2,91 +2,126 @@
 
 What a node's turn decides depends on earlier nodes within two steps only: it
 acts on its neighbours, and so do they. Nodes lie in blocks of consecutive ids;
-in each round every block takes the turns that don't wait for an earlier block,
-all blocks at once. Ids that follow a long chain need a round per block of it,
-others a few rounds for all.
+in each round the blocks of the next ids take the turns that don't wait for an
+earlier block, all blocks at once. Used nodes and their pairs take no further
+part, so in dense tables, where blocks wait for each other, a small share of the
+pairs is ever looked at: the first turns use most nodes. In sparse ones a round
+takes more blocks each time. Ids that follow a long chain need a round per block.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import _written
 
-#: Directed pairs in a block, about, and blocks at most; a node's neighbours are in one block.
-EDGES, BLOCKS = 1 << 18, 1024
+#: Directed pairs in a block, about, and runs of ids that blocks are made of; a node's neighbours are in one block.
+EDGES, CELLS = 1 << 20, 4096
+#: Blocks in the first round, and in one at least and at most.
+BEGIN, LEAST, BLOCKS = 16, 2, 1024
+#: Share of a block's pairs that are taken to have no used end, at least, so that a wrong guess makes no huge block.
+SHARE = 1 / 8
+#: Rows of a counted table that is broadcast.
+FEW = 1 << 17
 
 #: (node, its neighbours as (id, similarity, priority), own priority, whether it counts alone, used nodes) -> (nodes used now, rows of the result)
 Act = Callable[[int, list[tuple[int, float, float]], float, bool, set], tuple[list[int], list[tuple[int, float]]]]
 
 
+def _turns(act: Act) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The turns of one block: rows of pairs (x, y) without used ends, and one row (x, x) for each node that has a turn."""
+
+    def turns(one: pd.DataFrame) -> pd.DataFrame:
+        x, y, sim = (one[c].to_numpy() for c in ("x", "y", "sim"))
+        order = np.lexsort((-sim, y, x))
+        order = order[np.r_[True, (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)]]  # of equal pairs the most similar
+        x, y, sim, priority, blocked, alone = (one[c].to_numpy()[order] for c in ("x", "y", "sim", "priority", "blocked", "alone"))
+        starts = np.flatnonzero(np.r_[True, np.diff(x) != 0])
+        waits, own = np.logical_or.reduceat(blocked, starts).tolist(), np.flatnonzero(x == y).tolist()
+        used, tainted, out = set(), set(), []
+        for at, end, wait, head in zip(starts.tolist(), [*starts[1:].tolist(), len(x)], waits, own):
+            node, ids = int(x[at]), y[at:end].tolist()  # the node itself among them
+            if wait or not tainted.isdisjoint(ids):
+                tainted.update(ids)
+                continue
+            out.append((node, "done", 0, 0.0))
+            if node in used:
+                continue
+            around = [n for n in zip(ids, sim[at:end].tolist(), priority[at:end].tolist()) if n[0] != node]
+            gone, rows = act(node, around, float(priority[head]), bool(alone[head]), used)
+            used.update(gone)
+            out += [(g, "used", 0, 0.0) for g in gone] + [(node, "row", m, s) for m, s in rows]
+        out.append((0, "seen", len(x), 0.0))
+        return pd.DataFrame(out, columns=["node", "kind", "member", "sim"]).astype({"node": "int64", "kind": "str", "member": "int64", "sim": "float64"})
+
+    return turns
+
+
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= FEW else rows
+
+
 def in_order(pairs: DataFrame, nodes: DataFrame | None, act: Act) -> tuple[DataFrame, DataFrame]:
     """(used, rows): all nodes of pairs (a, b, sim) take their turn in id order, as act() says; used nodes have none.
 
     nodes may have (node, priority, alone): nodes that are alone in the pairs take
     a turn if `alone` is true. used has the column node; rows has (seed, member, sim).
+    act() sees neighbours that aren't used only.
     """
     spark = pairs.sparkSession
     ways = F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))
-    links = _written(pairs.where("a <> b").select(F.explode(ways).alias("w"), "sim").select("w.x", "w.y", "sim").groupBy("x", "y").agg(F.max("sim").alias("sim")))
-    ids = links.select(F.col("x").alias("node")).distinct()
+    links = pairs.where("a <> b").select(F.explode(ways).alias("w"), "sim").select(F.col("w.x").cast("long").alias("x"), F.col("w.y").cast("long").alias("y"), F.col("sim").cast("double").alias("sim"))
+    links = _written(links.repartition("x").sortWithinPartitions("x"))  # sorted, so that a round reads its ids only
+    counted = links.groupBy(F.col("x").alias("node")).agg(F.count("*").alias("links"))
     if nodes is not None:
         given = nodes.select("node", F.coalesce(F.col("priority").cast("double"), F.lit(0.0)).alias("priority"), F.coalesce("alone", F.lit(False)).alias("alone"))
-        status = ids.withColumn("linked", F.lit(True)).join(given, "node", "full").where(F.coalesce("linked", F.lit(False)) | F.col("alone")).drop("linked")
+        status = counted.join(given, "node", "full").where(F.col("links").isNotNull() | F.col("alone"))
     else:
-        status = ids.select("node", F.lit(0.0).alias("priority"), F.lit(False).alias("alone"))
-    blocks = min(BLOCKS, -(-links.count() // EDGES)) or 1
-    cuts = links.agg(F.percentile_approx("x", F.array(*[F.lit(i / blocks) for i in range(1, blocks)]), 100_000)).first()[0] if blocks > 1 else []
-    cuts = sorted(set(cuts or []))
-    block = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("node"))) if cuts else F.lit(0)
-    place = block.cast("int").alias("block")
-    state = _written(status.select("node", F.coalesce("priority", F.lit(0.0)).alias("priority"), F.coalesce("alone", F.lit(False)).alias("alone"), place, F.lit(True).alias("pending"), F.lit(False).alias("used")))
-    found = []
-
-    def turns(one: pd.DataFrame) -> pd.DataFrame:
-        near, own, single, waits, used = defaultdict(list), {}, {}, set(), set()
-        for x, y, sim, px, py, used_x, used_y, blocked, alone in one[["x", "y", "sim", "px", "py", "used_x", "used_y", "blocked", "alone"]].itertuples(index=False):
-            own[x], single[x] = px, alone
-            if used_x:
-                used.add(x)
-            if y == y:  # not null
-                near[x].append((int(y), sim, py))
-                if used_y:
-                    used.add(int(y))
-                if blocked:
-                    waits.add(x)
-        tainted, out = set(), []
-        for x in sorted(own):
-            around = near[x]
-            if x in waits or x in tainted or any(y in tainted for y, *_ in around):
-                tainted.add(x)
-                tainted.update(y for y, *_ in around)
-                continue
-            gone, rows = ([], []) if x in used else act(x, around, own[x], single[x], used)
-            used.update(gone)
-            out.append((x, "done", None, None))
-            out += [(g, "used", None, None) for g in gone] + [(x, "row", m, s) for m, s in rows]
-        return pd.DataFrame(out, columns=["node", "kind", "member", "sim"]).astype({"node": "int64", "kind": "str", "member": "Int64", "sim": "float64"})
-
-    while not state.where("pending").isEmpty():
-        to = state.select(F.col("node").alias("y"), F.col("priority").alias("py"), F.col("used").alias("used_y"), F.col("pending").alias("pending_y"), F.col("block").alias("block_y"))
-        seen = links.join(to.select("y", "pending_y", "block_y"), "y").where("pending_y").groupBy("x").agg(F.min("block_y").alias("least"))
-        # the earliest block with a turn open in or beside each node
-        least = state.select("node", F.when(F.col("pending"), F.col("block")).alias("own")).join(seen, F.col("node") == F.col("x"), "left")
-        least = least.select(F.col("node").alias("z"), F.least(F.coalesce("own", "least"), F.coalesce("least", "own")).alias("first"))
-        turn = state.where("pending").select(F.col("node").alias("x"), F.col("priority").alias("px"), F.col("used").alias("used_x"), "block", "alone")
-        around = links.join(to, "y").join(least, F.col("y") == F.col("z"))
-        rows = turn.join(around, "x", "left").where(F.col("y").isNotNull() | F.col("alone"))
-        rows = rows.select("block", "x", "y", "sim", "px", "py", "used_x", "used_y", F.coalesce(F.col("first") < F.col("block"), F.lit(False)).alias("blocked"), "alone")
-        said = _written(rows.groupBy("block").applyInPandas(turns, "node long, kind string, member long, sim double"))
+        status = counted.select("node", F.lit(0.0).alias("priority"), F.lit(False).alias("alone"), "links")
+    status = _written(status.select(F.col("node").cast("long").alias("node"), F.coalesce("priority", F.lit(0.0)).alias("priority"), F.coalesce("alone", F.lit(False)).alias("alone"), (F.coalesce("links", F.lit(0)) + 1).alias("links")))
+    run = -(-status.count() // CELLS) or 1
+    placed = status.orderBy("node").withColumn("_at", F.monotonically_increasing_id())
+    # runs of ids, numbered in order: the part of the sort, then the place in it
+    cell = F.col("_at") - F.pmod(F.col("_at"), F.lit(1 << 33)) + F.floor(F.pmod(F.col("_at"), F.lit(1 << 33)) / run)
+    state = _written(placed.select("node", "priority", "alone", "links", cell.cast("long").alias("cell"), F.lit(True).alias("pending"), F.lit(False).alias("used")))
+    found, wide, share = [], BEGIN, 1.0
+    while True:
+        mine = F.when(F.col("pending"), F.col("node"))
+        cells = state.where("NOT used").groupBy("cell").agg(F.count("*").alias("free"), F.count(mine).alias("turns"), F.sum(F.when(F.col("pending"), F.col("links"))).alias("links"), F.min(mine).alias("low"), F.max(mine).alias("high")).orderBy("cell").collect()
+        free, cells = sum(c.free for c in cells), [c for c in cells if c.turns]
+        if not cells:
+            break
+        place, block, size = [], 0, 0.0
+        for c in cells:
+            if size and size + c.links * share > EDGES:
+                block, size = block + 1, 0.0
+            if block == wide:
+                break
+            place.append((c.cell, block))
+            size += c.links * share
+        cells = cells[: len(place)]
+        turns, low, high = sum(c.turns for c in cells), cells[0].low, cells[-1].high
+        to = state.where("NOT used").join(F.broadcast(spark.createDataFrame(place, "cell long, block int")), "cell", "left")
+        to = to.select("node", "priority", "alone", F.when(F.col("pending"), F.col("block")).alias("block"))
+        turn = to.where("block IS NOT NULL")
+        near = links.where((F.col("x") >= low) & (F.col("x") <= high)).join(_few(turn.select(F.col("node").alias("x"), "block"), turns), "x")
+        near = near.join(_few(to.select(F.col("node").alias("y"), "priority", F.col("block").alias("own")), free), "y")
+        # the earliest block with a turn open in or beside y
+        first = F.least(F.min("block").over(Window.partitionBy("y")), F.col("own"))
+        rows = near.select("block", "x", "y", "sim", "priority", (first < F.col("block")).alias("blocked"), F.lit(False).alias("alone"))
+        heads = turn.select("block", F.col("node").alias("x"), F.col("node").alias("y"), F.lit(0.0).alias("sim"), "priority", F.lit(False).alias("blocked"), "alone")
+        said = _written(rows.unionByName(heads).groupBy("block").applyInPandas(_turns(act), "node long, kind string, member long, sim double"))
         found.append(said.where("kind = 'row'").select(F.col("node").alias("seed"), "member", "sim"))
-        news = said.where("kind <> 'row'").groupBy(F.col("node").alias("n")).agg(F.bool_or(F.col("kind") == "done").alias("done"), F.bool_or(F.col("kind") == "used").alias("taken"))
-        state = _written(state.join(news, F.col("node") == F.col("n"), "left").select("node", "priority", "alone", "block", (F.col("pending") & ~F.coalesce("done", F.lit(False))).alias("pending"), (F.col("used") | F.coalesce("taken", F.lit(False))).alias("used")))
+        news = said.where("kind IN ('done', 'used')").groupBy(F.col("node").alias("n")).agg(F.bool_or(F.col("kind") == "done").alias("done"), F.bool_or(F.col("kind") == "used").alias("taken"))
+        state = _written(state.join(news, F.col("node") == F.col("n"), "left").select("node", "priority", "alone", "links", "cell", (F.col("pending") & ~F.coalesce("done", F.lit(False))).alias("pending"), (F.col("used") | F.coalesce("taken", F.lit(False))).alias("used")))
+        done, seen = said.agg(F.count_if(F.col("kind") == "done"), F.sum(F.when(F.col("kind") == "seen", F.col("member")))).first()
+        share = max(SHARE, seen / sum(c.links for c in cells))
+        wide = min(BLOCKS, 2 * wide) if done >= 0.75 * turns else max(LEAST, wide // 2) if done < 0.5 * turns else wide
     whole = spark.createDataFrame([], "seed long, member long, sim double")
     for rows in found:
         whole = whole.union(rows)

@@ -75,3 +75,17 @@ def test_greedy_of_nothing(spark):
     assert greedy.drop_near_duplicates(none, spark.createDataFrame([(1, 2)], "vec_id long, priority int").where(F.lit(False))).collect() == []
     same = spark.createDataFrame([(1, 1, 1.0), (1, 2, 0.5), (2, 1, 0.7)], "a long, b long, sim double")
     assert {tuple(r) for r in greedy.greedy_clusters(same).collect()} == {(1, 1, 1.0), (1, 2, 0.7)}
+
+
+def dense(monkeypatch, seed):
+    """Pairs of a dense table in some 40 blocks that wait for each other, and the tables written so far."""
+    written, plain = [], greedy._written
+    monkeypatch.setattr(greedy, "EDGES", 1000)
+    monkeypatch.setattr(greedy, "_written", lambda df: (written.append(df), plain(df))[1])
+    return graph(random.Random(seed), 400, 25_000), written
+
+
+def test_clusters_of_a_dense_table_take_few_rounds(spark, monkeypatch):
+    pairs, written = dense(monkeypatch, 1)
+    got = greedy.greedy_clusters(spark.createDataFrame(pairs, "a long, b long, sim double").repartition(4))
+    assert {(r.seed, r.member, r.sim) for r in got.collect()} == plain_clusters(pairs, 8, 2) and len(written) < 30
