@@ -96,3 +96,9 @@ def test_losers_of_a_dense_table_take_few_rounds(spark, monkeypatch):
     nodes = spark.createDataFrame([(i, i * 7 % 10) for i in range(400)], "vec_id long, priority int")
     gone = [r.vec_id for r in greedy.drop_near_duplicates(spark.createDataFrame(pairs, "a long, b long, sim double").repartition(4), nodes).collect()]
     assert len(gone) == len(set(gone)) and set(gone) == plain_losers(pairs, {i: i * 7 % 10 for i in range(400)}) and len(written) < 40
+
+
+def test_themes_of_a_dense_table_take_few_rounds(spark, monkeypatch):
+    pairs, written = dense(monkeypatch, 3)
+    got = greedy.greedy_clusters(spark.createDataFrame(pairs, "a long, b long, sim double").repartition(4), 6, 3)
+    assert {(r.seed, r.member, r.sim) for r in got.collect()} == plain_clusters(pairs, 6, 3) and len(written) < 40
